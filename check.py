@@ -92,7 +92,8 @@ def main(args: list[str]) -> int:
     else:
         wanted = [a for a in args if not a.startswith("-")]
         names = [n for n in q.QUERIES if not wanted or any(n == w or (w.endswith("*") and n.startswith(w[:-1])) for w in wanted)]
-        jobs = {n: (lambda n=n: q.QUERIES[n](spark, folder), q.ORACLES.get(n)) for n in names}
+        sqls = registry.oracle_sql()
+        jobs = {n: (lambda n=n: q.QUERIES[n](spark, folder), sqls.get(n)) for n in names}
     bad = 0
     for name, (build, sql) in jobs.items():
         start = time.time()

@@ -339,7 +339,8 @@ FROM documents"""
 
 DUCK["v_lines"] = f"""
 SELECT {_doc_key('doc_id')} AS doc_key, CAST(floor((i - 1) / 20) AS INT) + 1 AS page, CAST(i AS INT) AS line_no,
-       CAST(((i - 1) % 20) * 12.0 + floor(((i - 1) % 20) / 4) * 6.0 AS DOUBLE) AS top, CAST(50.0 AS DOUBLE) AS x0, lines[i] AS text
+       CAST(((i - 1) % 20) * 12.0 + floor(((i - 1) % 20) / 4) * 6.0 AS DOUBLE) AS top, CAST(50.0 AS DOUBLE) AS x0,
+       CASE WHEN i % 7 = 5 THEN CAST(i AS STRING) || '. ' || regexp_replace(substr(lines[i], 1, 40), '[. ]+$', '') ELSE lines[i] END AS text
 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) l"""
 
 
@@ -367,7 +368,9 @@ def _spark_lines(catalog):
     on_page = F.col("i") % 20
     return exploded.select(
         "doc_key", (F.floor(F.col("i") / 20) + 1).cast("int").alias("page"), (F.col("i") + 1).alias("line_no"),
-        (on_page * 12.0 + F.floor(on_page / 4) * 6.0).alias("top"), F.lit(50.0).alias("x0"), "text",
+        (on_page * 12.0 + F.floor(on_page / 4) * 6.0).alias("top"), F.lit(50.0).alias("x0"),
+        F.when((F.col("i") + 1) % 7 == 5, F.concat((F.col("i") + 1).cast("string"), F.lit(". "), F.regexp_replace(
+            F.substring("text", 1, 40), "[. ]+$", ""))).otherwise(F.col("text")).alias("text"),
     )
 
 

@@ -70,12 +70,16 @@ def query(name: str, oracle: str | None = None):
 
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            ORACLES[name] = oracle
         return build
 
     return register
 
 
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(body) for name, body in ORACLES.items()}
+
+
 def with_views(body: str) -> str:
     """Prefix a SQL text with the views it uses, dependencies first."""
     ordered: list[str] = []
