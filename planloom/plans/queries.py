@@ -1,6 +1,8 @@
 """Every registered query: importing the plan modules fills the registry."""
 
-from planloom.plans import document_queries, schedule_queries  # noqa: F401
+from planloom.plans import (  # noqa: F401
+    document_queries, people_queries, provenance_queries, schedule_queries,
+)
 from planloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
