@@ -1,7 +1,7 @@
 """Every registered query: importing the plan modules fills the registry."""
 
 from planloom.plans import (  # noqa: F401
-    document_queries, people_queries, provenance_queries, schedule_queries, validation_queries,
+    board_queries, document_queries, people_queries, provenance_queries, schedule_queries, validation_queries,
 )
 from planloom.plans.registry import ORACLES, QUERIES
 
