@@ -54,4 +54,4 @@ def quoted(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+    return F.concat(F.bround(c * 100).cast("int").cast("string"), F.lit("%"))

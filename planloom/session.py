@@ -38,3 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise to the reliable checkpoint folder, so a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder every executor can reach, for tables written between jobs."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables"
