@@ -10,11 +10,16 @@ SPACE = (
     r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD_CHAR = r"\p{L}\p{N}_"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    # Looks at the ends of the text only, where a pattern would walk all of it.
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_space(c: Column) -> Column:

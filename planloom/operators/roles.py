@@ -55,18 +55,21 @@ def matched(tasks: DataFrame, extra_roles: DataFrame) -> DataFrame:
     tasks(project_id, task_id, team, raw_role); extra_roles(project_id, role_id, role_title, team)
     as `targets` returns them.
     """
-    named = tasks.withColumn("wanted", tokens(F.col("raw_role"))).withColumn("roster", _roster_array())
+    # Wordings repeat: each is scored once per team, and the outcome joined back.
+    wordings = tasks.select("team", "raw_role").distinct().withColumn("wanted", tokens(F.col("raw_role"))).withColumn(
+        "roster", _roster_array())
 
     def scored(r: Column) -> Column:
         # Highest score first, then the order of the roster.
         return F.struct(score(r["tokens"], F.col("wanted")).alias("score"), (-r["ord"]).alias("neg_ord"),
                         r["title"].alias("title"), r["team"].alias("team"))
 
-    own = F.array_max(F.filter(F.transform("roster", scored), lambda r: r["team"] == F.col("team")))
-    other = F.filter(
-        F.transform("roster", scored),
-        lambda r: (r["team"] != F.col("team")) & (r["score"] >= vocab.DISTINCTIVE_POINTS))
-    named = named.withColumn("own", own).withColumn("other_team", F.get(other, F.lit(0))["team"])
+    wordings = wordings.withColumn("scored", F.transform("roster", scored))
+    own = F.array_max(F.filter("scored", lambda r: r["team"] == F.col("team")))
+    other = F.filter("scored", lambda r: (r["team"] != F.col("team")) & (r["score"] >= vocab.DISTINCTIVE_POINTS))
+    wordings = wordings.select(
+        "team", "raw_role", "wanted", own.alias("own"), F.get(other, F.lit(0))["team"].alias("other_team"))
+    named = tasks.select("project_id", "task_id", "team", "raw_role").join(wordings, ["team", "raw_role"])
     extra = (
         named.select("project_id", "task_id", "team", "wanted")
         .join(extra_roles.select("project_id", "role_id", "role_title", "team"), ["project_id", "team"])

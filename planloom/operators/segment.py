@@ -27,17 +27,18 @@ CAPITALS_HEADING = r"^[A-Z][A-Z%s&/,'-]{3,}$" % SPACE
 def blocks(text: Column) -> Column:
     """Blocks between blank lines, without underline rows."""
     parts = F.transform(F.split(text, rf"\n[{SPACE}]*\n"), strip)
-    real = F.filter(parts, lambda b: ~b.rlike("^[-= ]*$"))
+    real = F.filter(parts, lambda b: F.btrim(b, F.lit("-= ")) != "")
 
     def without_rules(block: Column) -> Column:
-        lines = F.filter(F.split(block, LINE_BREAK), lambda line: ~strip(line).rlike("^[-=]*$"))
-        return F.array_join(lines, "\n")
+        lines = F.filter(F.split(block, LINE_BREAK), lambda line: F.btrim(strip(line), F.lit("-=")) != "")
+        # Most blocks are a single line and pass as they are.
+        return F.when(block.rlike(LINE_BREAK), strip(F.array_join(lines, "\n"))).otherwise(block)
 
-    return F.filter(F.transform(real, lambda b: strip(without_rules(b))), lambda b: b != "")
+    return F.filter(F.transform(real, without_rules), lambda b: b != "")
 
 
-def is_heading(block: Column) -> Column:
-    line = strip(block)
+def is_heading(line: Column) -> Column:
+    """Whether a stripped text is a heading."""
     numbered = line.rlike(NUMBERED_HEADING)
     return (line != "") & (F.length(line) <= 120) & (
         F.when(line.rlike(EMAIL_HEADING), F.lit(True))

@@ -137,6 +137,18 @@ FROM (
   WHERE project_id % 97 = 0 AND (ord % 2 = 1 OR project_id % 2 = 0)
 ) e"""
 
+DUCK: dict[str, str] = {"v_deps": ADAPTERS["v_deps"]}
+# The same rows in one pass over the tasks.
+ADAPTERS["v_deps"] = ADAPTERS["v_deps"][: ADAPTERS["v_deps"].index("FROM (")] + """
+FROM (
+  SELECT project_id, task_id, ord, part_id, supplier_id, slot,
+         CASE slot WHEN 2 THEN task_id - 3 WHEN 4 THEN task_id WHEN 5 THEN task_id + 1 ELSE task_id - 1 END AS depends_on_id
+  FROM v_tasks LATERAL VIEW explode(filter(array(
+    CASE WHEN ord > 1 THEN 1 END, CASE WHEN ord > 3 THEN 2 END, CASE WHEN ord > 1 AND project_id % 83 = 0 THEN 3 END,
+    CASE WHEN task_id % 89 = 0 THEN 4 END, CASE WHEN project_id % 97 = 0 AND (ord % 2 = 1 OR project_id % 2 = 0) THEN 5 END),
+    x -> x IS NOT NULL)) slots AS slot
+) e"""
+
 ADAPTERS["v_chunks"] = f"""
 SELECT l_orderkey AS project_id, {_doc_key('l_orderkey')} AS doc_key,
        CAST(floor((l_linenumber + 1) / 2) AS INT) AS section_index,
@@ -157,6 +169,14 @@ SELECT project_id, task_id, 3 AS pos, ' section 4.2' AS raw_key FROM v_tasks WHE
 UNION ALL
 SELECT project_id, task_id, 4 AS pos, {_key('project_id', 'ord')} AS raw_key FROM v_tasks WHERE part_id % 4 = 0"""
 
+DUCK["v_citations"] = ADAPTERS["v_citations"]
+ADAPTERS["v_citations"] = f"""
+SELECT project_id, task_id, pos,
+       CASE pos WHEN 1 THEN '[' || {_key('project_id', 'ord')} || ']' WHEN 2 THEN '  ' || {_key('project_id', '(ord + 1)')} || ' p' || CAST(ord AS STRING)
+                WHEN 3 THEN ' section 4.2' ELSE {_key('project_id', 'ord')} END AS raw_key
+FROM v_tasks LATERAL VIEW explode(filter(array(1, CASE WHEN part_id % 2 = 0 THEN 2 END, CASE WHEN part_id % 5 = 0 THEN 3 END,
+    CASE WHEN part_id % 4 = 0 THEN 4 END), x -> x IS NOT NULL)) places AS pos"""
+
 ADAPTERS["v_requirements"] = f"""
 SELECT o_orderkey AS project_id, 'R-' || CAST(k AS STRING) AS requirement_id,
        {_pick('o_custkey + k', ['commercial', 'technical', 'operations'])} AS team,
@@ -247,6 +267,14 @@ SELECT project_id, 'US-' || CAST(task_id AS STRING) AS story_key, 'AC-' || CAST(
        'Item ' || CAST(part_id % 7 AS STRING) AS detail_1
 FROM v_tasks WHERE part_id % 2 = 0"""
 
+DUCK["v_criteria"] = ADAPTERS["v_criteria"]
+ADAPTERS["v_criteria"] = """
+SELECT project_id, 'US-' || CAST(task_id AS STRING) AS story_key, 'AC-' || CAST(task_id AS STRING) || '-' || CAST(pos AS STRING) AS criterion_key, pos,
+       CASE pos WHEN 1 THEN 'Responds quickly' ELSE 'Signed off' END AS text,
+       CASE WHEN pos = 1 AND part_id % 3 = 0 THEN ' 450 TPS ' WHEN pos = 2 AND part_id % 4 = 0 THEN 'p95 <= 400ms' ELSE '' END AS measure,
+       CASE pos WHEN 1 THEN 'item ' || CAST(supplier_id % 8 AS STRING) ELSE 'Item ' || CAST(part_id % 7 AS STRING) END AS detail_1
+FROM v_tasks LATERAL VIEW explode(filter(array(CASE WHEN supplier_id % 7 <> 0 THEN 1 END, CASE WHEN part_id % 2 = 0 THEN 2 END), x -> x IS NOT NULL)) places AS pos"""
+
 ADAPTERS["v_cases"] = f"""
 SELECT project_id, CASE WHEN part_id % 37 = 0 THEN '' ELSE 'US-' || CAST(task_id AS STRING) END AS story_key,
        'TC-' || CAST(task_id AS STRING) AS case_key, 'Case ' || CAST(ord AS STRING) AS title,
@@ -323,7 +351,13 @@ FROM (
   UNION ALL SELECT task_id, 3 AS k, part_id % 7 <> 0 AS kept, CAST(65536 AS INT) AS have_pos FROM v_tasks
 ) i"""
 
-DUCK: dict[str, str] = {"v_planned": ADAPTERS["v_planned"].replace("@sha(", "sha256(")}
+DUCK["v_items"] = ADAPTERS["v_items"]
+ADAPTERS["v_items"] = """
+SELECT task_id AS card_id, 'Acceptance criteria' AS list_name, 'line ' || CAST(k AS STRING) AS item, k AS want_pos,
+       CASE k WHEN 1 THEN part_id % 3 <> 0 WHEN 2 THEN part_id % 5 <> 0 ELSE part_id % 7 <> 0 END AS kept,
+       CASE k WHEN 1 THEN 16384 WHEN 2 THEN CASE WHEN supplier_id % 4 = 0 THEN 8192 ELSE 32768 END ELSE 65536 END AS have_pos
+FROM v_tasks LATERAL VIEW explode(array(1, 2, 3)) lines AS k"""
+DUCK["v_planned"] = ADAPTERS["v_planned"].replace("@sha(", "sha256(")
 ADAPTERS["v_planned"] = ADAPTERS["v_planned"].replace("@sha(", "sha256(").replace("sha256(", "sha2(").replace(
     "CAST(t.task_id AS STRING)), 1, 32)", "CAST(t.task_id AS STRING), 256), 1, 32)"
 )

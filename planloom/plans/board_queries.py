@@ -306,7 +306,10 @@ def _(c):
     return drift_found(c)
 
 
-NOW = F.lit("2024-02-01").cast("date")
+def now():
+    return F.lit("2024-02-01").cast("date")
+
+
 DUCK["v_state"] = "SELECT project_id, task_id, kind, detail, first_seen_on AS first_seen_at, notified_on AS notified_at, resolved_on AS resolved_at FROM v_open_drift"
 DUCK["v_reconciled"] = """
 SELECT project_id, task_id, kind, detail, first_seen_at, notified_at, resolved_at, false AS fresh FROM v_state WHERE resolved_at IS NOT NULL
@@ -324,7 +327,7 @@ def state(c):
 def reconciled(c):
     readable = c.view("v_cards").select("board_id").distinct()
     checked = c.view("v_planned").filter("external_ref <> ''").join(readable, "board_id", "left_semi")
-    return board.reconcile(state(c), drift_found(c), checked, NOW)
+    return board.reconcile(state(c), drift_found(c), checked, now())
 
 
 @query("drift_reconcile", "SELECT * FROM v_reconciled")
@@ -348,13 +351,13 @@ def _(c):
 @query("drift_mark_notified", """
 SELECT task_id, kind, CASE WHEN resolved_at IS NULL AND kind = 'moved' THEN DATE '2024-02-01' ELSE notified_at END AS notified_at FROM v_state""")
 def _(c):
-    return board.mark_notified(state(c), state(c).filter("kind = 'moved'"), NOW).select("task_id", "kind", "notified_at")
+    return board.mark_notified(state(c), state(c).filter("kind = 'moved'"), now()).select("task_id", "kind", "notified_at")
 
 
 @query("drift_restore_resolve", """
 SELECT task_id, kind, CASE WHEN kind = 'archived' AND resolved_at IS NULL AND task_id IN (SELECT task_id FROM v_tasks WHERE board_dirty) THEN DATE '2024-02-01' ELSE resolved_at END AS resolved_at FROM v_state""")
 def _(c):
-    return board.restore_resolve(state(c), c.view("v_tasks").filter("board_dirty"), NOW).select("task_id", "kind", "resolved_at")
+    return board.restore_resolve(state(c), c.view("v_tasks").filter("board_dirty"), now()).select("task_id", "kind", "resolved_at")
 
 
 @query("board_badge", """
