@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.session import cut
+from planloom.session import cut, cut_placed
 
 ROUNDS_PER_JOB = 4
+# Edges below which placing the links by hand costs more than it saves.
+SMALL_CORE = 1_000_000
 
 
 def self_references(deps: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def usable_edges(deps: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def _relax(state: DataFrame, links: DataFrame, better) -> DataFrame:
+def _relax(state: DataFrame, links: DataFrame, better, small: bool = False) -> DataFrame:
     """Spread values along links until nothing changes.
 
     state(project_id, fwd, task_id, value); links(project_id, fwd, task_id, to, add). Every
@@ -51,7 +53,9 @@ def _relax(state: DataFrame, links: DataFrame, better) -> DataFrame:
     """
     keys = ["project_id", "fwd", "task_id"]
     own = state.select(*keys, F.col("task_id").alias("to"), F.lit(0).alias("add"), F.lit(True).alias("own"))
-    steps = cut(links.withColumn("own", F.lit(False)).unionByName(own).repartition(*keys))
+    steps = links.withColumn("own", F.lit(False)).unionByName(own)
+    # Placed and sorted once by the join keys: the rounds move the state, not the links.
+    steps = cut(steps) if small else cut_placed(steps, keys)
     while True:
         for _ in range(ROUNDS_PER_JOB):
             state = (
@@ -102,26 +106,25 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     )
     core = cut(core)
     removed = core.select("project_id", "src", "dst").limit(0)
-    while not core.isEmpty():
-        marked = _marked(core)
+    while size := core.count():
+        marked = cut(_marked(core, small=size < SMALL_CORE))
         agree = (F.col("src_from") == F.col("dst_from")) & (F.col("src_to") == F.col("dst_to"))
         into_root = F.col("dst_from") == F.col("dst_ord")
         out_of_root = F.col("src_from") == F.col("src_ord")
         closing = into_root & (F.col("src_from") == F.col("dst_ord"))
-        marked = cut(marked)
         removed = removed.unionByName(marked.filter(closing).select("project_id", "src", "dst"))
-        core = cut(marked.filter(agree & ~into_root & ~out_of_root).select(*core.columns))
+        core = marked.filter(agree & ~into_root & ~out_of_root).select(*core.columns)
     return removed
 
 
-def _marked(core: DataFrame) -> DataFrame:
+def _marked(core: DataFrame, small: bool) -> DataFrame:
     """Edges with, for either end, the lowest order that reaches it and that it reaches."""
     ends = core.select("project_id", F.col("src").alias("task_id"), F.col("src_ord").alias("value")).union(
         core.select("project_id", F.col("dst").alias("task_id"), F.col("dst_ord").alias("value"))
     ).distinct()
     state = ends.select("project_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"), "task_id", "value")
     zero = F.lit(0)
-    lowest = _relax(state, _both_ways(core, zero, zero), F.min).groupBy("project_id", "task_id").agg(
+    lowest = _relax(state, _both_ways(core, zero, zero), F.min, small).groupBy("project_id", "task_id").agg(
         F.max(F.when(F.col("fwd"), F.col("value"))).alias("reached_from"),
         F.max(F.when(~F.col("fwd"), F.col("value"))).alias("reaches_to"),
     )

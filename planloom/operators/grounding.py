@@ -153,7 +153,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 2_048) -
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *corpus.schema]}
     schema = f"project_id {kinds['project_id']}, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, distance double"
     # Renamed on one side, so that a corpus queried with its own vectors is not ambiguous.
-    other = right.select(*[F.col(key).alias(f"of_{key}") for key in keys], "chunk_id", "vector")
+    other = right.select(
+        *[F.col(key).alias(f"of_{key}") for key in keys], F.col("chunk_id").alias("chunk_id"), F.col("vector").alias("vector"))
     candidates = (
         left.select(*keys, "query_id", "vector").groupBy(*keys)
         .cogroup(other.groupBy(*[f"of_{key}" for key in keys])).applyInPandas(best, schema)
