@@ -190,6 +190,7 @@ def linked_with_order(c):
 
 
 def card_rows(c):
+    c.store("v_tasks", "v_chunks")
     keys = ["project_id", "task_id"]
     chunks = c.view("v_chunks")
     sections = provenance.first_section(valid_citations(c), chunks, "task_id")

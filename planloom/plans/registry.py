@@ -48,6 +48,12 @@ class Catalog:
                 self._frames[name] = self.spark.sql(sql, **frames)
         return self._frames[name]
 
+    def store(self, *names: str) -> Catalog:
+        """Write views that a query reads many times, as the stored tables they stand for."""
+        for name in names:
+            self._frames[name] = self.stage(name, lambda c, name=name: c.view(name))
+        return self
+
     def stage(self, name: str, build: Callable[[Catalog], DataFrame]) -> DataFrame:
         """A stage boundary: computed once per session and folder, written, then reused."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)

@@ -264,6 +264,7 @@ def all_stories(c):
 
 
 def derived_checks(c):
+    c.store("v_tasks", "v_chunks")
     # Judged on the drafts: what a criterion claims, and whether anything stands behind it.
     drafts = c.view("v_criteria").join(criteria(c).select("project_id", "criterion_key", "source_key"), ["project_id", "criterion_key"])
     return validation.derived(all_stories(c), drafts, cases(c), c.view("v_tasks"))
@@ -275,6 +276,7 @@ def _(c):
 
 
 def offenders(c):
+    c.store("v_tasks", "v_chunks")
     out = validation.offending(derived_checks(c), "derived_artifacts", "item")
     for stage in (val_schema, val_grounding, val_evidence, val_business_rules, val_dependencies, val_timeline, val_milestones, val_staffing):
         out = out.unionByName(stage(c))
