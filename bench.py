@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = [
     "doc_chunks", "pq_status", "cite_task_evidence", "gap_validate", "role_match", "dep_cycles", "critical_path",
-    "sched_timeline_view", "ms_calibration", "gr_task_score", "gr_retrieve_topk", "val_business_rules", "val_report",
+    "gr_task_score", "gr_retrieve_topk", "val_business_rules", "val_report",
     "art_engineer_story", "card_body", "checklist_diff", "drift_reconcile", "view_structure", "ev_coverage",
 ]
 

@@ -79,7 +79,7 @@ SELECT o_orderkey AS project_id,
        CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Project ' || CAST(o_orderkey AS STRING) END AS name,
        CASE o_orderstatus WHEN 'P' THEN 'awaiting_approval' WHEN 'F' THEN 'approved'
             ELSE 'partially_synced' END AS status,
-       CASE o_custkey % 3 WHEN 0 THEN 'NileBank S.A.E.' WHEN 1 THEN 'Customer ' || CAST(o_custkey AS STRING)
+       CASE o_custkey % 3 WHEN 0 THEN 'NorthBank S.A.E.' WHEN 1 THEN 'Customer ' || CAST(o_custkey AS STRING)
             ELSE '' END AS merchant_name,
        CAST(o_orderdate AS DATE) AS start_date,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL
