@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,21 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a temporary one only if none is named."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a local master, where driver and executors are one process, may do without: it gets a
+    temporary folder. A cluster that names no shared folder is an error, because a folder of
+    one machine loses data with that machine.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="planloom-checkpoint-"))
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="planloom-checkpoint-")
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,3 +71,11 @@ def scratch(spark: SparkSession) -> str:
     """A folder every executor can reach, for tables written between jobs."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet to the shared folder and read it back: later stages neither
+    recompute it nor depend on the executors that made it."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

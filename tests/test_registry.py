@@ -4,12 +4,14 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check import compare, database
+from planloom.plans import registry
 
 SAMPLE = ["sched_slack_critical", "doc_chunks", "cite_valid", "gap_validate", "val_staffing", "drift_reconcile", "checklist_diff"]
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry_module.queries())
 
 
 def test_entry(spark):
