@@ -26,3 +26,27 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.token_counts import budgets
 
     return budgets(table(spark, folder, "documents"), budget=1024)
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents"))
+
+
+@query
+def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, folder, "documents"))
+
+
+ORACLES["op4_exact_dedup"] = """
+WITH d AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
