@@ -50,3 +50,10 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
     row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY t)
 """
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
