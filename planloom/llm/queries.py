@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planloom.llm.common import table
 
@@ -57,3 +58,13 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.decontaminate import contamination
 
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.warc import archive_history
+
+    history = archive_history(table(spark, folder, "pages"))
+    return history.select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
