@@ -244,8 +244,21 @@ def contamination(
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that contain no item, with all their columns; repeated rows stay repeated."""
-    leaks = contamination(docs, items, id_col=id_col, text_col=text_col)
-    marked = leaks.select(F.col(id_col).alias("_leaking")).distinct()
-    return docs.join(marked, docs[id_col].eqNullSafe(marked["_leaking"]), "left_anti")
+def without_leaks(
+    docs: DataFrame, items: DataFrame, edits: float = EDITS, items_at_a_time: int = ITEMS_AT_A_TIME,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The documents that contain no item, with all their columns; repeated rows stay repeated. Rows
+    pass through one map for each block of items: no shuffle."""
+    place = docs.columns.index(text_col)
+    for block in item_blocks(items, item_col, item_text_col, items_at_a_time):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            find = Finder(sent.value, edits)
+            for batch in batches:
+                clean = [not find(t.as_py() or "") for t in batch.column(place)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -68,3 +68,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return history.select(
         F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.language import identify
+
+    return identify(table(spark, folder, "documents"))
