@@ -75,3 +75,10 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.language import identify
 
     return identify(table(spark, folder, "documents"))
+
+
+@query
+def op7_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.class_ngrams import score_corpus
+
+    return score_corpus(table(spark, folder, "documents"))

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from planloom.llm import language as lg
 
@@ -55,7 +56,7 @@ def test_predictions_edges_and_code_switching(spark):
     kept = lg.with_language(frame)
     assert kept.columns == frame.columns and kept.count() == len(docs) - 3
     assert lg.identify(frame.limit(0)).count() == 0
-    unlabelled = lg.identify(frame.withColumn("lang", frame.lang.substr(0, 0).cast("int").cast("string")))
+    unlabelled = lg.identify(frame.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
