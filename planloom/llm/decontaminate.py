@@ -7,15 +7,17 @@ Hamming distance. Sampling a few places of the walk gives a key that close seque
 good probability; enough repetitions, each with its own walk and places, share one almost surely.
 Windows of an item's size that share a key with it are then compared exactly.
 
-Which windows are walked: of an item with n words and at most d edits, some run of
-(n - d) // (d + 1) words is intact, so each window near a shared run of that many words (three at
-most) and no other can match. This loses nothing.
+Which windows are walked: an item has n - q + 1 runs of q words, and an edit breaks q of them at
+most, so a stretch within d edits shares n - q + 1 - d * q runs or more, and their places in
+document and item differ by amounts no more than d apart. Only windows where that many shared runs
+come together can match; q is three, or less where short items need it. This loses nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,30 +51,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def walks(words: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of rows of word numbers (0 pads the end): three steps a word."""
+def walks(words: np.ndarray, seeds: np.ndarray, steps: int) -> np.ndarray:
+    """The first steps of the CGK walks of rows of word numbers, each row under each seed: (rows, seeds,
+    steps). Past the end a walk notes 0. A word lasts two steps on average."""
     rows, n = words.shape
     padded = np.concatenate([words, np.zeros((rows, 1), words.dtype)], axis=1)
-    at, out = np.zeros(rows, np.int64), np.empty((rows, 3 * n), words.dtype)
-    every = np.arange(rows)
-    for j in range(3 * n):
-        word = out[:, j] = padded[every, at]
-        move = mixed(word.astype(np.uint64) + np.uint64((seed * 1_000_003 + j + 1) << 32)) & np.uint64(1)
+    row = np.arange(rows)[:, None]
+    at, out = np.zeros((rows, len(seeds)), np.int64), np.empty((rows, len(seeds), steps), words.dtype)
+    salt = (seeds.astype(np.uint64) * np.uint64(1_000_003))[None, :]
+    for j in range(steps):
+        word = out[:, :, j] = padded[row, at]
+        move = mixed(word.astype(np.uint64) + (salt + np.uint64(j + 1) << np.uint64(32))) & np.uint64(1)
         at = np.minimum(at + move.astype(np.int64), n)
     return out
 
 
 def keys(words: np.ndarray, n_keys: int) -> np.ndarray:
-    """One column of sampled places for each repetition."""
-    out = np.empty((len(words), n_keys), np.uint64)
-    for r in range(n_keys):
-        # Late places are the pad for most walks; sample where words still stand.
-        places = np.random.default_rng(r).choice(max(1, 2 * words.shape[1]), min(PLACES, 2 * words.shape[1]), replace=False)
-        key = np.full(len(words), r + 1, np.uint64)
-        walked = walks(words, r)
-        for p in places:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + walked[:, p].astype(np.uint64) + np.uint64(1))
-        out[:, r] = key
+    """One column for each repetition: a hash of the words at a few places of its walk. Places lie in
+    the first 2n steps, where most walks still are."""
+    steps = 2 * words.shape[1]
+    places = np.stack([np.random.default_rng(r).choice(steps, min(PLACES, steps), replace=False) for r in range(n_keys)])
+    walked = walks(words, np.arange(n_keys), int(places.max()) + 1)
+    out = np.broadcast_to(np.arange(1, n_keys + 1, dtype=np.uint64), (len(words), n_keys))
+    for k in range(places.shape[1]):
+        noted = walked[:, np.arange(n_keys), places[:, k]].astype(np.uint64)
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + noted + np.uint64(1))
     return out
 
 
@@ -106,15 +109,19 @@ class Finder:
         self.n_keys = repetitions()
         self.base = len(self.numbers) + 1
         runs: dict[int, list[tuple[int, int, int]]] = {1: [], 2: [], 3: []}
+        self.least = np.ones(len(self.items), np.int64)
         for k, words in enumerate(self.items):
-            d = self.most[k]
-            size = max(1, min(3, (len(words) - d) // (d + 1)))
-            for at in range(len(words) - size + 1):
+            n, d = len(words), self.most[k]
+            # The longest run of at most three words of which more than none must be shared.
+            size = next((q for q in (3, 2) if n - q + 1 - d * q > 0), 1)
+            self.least[k] = max(1, n - size + 1 - d * size)
+            for at in range(n - size + 1):
                 runs[size].append((self.run_key(words[at:at + size]), k, at))
         # Sorted keys; the items and offsets of equal keys stand side by side.
         self.runs = {
             size: tuple(np.array(c, np.int64) for c in zip(*sorted(found), strict=True)) for size, found in runs.items() if found
         }
+        self.edits = np.array(self.most, np.int64)
         self.item_keys = [keys(w[None, :], self.n_keys)[0] for w in self.items]
 
     def run_key(self, words) -> int:
@@ -123,64 +130,76 @@ class Finder:
             key = (key * self.base + int(w)) % (1 << 61)
         return key
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, window start) of every shared run."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(item, window start) wherever enough shared runs come together."""
+        found = []
         for size, (run_keys, items, offsets) in self.runs.items():
-            if len(words) < size:
+            n = len(words) - size + 1
+            if n <= 0:
                 continue
             known = words > 0
-            at = known[:len(words) - size + 1].copy()
+            at = known[:n]
             for j in range(1, size):
-                at &= known[j:len(words) - size + 1 + j]
+                at = at & known[j:n + j]
             at = np.flatnonzero(at)
-            if not len(at):
-                continue
             key = np.zeros(len(at), np.int64)
             for j in range(size):
                 key = (key * self.base + words[at + j]) % (1 << 61)
             first = np.searchsorted(run_keys, key, "left")
-            n = np.searchsorted(run_keys, key, "right") - first
-            for a, f, m in zip(at[n > 0].tolist(), first[n > 0].tolist(), n[n > 0].tolist(), strict=True):
-                found.update((int(items[x]), a - int(offsets[x])) for x in range(f, f + m))
+            hit = run_keys[np.minimum(first, len(run_keys) - 1)] == key
+            at, first, key = at[hit], first[hit], key[hit]
+            if not len(at):
+                continue
+            many = np.searchsorted(run_keys, key, "right") - first
+            place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            item, start = items[place], np.repeat(at, many) - offsets[place]
+            order = np.lexsort((start, item))
+            item, start = item[order], start[order]
+            span = len(words) + (1 << 20)
+            code = item * span + start + (1 << 19)
+            together = np.searchsorted(code, code + self.edits[item], "right") - np.arange(len(code))
+            enough = together >= self.least[item]
+            found += zip(item[enough].tolist(), start[enough].tolist(), strict=True)
         return found
 
     def __call__(self, text: str) -> list[tuple]:
         """(item id, edits, item words, start, end) of the best match of each item found; start and
         end count the document's words."""
-        words = np.fromiter((self.numbers.get(w, 0) for w in WORDS(text.lower())), np.int64)
+        words = WORDS(text.lower())
+        words = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
         out = [(i, 0, len(words), 0, len(words)) for i in self.whole.get(tuple(words.tolist()), [])] if len(words) < LEAST_WORDS else []
         by_item: dict[int, list[int]] = {}
         for item, start in self.candidates(words):
             by_item.setdefault(item, []).append(start)
         for item, starts in by_item.items():
-            want, d = self.items[item], self.most[item]
-            n = len(want)
-            starts = np.array(sorted(starts))
-            # A window starts up to d words off its run's diagonal; one on it is at most d words
-            # longer in edits, so the walk starts there.
-            place = np.clip(starts, 0, max(0, len(words) - 1))[:, None] + np.arange(n)[None, :]
+            best = self.best(item, np.unique(starts), words)
+            if best:
+                out.append((self.ids[item], best[0], len(self.items[item]), best[1], best[2]))
+        return out
+
+    def best(self, item: int, starts: np.ndarray, words: np.ndarray) -> tuple[int, int, int] | None:
+        """The closest stretch near the starts whose window shares a key with the item."""
+        want, d = self.items[item], self.most[item]
+        n = len(want)
+        found, done = None, -1
+        for part in np.array_split(starts, -(-len(starts) // 256)):
+            place = np.maximum(part, 0)[:, None] + np.arange(n)[None, :]
             windows = np.where(place < len(words), words[np.minimum(place, len(words) - 1)], 0)
-            close = starts[(keys(windows, self.n_keys) == self.item_keys[item]).any(axis=1)]
-            equal = starts[(windows == want).all(axis=1) & (starts >= 0)]
-            if len(equal):  # no edit: nothing can be closer
-                out.append((self.ids[item], 0, n, int(equal[0]), int(equal[0]) + n))
-                continue
-            best = None
-            done = -1
+            close = part[(keys(windows, self.n_keys) == self.item_keys[item]).any(axis=1)]
+            equal = part[(windows == want).all(axis=1) & (part >= 0)]
+            if len(equal):  # no edit: nothing is closer
+                return 0, int(equal[0]), int(equal[0]) + n
             for start in close.tolist():
-                low, high = max(0, start - d), min(len(words), start + n + d)
+                # The first diagonal of a match is at most d off its first word, the last as much
+                # beyond its last.
+                low, high = max(0, start - d), min(len(words), start + n + 2 * d)
                 if high <= done:
                     continue
                 done = high
                 edits, a, b = best_match(want.tolist(), words[low:high].tolist())
-                if edits <= d and (best is None or edits < best[0]):
-                    best = (edits, low + a, low + b)
-                    if not edits:
-                        break
-            if best:
-                out.append((self.ids[item], best[0], n, best[1], best[2]))
-        return out
+                if edits <= d and (found is None or edits < found[0]):
+                    found = (edits, low + a, low + b)
+        return found
 
 
 def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int):

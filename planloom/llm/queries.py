@@ -82,3 +82,10 @@ def op7_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.class_ngrams import score_corpus
 
     return score_corpus(table(spark, folder, "documents"))
+
+
+@query
+def op6_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.page_text import main_text
+
+    return main_text(table(spark, folder, "pages"))

@@ -69,8 +69,9 @@ def test_walks_keep_close_sequences_close():
     rnd = random.Random(8)
     words = [rnd.randrange(1, 999) for _ in range(40)]
     changed = words[:20] + words[21:] + [7]
-    a, b = dc.walks(np.array([words]), 3), dc.walks(np.array([changed]), 3)
-    assert (a != b).mean() < 0.5
+    a, b = (dc.walks(np.array([w]), np.arange(5), 80) for w in (words, changed))
+    assert (a != b).mean() < 0.35
+    assert (a != dc.walks(np.array([words[::-1]]), np.arange(5), 80)).mean() > 0.9
 
 
 def test_whole_table_finds_every_verbatim_item(spark, small_folder):
