@@ -89,3 +89,10 @@ def op6_page_text(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.page_text import main_text
 
     return main_text(table(spark, folder, "pages"))
+
+
+@query
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))

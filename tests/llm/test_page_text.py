@@ -16,7 +16,7 @@ def test_hosts_with_and_without_articles(spark):
     rows = [(k, f"http://a.com/{k}", PAGE.format(menu="home", title=f"Title {k}")) for k in range(8)]
     rows += [(8, "http://a.com/8", rows[0][2]), (8, "http://a.com/8", rows[0][2])]
     rows += [(20 + k, f"http://B.org/{k}", f"<p>All rights reserved</p><div>Body {k} &eacute;</div>tail") for k in range(6)]
-    rows += [(40, None, None), (41, "", ""), (42, "x", "plain < text & more"), (43, "http://a.com/cut", rows[1][2][:-60] + "<foot"), (44, "http://c.d/", "<p>é</p>" * 9000)]
+    rows += [(40, None, None), (41, "", ""), (42, "x", "plain < text & more"), (43, "http://a.com/cut", rows[1][2][:-61] + "<foot"), (44, "http://c.d/", "<p>é</p>" * 9000)]
     frame = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id bigint, url string, html string, text int, host string")
     got = main_text(frame).collect()
     assert len(got) == len(rows)
