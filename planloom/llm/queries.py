@@ -96,3 +96,10 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.repeats import repeated_spans
+
+    return repeated_spans(table(spark, folder, "documents")).drop("spans")
