@@ -103,3 +103,10 @@ def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
     from planloom.llm.repeats import repeated_spans
 
     return repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
