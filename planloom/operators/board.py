@@ -11,8 +11,8 @@ from planloom.operators import windows
 
 PUSHABLE = ["approved", "edited"]
 APPROVED_PROJECT = ["approved", "partially_synced", "synced"]
+# The board takes so many characters in one field; longer texts go out in parts.
 FIELD_LIMIT = 16_384
-MESSAGE_LIMIT = 2_000
 
 
 # Cards -----------------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def body() -> Column:
             F.col("team") == "technical",
             "**Technical notes**\n\nThe SOW does not specify the interfaces, protocols or environments for this work. "
             "Nothing has been assumed on your behalf — agree them before building."),
-        F.when(known != "", known), F.lit("_Managed by the SOW platform. Full traceability lives there._"))
+        F.when(known != "", known), F.lit(vocab.CARD_FOOTER))
 
 
 def fingerprint(title: Column, text: Column) -> Column:
@@ -125,15 +125,22 @@ def fingerprint(title: Column, text: Column) -> Column:
 
 
 def location(team: Column) -> Column:
-    named = F.concat(F.upper(F.substring(team, 1, 1)), F.lower(F.substring(team, 2, 1_000)))
+    named = F.concat(F.upper(F.substring(team, 1, 1)), F.lower(F.substring(team, F.lit(2), F.length(team))))
     return F.when(named.isin(vocab.TEAM_LISTS), named).otherwise("Backlog")
 
 
-def payload(cards: DataFrame) -> DataFrame:
-    """What is sent. No due date clears the field; an unknown account leaves the members alone."""
+def payload(cards: DataFrame, limit: int = FIELD_LIMIT) -> DataFrame:
+    """What is sent. No due date clears the field; an unknown account leaves the members alone.
+
+    A field takes `limit` characters: what is longer goes out in further rows, numbered by part_no,
+    so no text is lost. Part 1 is the card itself.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.length("title") / limit), F.ceil(F.length("body") / limit)).cast("int")
+    start = (F.col("part_no") - 1) * limit + 1
+    cards = cards.withColumn("part_no", F.explode(F.sequence(F.lit(1), parts)))
     return cards.select(
-        "project_id", "task_id", F.when(F.col("external_ref") == "", "create").otherwise("update").alias("action"),
-        F.substring("title", 1, FIELD_LIMIT).alias("name"), F.substring("body", 1, FIELD_LIMIT).alias("desc"),
+        "project_id", "task_id", "part_no", F.when(F.col("external_ref") == "", "create").otherwise("update").alias("action"),
+        F.substring("title", start, F.lit(limit)).alias("name"), F.substring("body", start, F.lit(limit)).alias("desc"),
         F.array_join(labels(F.col("team"), F.col("assignee_role"), F.col("source_status"), F.col("validation_status")), ",").alias("labels"),
         F.coalesce(F.col("due_date").cast("string"), F.lit("")).alias("due"),
         F.when(F.col("account_id") != "", F.col("account_id")).alias("member"), location(F.col("team")).alias("list_name"))
@@ -153,10 +160,12 @@ def eligible(tasks: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def push_plan(tasks: DataFrame, cards: DataFrame) -> DataFrame:
-    on_board = cards.select(F.col("card_id").alias("external_ref"), F.lit(True).alias("_there"))
-    return tasks.join(on_board, "external_ref", "left").select(
+    """Unplaced tasks carry no join key, so they do not meet in one task of the join."""
+    on_board = cards.select(F.col("card_id").alias("_card"), F.lit(True).alias("_there"))
+    placed = tasks.withColumn("_ref", F.nullif(F.col("external_ref"), F.lit("")))
+    return placed.join(on_board, F.col("_ref") == F.col("_card"), "left").select(
         "project_id", "task_id",
-        F.when(F.col("external_ref") == "", "create").when(F.col("_there"), "update").otherwise("gone").alias("action"))
+        F.when(F.col("_ref").isNull(), "create").when(F.col("_there"), "update").otherwise("gone").alias("action"))
 
 
 def status(projects: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -168,18 +177,13 @@ def status(projects: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def dangling(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """Tasks on the board ahead of what they depend on, naming three and counting the rest."""
+    """Tasks on the board ahead of what they depend on: one row for each task that is missing there."""
     missing = tasks.filter("external_ref = ''").select("project_id", F.col("task_id").alias("depends_on_id"), F.col("title").alias("missing"))
     ahead = tasks.filter("external_ref <> ''").select("project_id", "task_id", "title")
     pairs = deps.select("project_id", "task_id", "depends_on_id").join(ahead, ["project_id", "task_id"]).join(
         missing, ["project_id", "depends_on_id"])
-    keys = ["project_id", "task_id"]
-    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("title").alias("title"))
-    named = windows.first_k(pairs, keys, [F.col("missing"), F.col("depends_on_id")], 3).groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list("missing")), ", ").alias("listed"))
-    more = F.when(F.col("n") > 3, F.concat(F.lit(" (+"), (F.col("n") - 3).cast("string"), F.lit(" more)"))).otherwise("")
-    return counts.join(named, keys).select(*keys, F.concat(
-        quoted(F.col("title")), F.lit(" is on the board before what it depends on: "), F.col("listed"), more).alias("message"))
+    return pairs.select("project_id", "task_id", "depends_on_id", "missing", F.concat(
+        quoted(F.col("title")), F.lit(" is on the board before what it depends on: "), F.col("missing")).alias("message"))
 
 
 def unassignable(owned: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.session import cut, cut_placed
+from planloom.session import cut
 
 ROUNDS_PER_JOB = 4
-# Edges below which placing the links by hand costs more than it saves.
-SMALL_CORE = 1_000_000
+# After so many rounds the largest project's size is looked up: values of an acyclic project
+# are final after as many rounds as it has tasks, so more mean a cycle.
+ROUNDS_BEFORE_DOUBT = 32
 
 
 def self_references(deps: DataFrame) -> DataFrame:
@@ -44,18 +45,21 @@ def usable_edges(deps: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def _relax(state: DataFrame, links: DataFrame, better, small: bool = False) -> DataFrame:
+def _relax(state: DataFrame, links: DataFrame, better) -> DataFrame:
     """Spread values along links until nothing changes.
 
     state(project_id, fwd, task_id, value); links(project_id, fwd, task_id, to, add). Every
     task gets a link to itself, so a round is one join and one aggregation with map-side
-    combine, and refers to the state once: rounds can be chained in a plan of linear size.
+    combine, and refers to the state once: rounds can be chained in a plan of linear size. Joins
+    are left to adaptive execution, which splits the links of a hub task.
+
+    Raises ValueError where values never settle, as the longest paths of a cycle do not.
     """
     keys = ["project_id", "fwd", "task_id"]
     own = state.select(*keys, F.col("task_id").alias("to"), F.lit(0).alias("add"), F.lit(True).alias("own"))
     steps = links.withColumn("own", F.lit(False)).unionByName(own)
-    # Placed and sorted once by the join keys: the rounds move the state, not the links.
-    steps = cut(steps) if small else cut_placed(steps, keys)
+    steps = cut(steps)
+    rounds, most = 0, None
     while True:
         for _ in range(ROUNDS_PER_JOB):
             state = (
@@ -68,8 +72,14 @@ def _relax(state: DataFrame, links: DataFrame, better, small: bool = False) -> D
                 )
             )
         state = cut(state)
+        rounds += ROUNDS_PER_JOB
         if state.filter(F.col("value") != F.col("last")).isEmpty():
             return state.drop("last")
+        if rounds >= ROUNDS_BEFORE_DOUBT:
+            if most is None:
+                most = state.groupBy("project_id", "fwd").count().agg(F.max("count")).first()[0]
+            if rounds > most + ROUNDS_PER_JOB:
+                raise ValueError("the links hold a cycle: values still change after more rounds than a project has tasks")
 
 
 def _both_ways(edges: DataFrame, add_forward, add_backward) -> DataFrame:
@@ -106,8 +116,8 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     )
     core = cut(core)
     removed = core.select("project_id", "src", "dst").limit(0)
-    while size := core.count():
-        marked = cut(_marked(core, small=size < SMALL_CORE))
+    while not core.isEmpty():
+        marked = cut(_marked(core))
         agree = (F.col("src_from") == F.col("dst_from")) & (F.col("src_to") == F.col("dst_to"))
         into_root = F.col("dst_from") == F.col("dst_ord")
         out_of_root = F.col("src_from") == F.col("src_ord")
@@ -117,14 +127,14 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     return removed
 
 
-def _marked(core: DataFrame, small: bool) -> DataFrame:
+def _marked(core: DataFrame) -> DataFrame:
     """Edges with, for either end, the lowest order that reaches it and that it reaches."""
     ends = core.select("project_id", F.col("src").alias("task_id"), F.col("src_ord").alias("value")).union(
         core.select("project_id", F.col("dst").alias("task_id"), F.col("dst_ord").alias("value"))
     ).distinct()
     state = ends.select("project_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"), "task_id", "value")
     zero = F.lit(0)
-    lowest = _relax(state, _both_ways(core, zero, zero), F.min, small).groupBy("project_id", "task_id").agg(
+    lowest = _relax(state, _both_ways(core, zero, zero), F.min).groupBy("project_id", "task_id").agg(
         F.max(F.when(F.col("fwd"), F.col("value"))).alias("reached_from"),
         F.max(F.when(~F.col("fwd"), F.col("value"))).alias("reaches_to"),
     )

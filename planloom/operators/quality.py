@@ -33,7 +33,7 @@ def measures(segmented: DataFrame) -> DataFrame:
         F.size("sections").alias("section_count"),
         F.size(F.filter(chunks, lambda c: c["is_table"])).alias("table_count"),
         F.size(repeats).alias("duplicate_count"), F.size(titles).alias("titled_count"),
-        F.array_join(F.transform(F.slice(titles, 1, 5), lambda t: F.substring(t, 1, 40)), "; ").alias("first_titles"),
+        F.array_join(titles, "; ").alias("all_titles"),
         F.when(
             F.coalesce(page_count, F.lit(0)) > 0,
             F.array_join(F.array_except(F.sequence(F.lit(1), page_count), pages), ", "),
@@ -68,7 +68,7 @@ def checks(measured: DataFrame) -> DataFrame:
               F.when(F.col("duplicate_count") > 0, _says(F.col("duplicate_count"), " duplicated chunk(s) found"))
               .otherwise("no duplicates")),
         check("headings_detected", F.col("titled_count") > 0,
-              _says(F.col("titled_count"), " titled sections: ", F.col("first_titles"))),
+              _says(F.col("titled_count"), " titled sections: ", F.col("all_titles"))),
     )
     return measured.select("project_id", "doc_key", F.explode_outer(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select(
         "project_id", "doc_key", "r.*"

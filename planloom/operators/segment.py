@@ -79,6 +79,15 @@ def _pieces(body: Column) -> Column:
     return F.transform(body, of_block)
 
 
+def dropped_pieces(documents: DataFrame, least: int = MIN_CHUNK_CHARS) -> DataFrame:
+    """(project_id, doc_key, block_no, pos, text) of the pieces too short to be cited, which chunks leave
+    out: with chunk_rows() and the headings, all of a document."""
+    b = F.posexplode_outer(blocks(F.col("text"))).alias("i", "block")
+    body = documents.select("project_id", "doc_key", b).filter("i IS NOT NULL").filter(~is_heading(F.col("block")))
+    pieces = body.select("project_id", "doc_key", (F.col("i") + 1).alias("block_no"), F.posexplode(split_long(F.col("block"))).alias("p", "text"))
+    return pieces.filter(F.length("text") < least).select("project_id", "doc_key", "block_no", (F.col("p") + 1).alias("pos"), "text")
+
+
 def with_sections(df: DataFrame) -> DataFrame:
     """Column `parts` (text, page, is_table) folded into `sections` (index, title, pages, chunks).
 

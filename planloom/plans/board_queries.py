@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from planloom import vocab
 from planloom.operators import artifacts, board, review, windows
 from planloom.plans.adapters import DUCK
 from planloom.plans.people_queries import owned
@@ -116,9 +117,8 @@ def linked_deps(c):
 
 
 @query("board_dangling", """
-SELECT project_id, task_id, '''' || title || ''' is on the board before what it depends on: ' || array_to_string(ms[1:3], ', ') || CASE WHEN len(ms) > 3 THEN ' (+' || (len(ms) - 3) || ' more)' ELSE '' END AS message
-FROM (SELECT t.project_id, t.task_id, t.title, list(u.title ORDER BY u.title) AS ms FROM v_linked d JOIN v_tasks t ON t.task_id = d.task_id JOIN v_tasks u ON u.task_id = d.depends_on_id
-      WHERE t.external_ref <> '' AND u.external_ref = '' GROUP BY 1, 2, 3)""")
+SELECT t.project_id, t.task_id, d.depends_on_id, u.title AS missing, '''' || t.title || ''' is on the board before what it depends on: ' || u.title AS message
+FROM v_linked d JOIN v_tasks t ON t.task_id = d.task_id JOIN v_tasks u ON u.task_id = d.depends_on_id WHERE t.external_ref <> '' AND u.external_ref = ''""")
 def _(c):
     return board.dangling(c.view("v_tasks"), linked_deps(c))
 
@@ -215,12 +215,12 @@ SELECT *, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), CASE WHEN
   CASE WHEN technical_notes <> '' THEN '**Technical notes**' || chr(10) || chr(10) || technical_notes WHEN team = 'technical' THEN '**Technical notes**' || chr(10) || chr(10) ||
    'The SOW does not specify the interfaces, protocols or environments for this work. Nothing has been assumed on your behalf — agree them before building.' END,
   CASE WHEN w <> '' OR f <> '' THEN w || CASE WHEN w <> '' AND f <> '' THEN chr(10) || chr(10) ELSE '' END || f END,
-  '_Managed by the SOW platform. Full traceability lives there._') AS body
+  '@@FOOTER@@') AS body
 FROM (SELECT *, concat_ws(chr(10), CASE WHEN assignee_role <> '' THEN '**Owner:** ' || CASE WHEN owner <> '' THEN owner || ' (' || assignee_role || ')' ELSE assignee_role END END,
     CASE WHEN blocked_by <> '' THEN '**Blocked by:** ' || blocked_by END, CASE WHEN section_title <> '' THEN '**From SOW:** ' || section_title END) AS f,
   concat_ws(chr(10) || chr(10), CASE WHEN source_status = 'assumed' THEN '⚠️ This task is an assumption. The SOW does not ask for it — confirm before starting.' END,
     CASE WHEN validation_status IN ('review', 'reject') AND grounding_score IS NOT NULL THEN '⚠️ Only ' || CAST(part_id % 101 AS STRING) || '% of this task''s claims are supported by the SOW. Check the details before relying on them.' END,
-    CASE WHEN assumed_fields <> '' THEN '⚠️ Test cases for this task rely on values the SOW never stated (' || assumed_fields || '). Confirm them before treating a passing test as acceptance.' END) AS w FROM v_card_rows)"""
+    CASE WHEN assumed_fields <> '' THEN '⚠️ Test cases for this task rely on values the SOW never stated (' || assumed_fields || '). Confirm them before treating a passing test as acceptance.' END) AS w FROM v_card_rows)""".replace("@@FOOTER@@", vocab.CARD_FOOTER)
 
 
 @query("card_body", "SELECT task_id, body FROM v_bodies")
@@ -241,12 +241,17 @@ def _(c):
     return c.view("v_tasks").select("task_id", board.location(F.col("team")).alias("list_name"))
 
 
-@query("card_payload", """
-SELECT b.project_id, b.task_id, CASE WHEN external_ref = '' THEN 'create' ELSE 'update' END AS action, substr(title, 1, 16384) AS name, substr(body, 1, 16384) AS "desc", l.labels,
+PART = 200  # so that bodies of the test tables need several parts
+
+
+@query("card_payload", f"""
+SELECT b.project_id, b.task_id, CAST(part_no AS INT) AS part_no, CASE WHEN external_ref = '' THEN 'create' ELSE 'update' END AS action,
+       substr(title, CAST((part_no - 1) * {PART} + 1 AS BIGINT), {PART}) AS name, substr(body, CAST((part_no - 1) * {PART} + 1 AS BIGINT), {PART}) AS "desc", l.labels,
        coalesce(CAST(due_date AS STRING), '') AS due, CASE WHEN account_id <> '' THEN account_id END AS member, p.list_name
-FROM v_bodies b JOIN v_labels l USING (task_id) JOIN v_places p USING (task_id)""")
+FROM (SELECT *, unnest(range(1, greatest(1, CAST(ceil(length(title) / {PART}) AS BIGINT), CAST(ceil(length(body) / {PART}) AS BIGINT)) + 1)) AS part_no FROM v_bodies) b
+JOIN v_labels l USING (task_id) JOIN v_places p USING (task_id)""")
 def _(c):
-    return board.payload(card_rows(c).withColumn("body", board.body()))
+    return board.payload(card_rows(c).withColumn("body", board.body()), PART)
 
 
 @query("checklist_diff", """

@@ -50,14 +50,13 @@ SELECT *, doc_key || printf('-S%02d-C%02d', section_index, chunk_index) AS chunk
   WHERE length(p.text) >= 40)"""
 DUCK["v_measures"] = """
 SELECT d.project_id, d.doc_key, coalesce(n, 0) AS chunk_count, coalesce(chars, 0) AS total_chars, coalesce(secs, 0) AS section_count,
-       coalesce(dups, 0) AS duplicate_count, coalesce(titled, 0) AS titled_count, coalesce(first_titles, '') AS first_titles
+       coalesce(dups, 0) AS duplicate_count, coalesce(titled, 0) AS titled_count, coalesce(all_titles, '') AS all_titles
 FROM v_docs d
 LEFT JOIN (SELECT doc_key, count(*) AS n, sum(length(text)) AS chars, count(DISTINCT section_index) AS secs,
                   count(DISTINCT section_index) FILTER (WHERE section_index > 0) AS titled FROM v_doc_chunks GROUP BY 1) c USING (doc_key)
 LEFT JOIN (SELECT doc_key, count(*) AS dups FROM (SELECT doc_key, text FROM v_doc_chunks GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1) x USING (doc_key)
-LEFT JOIN (SELECT doc_key, string_agg(substr(section_title, 1, 40), '; ' ORDER BY section_index) AS first_titles FROM (
-  SELECT DISTINCT doc_key, section_index, section_title, dense_rank() OVER (PARTITION BY doc_key ORDER BY section_index) AS r FROM v_doc_chunks WHERE section_index > 0)
-  WHERE r <= 5 GROUP BY 1) t USING (doc_key)"""
+LEFT JOIN (SELECT doc_key, string_agg(section_title, '; ' ORDER BY section_index) AS all_titles FROM (
+  SELECT DISTINCT doc_key, section_index, section_title FROM v_doc_chunks WHERE section_index > 0) GROUP BY 1) t USING (doc_key)"""
 DUCK["v_checks"] = """
 SELECT project_id, doc_key, 'text_extracted' AS "check", chunk_count > 0 AS passed, true AS fatal, chunk_count || ' chunks, ' || total_chars || ' characters' AS detail FROM v_measures
 UNION ALL SELECT project_id, doc_key, 'sufficient_text', total_chars >= 500, true, total_chars || ' characters (minimum 500)' FROM v_measures
@@ -65,7 +64,7 @@ UNION ALL SELECT project_id, doc_key, 'sections_detected', section_count >= 2, t
 UNION ALL SELECT project_id, doc_key, 'tables_readable', true, false, '0 tables detected' FROM v_measures
 UNION ALL SELECT project_id, doc_key, 'page_references', false, false, 'no page numbers available for this format' FROM v_measures
 UNION ALL SELECT project_id, doc_key, 'no_duplicate_chunks', duplicate_count = 0, false, CASE WHEN duplicate_count > 0 THEN duplicate_count || ' duplicated chunk(s) found' ELSE 'no duplicates' END FROM v_measures
-UNION ALL SELECT project_id, doc_key, 'headings_detected', titled_count > 0, false, titled_count || ' titled sections: ' || first_titles FROM v_measures"""
+UNION ALL SELECT project_id, doc_key, 'headings_detected', titled_count > 0, false, titled_count || ' titled sections: ' || all_titles FROM v_measures"""
 DUCK["v_status"] = """
 SELECT project_id, doc_key, CASE WHEN bool_or(NOT passed AND fatal) THEN 'parsing_failed' WHEN bool_or(NOT passed) THEN 'warn' ELSE 'valid' END AS parsing_status,
        count(*) FILTER (WHERE NOT passed) AS failures FROM v_checks GROUP BY 1, 2"""
@@ -110,6 +109,11 @@ def _(c):
     return segment.chunk_rows(segmented(c)).select("doc_key", "section_index", "section_title", "chunk_index", "text")
 
 
+@query("doc_dropped_pieces", "SELECT doc_key, block_no, CAST(pos AS INT) AS pos, text FROM v_pieces WHERE length(text) < 40")
+def _(c):
+    return segment.dropped_pieces(c.view("v_docs").select("project_id", "doc_key", "text")).select("doc_key", "block_no", "pos", "text")
+
+
 @query("doc_chunk_key", "SELECT doc_key, section_index, chunk_index, chunk_key FROM v_doc_chunks")
 def _(c):
     return segment.chunk_rows(segmented(c)).select("doc_key", "section_index", "chunk_index", "chunk_key")

@@ -41,7 +41,7 @@ GROUP BY project_id, task_id, kind, board_id, run"""
 
 def snapshot_of(c, check: int):
     t, s, pk = c.view("v_tasks"), F.col("supplier_id"), F.col("part_id")
-    named = F.concat(F.upper(F.substring("team", 1, 1)), F.substring("team", 2, 100))
+    named = F.concat(F.upper(F.substring("team", 1, 1)), F.substring("team", F.lit(2), F.length("team")))
     here = F.when(F.col("team").isin("commercial", "technical", "operations"), named).otherwise("Backlog")
     return t.filter((F.col("external_ref") != "") & ((s + check) % 10 != 0) & ((F.col("project_id") + check) % 5 != 0)).select(
         F.lit(check).cast("bigint").alias("check_no"), F.concat(F.lit("B-"), F.col("project_id").cast("string")).alias("board_id"),

@@ -51,22 +51,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_placed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Materialise hash-placed and sorted by the keys, in a way later joins can see.
-
-    Adaptive execution hides the placement of a checkpointed plan from later plans, so it is
-    off for this one write.
-    """
-    spark = df.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return cut(df.repartition(parts, *keys).sortWithinPartitions(*keys))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
 def scratch(spark: SparkSession) -> str:
     """A folder every executor can reach, for tables written between jobs."""
     ensure_checkpoint_dir(spark)

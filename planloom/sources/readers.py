@@ -44,7 +44,7 @@ def text_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     named = files.withColumn("filename", F.element_at(F.split("path", "/"), -1)).withColumn("file_type", suffix(F.col("filename")))
     good = F.col("file_type").isin(TEXT_SUFFIXES)
     documents = named.filter(good).select(
-        "path", "filename", F.substring("file_type", 2, 10).alias("file_type"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        "path", "filename", F.regexp_replace("file_type", r"^\.", "").alias("file_type"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return documents, rejected_files(named.filter(~good))
 
 

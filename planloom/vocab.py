@@ -167,6 +167,10 @@ LABEL_COLOURS = {
 }
 
 
+#: Last line of every card.
+CARD_FOOTER = "_Managed by the plan. Full traceability lives there._"
+
+
 def checklist(spark: SparkSession) -> DataFrame:
     rows = [(i, *row) for i, row in enumerate(CHECKLIST, start=1)]
     return spark.createDataFrame(
@@ -186,13 +190,3 @@ def roster(spark: SparkSession) -> DataFrame:
 def detail_categories(spark: SparkSession) -> DataFrame:
     rows = [(c, team) for team, cats in DETAIL_CATEGORIES.items() for c in cats]
     return spark.createDataFrame(rows, "category string, team string")
-
-
-def coverage_areas(spark: SparkSession) -> DataFrame:
-    rows = [(area, word) for area, words in COVERAGE_AREAS.items() for word in words]
-    return spark.createDataFrame(rows, "area string, keyword string")
-
-
-def forbidden_terms(spark: SparkSession) -> DataFrame:
-    rows = [(gap, term) for gap, terms in FORBIDDEN_TERMS.items() for term in terms]
-    return spark.createDataFrame(rows, "gap string, term string")

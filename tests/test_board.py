@@ -97,3 +97,20 @@ def test_replacing_sink(spark, tmp_path):
         sinks.replace(new, path, ["project_id"], gone, "project_id", 4)
     assert sorted(tuple(r) for r in sinks.read(spark, path).select("project_id", "v").collect()) == [
         (0, "old0"), (1, "new1"), (1, "new1b"), (3, "old3"), (4, "old4"), (5, "old5")]
+
+
+def test_long_cards_go_out_in_parts_and_lose_nothing(spark):
+    title, text = "T" * 25, "".join(chr(97 + k % 26) for k in range(73))
+    row = (1, 1, "", title, text, "technical", "", "explicit", "accept", None, "")
+    cards = spark.createDataFrame(
+        [row], "project_id int, task_id int, external_ref string, title string, body string, team string, assignee_role string, "
+        "source_status string, validation_status string, due_date date, account_id string")
+    parts = sorted(board.payload(cards, 20).collect(), key=lambda r: r.part_no)
+    assert [r.part_no for r in parts] == [1, 2, 3, 4]
+    assert "".join(r.name for r in parts) == title and "".join(r.desc for r in parts) == text
+
+
+def test_every_missing_dependency_is_a_row(spark):
+    tasks = spark.createDataFrame([(1, k, f"t{k}", "x" if k == 0 else "") for k in range(7)], "project_id int, task_id int, title string, external_ref string")
+    deps = spark.createDataFrame([(1, 0, k) for k in range(1, 7)], "project_id int, task_id int, depends_on_id int")
+    assert {r.depends_on_id for r in board.dangling(tasks, deps).collect()} == set(range(1, 7))

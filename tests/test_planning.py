@@ -192,3 +192,13 @@ def test_bucketed_windows_equal_plain_ones(spark):
     for got, want in cases:
         assert sorted(map(tuple, got.select("k", "o", "x").collect()), key=str) == sorted(
             map(tuple, df.withColumn("x", want).select("k", "o", "x").collect()), key=str)
+
+
+def test_longest_paths_of_a_cycle_end_with_an_error(spark):
+    import pytest
+
+    names = list("ABC")
+    nodes = spark.createDataFrame([(1, n, 8) for n in names], "project_id int, task_id string, weight int")
+    ring = spark.createDataFrame([(1, "A", "B"), (1, "B", "C"), (1, "C", "A")], "project_id int, src string, dst string")
+    with pytest.raises(ValueError):
+        graph.longest_paths(nodes, ring)
