@@ -187,12 +187,12 @@ DUCK["v_derived"] = """
 SELECT project_id, 'story_without_requirement' AS rule, story_key AS item FROM v_all_stories WHERE kind <> 'engineer' AND requirement_id = ''
 UNION ALL SELECT project_id, 'engineer_story_without_task', story_key FROM v_all_stories WHERE kind = 'engineer' AND task_id IS NULL
 UNION ALL SELECT project_id, 'case_without_story', case_key FROM v_case_rows WHERE story_key = ''
-UNION ALL SELECT project_id, 'story_without_criteria', story_key FROM v_all_stories WHERE story_key NOT IN (SELECT story_key FROM v_criteria)
+UNION ALL SELECT project_id, 'story_without_criteria', story_key FROM v_all_stories ANTI JOIN v_criteria USING (story_key)
 UNION ALL SELECT project_id, 'story_from_delivery_side', story_key FROM v_all_stories WHERE kind <> 'engineer' AND delivery_side
 UNION ALL SELECT project_id, 'threshold_uncited', criterion_key FROM v_raw_crit WHERE measure <> '' AND source_key = ''
 UNION ALL SELECT project_id, 'notes_uncited', story_key FROM v_all_stories WHERE technical_notes <> '' AND notes_keys = ''
-UNION ALL SELECT project_id, 'number_unexplained', case_key FROM v_case_rows WHERE regexp_matches(expected_result, '[0-9]') AND assumed_fields = '' AND story_key NOT IN (SELECT story_key FROM v_all_stories WHERE source_key <> '')
-UNION ALL SELECT project_id, 'criteria_of_rejected_task', story_key FROM v_all_stories WHERE kind = 'engineer' AND task_id IN (SELECT task_id FROM v_tasks WHERE validation_status IN ('reject', 'unsupported')) AND story_key IN (SELECT story_key FROM v_criteria)"""
+UNION ALL SELECT project_id, 'number_unexplained', case_key FROM (SELECT * FROM v_case_rows WHERE regexp_matches(expected_result, '[0-9]') AND assumed_fields = '') ANTI JOIN (SELECT story_key FROM v_all_stories WHERE source_key <> '') s USING (story_key)
+UNION ALL SELECT project_id, 'criteria_of_rejected_task', story_key FROM (SELECT * FROM v_all_stories WHERE kind = 'engineer') SEMI JOIN (SELECT task_id FROM v_tasks WHERE validation_status IN ('reject', 'unsupported')) r USING (task_id) SEMI JOIN (SELECT story_key FROM v_criteria) k USING (story_key)"""
 DUCK["v_off_derived"] = "SELECT DISTINCT project_id, 'derived_artifacts' AS stage, item FROM v_derived"
 DUCK["v_offenders"] = " UNION ALL ".join(f"SELECT * FROM v_off_{n}" for n in ["schema", "grounding", "evidence", "rules", "deps", "timeline", "ms", "staffing", "derived"])
 
