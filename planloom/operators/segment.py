@@ -8,11 +8,11 @@ window, and a long document costs only its own length.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planloom.functions.citations import chunk_key
 from planloom.functions.text import LINE_BREAK, SPACE, collapse_space, strip
-from planloom.operators import windows
 
 MAX_CHUNK_CHARS = 1200
 MIN_CHUNK_CHARS = 40
@@ -210,52 +210,71 @@ def lines_outside_tables(lines: DataFrame, tables: DataFrame, tolerance: float =
     return lines.join(box, inside, "left_anti")
 
 
-def with_gap(lines: DataFrame) -> DataFrame:
-    """Distance to the line above on the same page."""
-    above = windows.lag(
-        lines, ["doc_key", "page"], windows.by_width(F.col("line_no"), 10_000), [F.col("line_no")],
-        F.col("top"), "above",
+def _laid_out(lines: DataFrame, tables: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Lines outside tables and the tables themselves, in one frame dealt out by document: everything
+    after it works inside documents and pages, which are bounded, and moves no row again.
+
+    (doc_key, page, top, layer, line_no, text, inked, gap): layer 0 are tables; gap is the distance to
+    the line above on the page.
+    """
+    rows = lines.select("doc_key", "page", "top", F.lit(1).alias("layer"), "line_no", "x0", F.lit(None).cast("struct<x0:double,x1:double,top:double,bottom:double>").alias("box"), strip(F.col("text")).alias("text"))
+    side = lambda c: F.col(c).cast("double").alias(c)
+    boxed = tables.select(
+        "doc_key", "page", "top", F.lit(0).alias("layer"), F.lit(0).alias("line_no"), "x0", F.struct(side("x0"), side("x1"), side("top"), side("bottom")).alias("box"),
+        flatten_rows(F.col("rows")).alias("text"),
+    )
+    dealt = rows.unionByName(boxed).repartition("doc_key")
+    boxes = F.collect_list("box").over(W.partitionBy("doc_key", "page"))
+    inside = F.exists(
+        boxes,
+        lambda b: F.col("top").between(b["top"] - tolerance, b["bottom"] + tolerance) & F.col("x0").between(b["x0"] - tolerance, b["x1"] + tolerance),
+    )
+    above = F.lag("top").over(W.partitionBy("doc_key", "page", "layer").orderBy("line_no"))
+    return (
+        dealt.withColumn("inside", inside).filter((F.col("layer") == 0) | ~F.col("inside")).drop("inside", "box", "x0")
+        .withColumn("gap", F.when(F.col("layer") == 1, F.col("top") - above))
+        .withColumn("inked", F.col("text") != "")
     )
-    return above.withColumn("gap", F.col("top") - F.col("above")).drop("above")
 
 
-def gap_thresholds(gapped: DataFrame) -> DataFrame:
-    """Per document, the smallest positive gap times 1.25; infinite when there is none."""
-    return gapped.groupBy("doc_key").agg(
-        F.coalesce(F.min(F.when(F.col("gap") > 0, F.col("gap"))) * 1.25, F.lit(float("inf"))).alias("threshold")
+def _threshold(positive: Column) -> Column:
+    return F.coalesce(positive * 1.25, F.lit(float("inf")))
+
+
+def gap_thresholds(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Per document with a line, the smallest positive gap times 1.25; infinite when there is none."""
+    return _laid_out(lines, tables).filter("layer = 1").groupBy("doc_key").agg(
+        _threshold(F.min(F.when(F.col("gap") > 0, F.col("gap")))).alias("threshold")
     )
 
 
 def layout_blocks(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines and tables into ordered blocks (doc_key, page, block_no, text, is_table).
 
-    A table goes before the first line that starts at or below its top. A new block starts at
-    headings, after headings and tables, and where the gap to the line above is wide.
+    A table goes before the first line that starts at or below its top; lines within a table's box go
+    with it. A new block starts at headings, after headings and tables, and where the gap to the line
+    above is wide. One exchange, by document.
     """
-    gapped = with_gap(lines)
-    limits = gap_thresholds(gapped)
-    # The gap inside a page counts non-empty lines only.
-    inked = with_gap(lines.filter(strip(F.col("text")) != "")).withColumn("text", strip(F.col("text")))
-    marked = inked.join(limits, "doc_key").select(
-        "doc_key", "page", F.col("top"), F.lit(1).alias("layer"), "line_no", "text", F.lit(False).alias("is_table"),
-        is_heading(F.col("text")).alias("heading"),
-        (F.coalesce("gap", F.lit(0.0)) > F.col("threshold")).alias("wide"),
+    laid = _laid_out(lines, tables)
+    limit = _threshold(F.min(F.when(F.col("gap") > 0, F.col("gap"))).over(W.partitionBy("doc_key")))
+    # The gap that parts blocks counts lines with ink only.
+    above = F.lag("top").over(W.partitionBy("doc_key", "page", "layer").orderBy("line_no"))
+    table = F.col("layer") == 0
+    marked = (
+        laid.withColumn("threshold", limit).filter("inked")
+        .withColumn("gap", F.when(~table, F.col("top") - above))
+        .withColumn("heading", table | is_heading(F.col("text")))
+        .withColumn("wide", ~table & (F.coalesce("gap", F.lit(0.0)) > F.col("threshold")))
     )
-    boxed = tables.select(
-        "doc_key", "page", "top", F.lit(0).alias("layer"), F.lit(0).alias("line_no"),
-        flatten_rows(F.col("rows")).alias("text"), F.lit(True).alias("is_table"), F.lit(True).alias("heading"),
-        F.lit(False).alias("wide"),
-    ).filter(F.col("text") != "")
-    ordered = marked.unionByName(boxed)
-    keys, bucket = ["doc_key", "page"], windows.by_width(F.col("top"), 10_000)
-    order = [F.col("top"), F.col("layer"), F.col("line_no")]
-    stepped = windows.lag(ordered, keys, bucket, order, F.col("heading"), "after_heading")
+    order = W.partitionBy("doc_key", "page").orderBy("top", "layer", "line_no")
     opens = F.col("heading") | F.col("wide") | F.coalesce("after_heading", F.lit(True))
-    numbered = windows.running_sum(stepped, keys, bucket, order, opens.cast("int"), "block_no")
+    numbered = marked.withColumn("after_heading", F.lag("heading").over(order)).withColumn(
+        "block_no", F.sum(opens.cast("int")).over(order).cast("int")
+    )
     # One block is one paragraph: a few lines of a page.
     return numbered.groupBy("doc_key", "page", "block_no").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("top", "layer", "line_no", "text"))), lambda r: r["text"]), " "
         ).alias("text"),
-        F.max("is_table").alias("is_table"),
+        F.bool_or(table).alias("is_table"),
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planloom.functions.text import strip
-from planloom.operators import quality, segment, windows
+from planloom.operators import quality, segment
 from planloom.plans.adapters import DUCK, SPARK_ONLY, _doc_key
 from planloom.plans.registry import query
 
@@ -180,7 +181,7 @@ DUCK["v_gaps"] = "SELECT *, top - lag(top) OVER (PARTITION BY doc_key, page ORDE
 
 @query("doc_gap_threshold", "SELECT doc_key, coalesce(min(gap) FILTER (WHERE gap > 0) * 1.25, CAST('inf' AS DOUBLE)) AS threshold FROM v_gaps GROUP BY 1")
 def _(c):
-    return segment.gap_thresholds(segment.with_gap(segment.lines_outside_tables(c.view("v_lines"), c.view("v_layout_tables"))))
+    return segment.gap_thresholds(c.view("v_lines"), c.view("v_layout_tables"))
 
 
 DUCK["v_layout"] = f"""
@@ -196,8 +197,7 @@ GROUP BY 1, 2, 3"""
 
 
 def layout(c):
-    tables = c.view("v_layout_tables")
-    return segment.layout_blocks(segment.lines_outside_tables(c.view("v_lines"), tables), tables)
+    return segment.layout_blocks(c.view("v_lines"), c.view("v_layout_tables"))
 
 
 @query("doc_line_paragraphs", "SELECT * FROM v_layout")
@@ -220,10 +220,9 @@ SELECT doc_key, CAST(run AS INT) AS run, title, page_start, page_end FROM (
     FROM (SELECT *, NOT is_table AND {duck_heading('text')} AS heading FROM v_layout)))
   GROUP BY 1, 2) WHERE kept AND run > 0""")
 def _(c):
-    numbered = windows.running_sum(
-        layout(c).withColumn("heading", ~F.col("is_table") & segment.is_heading(F.col("text"))), ["doc_key"],
-        windows.by_width(F.col("page"), 1_000), [F.col("page"), F.col("block_no")], F.col("heading").cast("int"), "run",
-    )
+    marked = layout(c).withColumn("heading", ~F.col("is_table") & segment.is_heading(F.col("text")))
+    in_order = W.partitionBy("doc_key").orderBy("page", "block_no")
+    numbered = marked.withColumn("run", F.sum(F.col("heading").cast("int")).over(in_order).cast("int"))
     has_piece = F.exists(segment.split_long(F.col("text")), lambda p: F.length(p) >= segment.MIN_CHUNK_CHARS)
     body = ~F.col("heading") & (F.col("is_table") | has_piece)
     pages = numbered.withColumn("body", body).groupBy("doc_key", "run").agg(

@@ -86,7 +86,7 @@ def test_layout_blocks(spark):
         "doc_key string, page int, line_no int, top double, x0 double, text string")
     tables = spark.createDataFrame([("d", 1, 40.0, 60.0, 500.0, 70.0, [["a", "b"]])],
                                    "doc_key string, page int, x0 double, top double, x1 double, bottom double, rows array<array<string>>")
-    out = segment.layout_blocks(segment.lines_outside_tables(lines, tables), tables).orderBy("block_no").collect()
+    out = segment.layout_blocks(lines, tables).orderBy("block_no").collect()
     assert [r.text for r in out] == ["First line of a paragraph", "second paragraph", "a | b", "2.1 Offers", "after the heading"]
     assert [r.is_table for r in out] == [False, False, True, False, False]
 
