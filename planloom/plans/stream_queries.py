@@ -51,13 +51,22 @@ def snapshot_of(c, check: int):
         F.when(s % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("acct-"), (s % 90).cast("string")))).alias("members"))
 
 
-def watched(c):
+def watcher(c, together: bool = False) -> DriftWatch:
+    """The watcher after all checks: one batch each, or all in one as after an outage."""
     home = f"{scratch(c.spark)}/watch-{uuid.uuid4().hex}"
     watch = DriftWatch(c.spark, home, c.view("v_planned"))
     for check in range(1, CHECKS + 1):
         snapshot_of(c, check).write.mode("append").parquet(watch.inbox)
+        if not together:
+            watch.rescan()
+    if together:
         watch.rescan()
-    return watch.state(CHECKS - 1)
+    return watch
+
+
+def watched(c, together: bool = False):
+    watch = watcher(c, together)
+    return watch.state(watch.last_batch())
 
 
 @query("stream_drift", "SELECT project_id, task_id, kind, first_seen_at, resolved_at FROM v_watched")
@@ -80,3 +89,15 @@ def _(c):
 def _(c):
     # What the catch-up check was the first to see.
     return watched(c).filter("fresh").select("project_id", "task_id", "kind", "first_seen_at")
+
+
+@query("stream_backlog", "SELECT project_id, task_id, kind, first_seen_at, resolved_at FROM v_watched")
+def _(c):
+    # All checks arrive at once: what came and went between them is told all the same.
+    return watched(c, together=True).select("project_id", "task_id", "kind", "first_seen_at", "resolved_at")
+
+
+@query("stream_board_checked", "SELECT board_id, max(check_no) AS board_checked_at FROM v_read GROUP BY 1")
+def _(c):
+    watch = watcher(c)
+    return watch.boards(watch.last_batch())

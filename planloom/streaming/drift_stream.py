@@ -1,9 +1,10 @@
 """Board checks as a stream of snapshots: report a difference once, settle it, report it again.
 
-The state (open and settled differences) is a table with one version per micro-batch, in the
-cluster's shared folder. A batch reads the version of the batch before it and writes its own.
-A batch that is run again after a failure overwrites its own version with the same rows, so
-the state is exact whatever is lost on the way.
+Three tables in the cluster's shared folder hold the state, one version per micro-batch: open
+differences, the differences a batch settled (appended once, never rewritten), and when each board
+was last read. A batch reads the versions before it and writes its own. A batch that is run again
+after a failure overwrites its own versions with the same rows, so the state is exact whatever is
+lost on the way, and however checks are dealt to batches: those of one batch are replayed in order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from planloom.operators import board
+from planloom.session import stored
 
 STATE_SCHEMA = (
     "project_id bigint, task_id bigint, kind string, detail string, first_seen_at bigint, notified_at bigint, "
@@ -22,6 +24,7 @@ SNAPSHOT_SCHEMA = (
     "check_no bigint, board_id string, card_id string, list_name string, title string, body string, archived boolean, "
     "members array<string>"
 )
+BOARD_SCHEMA = "board_id string, board_checked_at bigint"
 CHECK_SECONDS = 900
 
 
@@ -30,7 +33,7 @@ class DriftWatch:
 
     def __init__(self, spark: SparkSession, home: str, planned: DataFrame):
         self.spark, self.home, self.planned = spark, home, planned
-        self.inbox, self.versions = f"{home}/inbox", f"{home}/state"
+        self.inbox = f"{home}/inbox"
 
     def _start(self):
         snapshots = self.spark.readStream.schema(SNAPSHOT_SCHEMA).parquet(self.inbox)
@@ -50,26 +53,64 @@ class DriftWatch:
         if query.exception() is not None:
             raise query.exception()
 
+    def _version(self, table: str, schema: str, batch_id: int) -> DataFrame:
+        if batch_id < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.home}/{table}/batch={batch_id}")
+
+    def last_batch(self) -> int:
+        """The newest batch that has written its versions; -1 before the first. A check in which no
+        board could be read makes no batch."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/boards")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return -1
+        done = [f.getPath() for f in files.listStatus(folder) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return max((int(p.getName().split("=")[1]) for p in done), default=-1)
+
+    def open(self, batch_id: int) -> DataFrame:
+        """Open differences as a batch left them."""
+        return self._version("open", STATE_SCHEMA, batch_id)
+
     def state(self, batch_id: int) -> DataFrame:
-        """State as a batch left it; empty before the first."""
+        """Open and settled differences as a batch left them; empty before the first."""
         if batch_id < 0:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.versions}/batch={batch_id}")
+        settled = self.spark.read.schema(f"{STATE_SCHEMA}, batch bigint").parquet(f"{self.home}/settled")
+        return self.open(batch_id).unionByName(settled.filter(F.col("batch") <= batch_id).drop("batch"))
 
-    def latest(self, last_batch: int) -> DataFrame:
-        return self.state(last_batch)
+    def boards(self, batch_id: int) -> DataFrame:
+        """When each board was last read: it stays as it was where reading failed."""
+        return self._version("boards", BOARD_SCHEMA, batch_id)
 
     def check(self, snapshots: DataFrame, batch_id: int) -> None:
-        """Reconcile the state with each board's newest snapshot in the batch.
+        """Reconcile the state with every check of the batch, in order, each at its own time.
 
-        Boards with no card in the batch could not be read: their rows stay as they are.
+        Boards with no card in a check could not be read: their rows stay as they are. A check of a
+        board that is not newer than the last one of that board is passed over.
         """
-        newest = snapshots.groupBy("board_id").agg(F.max("check_no").alias("check_no"))
-        cards = snapshots.join(newest, ["board_id", "check_no"], "left_semi")
-        found = board.detect(self.planned, cards)
-        checked = self.planned.filter("external_ref <> ''").join(newest, "board_id").select("project_id", "task_id", "check_no")
-        before = self.state(batch_id - 1).drop("fresh")
-        now = newest.agg(F.max("check_no")).first()[0]  # one number per batch
-        merged = board.reconcile(before, found, checked, F.lit(now).cast("bigint"))
-        merged.select(*[f.name for f in self.state(-1).schema]).write.mode("overwrite").parquet(
-            f"{self.versions}/batch={batch_id}")
+        seen = self.boards(batch_id - 1)
+        fresh_cards = stored(
+            snapshots.join(seen, "board_id", "left").filter(F.col("check_no") > F.coalesce("board_checked_at", F.lit(-1))).drop("board_checked_at")
+        )
+        # The numbers of the checks that came since the last batch, not of their cards.
+        numbers = sorted(r[0] for r in fresh_cards.select("check_no").distinct().collect())
+        placed = self.planned.filter("external_ref <> ''")
+        columns = [f.name for f in self.state(-1).schema]
+        current, settled = self.open(batch_id - 1), []
+        for number in numbers:
+            cards = fresh_cards.filter(F.col("check_no") == number)
+            checked = placed.join(cards.select("board_id").distinct(), "board_id").select("project_id", "task_id")
+            merged = board.reconcile(current.drop("fresh"), board.detect(self.planned, cards), checked, F.lit(number).cast("bigint"))
+            merged = stored(merged.withColumn("fresh", F.col("first_seen_at") >= numbers[0]).select(*columns))
+            settled.append(merged.filter("resolved_at IS NOT NULL"))
+            current = merged.filter("resolved_at IS NULL")
+        if not numbers:
+            current = current.withColumn("fresh", F.lit(False))
+        done = self.state(-1)
+        for part in settled:
+            done = done.unionByName(part)
+        newest = fresh_cards.groupBy("board_id").agg(F.max("check_no").alias("board_checked_at"))
+        boards = seen.unionByName(newest).groupBy("board_id").agg(F.max("board_checked_at").alias("board_checked_at"))
+        for table, rows in (("open", current), ("settled", done), ("boards", boards)):
+            rows.write.mode("overwrite").parquet(f"{self.home}/{table}/batch={batch_id}")
