@@ -13,6 +13,7 @@ HEADLINE = [
     "doc_chunks", "pq_status", "cite_task_evidence", "gap_validate", "role_match", "dep_cycles", "critical_path",
     "gr_task_score", "gr_retrieve_topk", "val_business_rules", "val_report",
     "art_engineer_story", "card_body", "checklist_diff", "drift_reconcile", "view_structure", "ev_coverage",
+    "doc_section_pages", "drift_notify_batch", "sink_replace_by_project", "stream_drift",
 ]
 
 

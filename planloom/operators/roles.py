@@ -50,7 +50,8 @@ def targets(project_roles: DataFrame) -> DataFrame:
 
 
 def matched(tasks: DataFrame, extra_roles: DataFrame) -> DataFrame:
-    """The best role of the task's team, default or named by the document, else the team's lead.
+    """The best role of the task's team, default or named by the document, else the team's lead. A task
+    of a team that no default role belongs to keeps its wording, with a warning.
 
     tasks(project_id, task_id, team, raw_role); extra_roles(project_id, role_id, role_title, team)
     as `targets` returns them.
@@ -86,8 +87,9 @@ def matched(tasks: DataFrame, extra_roles: DataFrame) -> DataFrame:
     found = own_score >= vocab.DISTINCTIVE_POINTS
     return joined.select(
         "project_id", "task_id", "team", "raw_role",
-        F.when(by_extra, F.col("extra.role_title")).when(found & ~blank, F.col("own.title")).otherwise(lead).alias("role_title"),
-        F.when(blank | by_extra | found, "").when(
+        F.when(lead.isNull(), F.col("raw_role")).when(by_extra, F.col("extra.role_title")).when(found & ~blank, F.col("own.title")).otherwise(lead).alias("role_title"),
+        F.when(lead.isNull(), F.concat(F.lit("unknown team "), quoted(F.col("team")), F.lit("; role left as written"))).when(
+            blank | by_extra | found, "").when(
             F.col("other_team").isNotNull(),
             F.concat(F.lit("role "), quoted(F.col("raw_role")), F.lit(" belongs to the "), F.col("other_team"),
                      F.lit(" team but the task is "), F.col("team"), F.lit("; assigned to "), lead),

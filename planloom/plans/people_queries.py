@@ -30,7 +30,7 @@ _roster = ", ".join("(" + ", ".join([str(i), f"'{t}'", f"'{team}'", f"'{does}'",
 DUCK["v_roster"] = f"SELECT o AS role_ord, t AS role_title, m AS team, d AS responsibility, l AS is_lead, {duck_tokens('t')} AS toks FROM (VALUES {_roster}) x(o, t, m, d, l)"
 # Roles the documents named themselves: some orders bring an architect to the technical team.
 DUCK["v_named_roles"] = "SELECT project_id, role_id, CASE WHEN role_id % 4 = 0 THEN 'Integration Architect' ELSE role_title END AS role_title, CASE WHEN role_id % 4 = 0 THEN 'technical' ELSE team END AS team FROM v_project_roles"
-DUCK["v_raw_roles"] = f"SELECT raw_role, team, toks, lead FROM (SELECT DISTINCT raw_role, team, {duck_tokens('raw_role')} AS toks FROM v_tasks) JOIN (SELECT team, role_title AS lead FROM v_roster WHERE is_lead) l USING (team)"
+DUCK["v_raw_roles"] = f"SELECT raw_role, team, toks, lead FROM (SELECT DISTINCT raw_role, team, {duck_tokens('raw_role')} AS toks FROM v_tasks) LEFT JOIN (SELECT team, role_title AS lead FROM v_roster WHERE is_lead) l USING (team)"
 DUCK["v_options"] = f"""
 SELECT w.raw_role, w.team, r.role_title, r.team AS role_team, r.role_ord AS o, {duck_score('r.toks', 'w.toks')} AS s FROM v_raw_roles w CROSS JOIN v_roster r"""
 DUCK["v_matched"] = f"""
@@ -50,21 +50,17 @@ def named_roles(c):
         F.when(architect, "technical").otherwise(F.col("team")).alias("team"))
 
 
-def known_team_tasks(c):
-    return c.view("v_tasks").filter(F.col("team").isin(vocab.TEAMS))
-
-
 @query("role_tokens", f"SELECT task_id, array_to_string(list_sort({duck_tokens('raw_role')}), ' ') AS tokens FROM v_tasks")
 def _(c):
     return c.view("v_tasks").select("task_id", F.array_join(F.array_sort(roles.tokens(F.col("raw_role"))), " ").alias("tokens"))
 
 
 @query("role_match", """
-SELECT task_id, CASE WHEN coalesce(extra_s > own_s, false) THEN extra WHEN own_s >= 10 AND NOT blank THEN own ELSE lead END AS role_title,
-  CASE WHEN blank OR coalesce(extra_s > own_s, false) OR own_s >= 10 THEN '' WHEN other_team IS NOT NULL THEN 'role ''' || raw_role || ''' belongs to the ' || other_team || ' team but the task is ' || team || '; assigned to ' || lead
+SELECT task_id, CASE WHEN lead IS NULL THEN raw_role WHEN coalesce(extra_s > own_s, false) THEN extra WHEN own_s >= 10 AND NOT blank THEN own ELSE lead END AS role_title,
+  CASE WHEN lead IS NULL THEN 'unknown team ''' || team || '''; role left as written' WHEN blank OR coalesce(extra_s > own_s, false) OR own_s >= 10 THEN '' WHEN other_team IS NOT NULL THEN 'role ''' || raw_role || ''' belongs to the ' || other_team || ' team but the task is ' || team || '; assigned to ' || lead
        ELSE 'unknown ' || team || ' role ''' || raw_role || ''', assigned to ' || lead END AS warning FROM v_matched""")
 def _(c):
-    return roles.matched(known_team_tasks(c), roles.targets(named_roles(c))).select("task_id", "role_title", "warning")
+    return roles.matched(c.view("v_tasks"), roles.targets(named_roles(c))).select("task_id", "role_title", "warning")
 
 
 @query("role_targets", """
