@@ -106,11 +106,11 @@ SELECT project_id, role_id, role_title, source_status FROM v_project_roles WHERE
 UNION ALL SELECT project_id, project_id * 10 + 9, 'Replaced role', 'assumed' FROM v_projects WHERE project_id % 3 = 0 AND project_id % 2 = 0""")
 def _(c):
     path = folder(c, "roles")
-    sinks.create(c.view("v_project_roles").select("project_id", "role_id", "role_title", "source_status"), path, "project_id", 16)
+    sinks.create(c.view("v_project_roles").select("project_id", "role_id", "role_title", "source_status"), path, "project_id")
     again = c.view("v_projects").filter("project_id % 3 = 0")
     new = again.filter("project_id % 2 = 0").select(
         "project_id", (F.col("project_id") * 10 + 9).alias("role_id"), F.lit("Replaced role").alias("role_title"), F.lit("assumed").alias("source_status"))
-    sinks.replace(new, path, ["project_id"], again, "project_id", 16)
+    sinks.replace(new, path, ["project_id"], again)
     return sinks.read(c.spark, path)
 
 
@@ -120,9 +120,9 @@ UNION ALL SELECT project_id, task_id, claim_id, 'new' FROM v_claims WHERE part_i
     "part_id % 5 <> 0 OR task_id % 2 = 0", "task_id NOT IN (SELECT task_id FROM v_claims WHERE part_id % 5 = 0 AND task_id % 2 = 1)"))
 def _(c):
     path, claims = folder(c, "claims"), c.view("v_claims")
-    sinks.create(claims.select("project_id", "task_id", "claim_id", F.lit("old").alias("run")), path, "project_id", 16)
+    sinks.create(claims.select("project_id", "task_id", "claim_id", F.lit("old").alias("run")), path, "project_id")
     new = claims.filter("part_id % 5 = 0 AND task_id % 2 = 1").select("project_id", "task_id", "claim_id", F.lit("new").alias("run"))
-    sinks.replace(new, path, ["project_id", "task_id"], new.select("project_id", "task_id"), "project_id", 16)
+    sinks.replace(new, path, ["project_id", "task_id"], new.select("project_id", "task_id"))
     return sinks.read(c.spark, path)
 
 
