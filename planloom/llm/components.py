@@ -27,6 +27,15 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b")))
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least node within two links. Nodes of one label are connected; the converse
+    need not hold. Two joins, however long the components are."""
+    both = _both(links.filter("a <> b"))
+    one = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    two = both.join(one.withColumnsRenamed({"a": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("label"))
+    return two.withColumn("label", F.least("label", "node"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the least node that can be reached.
 
@@ -36,10 +45,10 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         links = stored(_small_star(_large_star(links)).filter("a <> b").distinct())
-        # Done when every node has one link, to a node that is no one's greater end.
-        tops = links.select(F.col("b").alias("a")).distinct()
-        once = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if links.join(tops, "a", "left_semi").isEmpty() and once.isEmpty():
+        # Done when every node has one link, to a node that has none itself.
+        ends = links.select(F.col("a").alias("node"), F.lit(2).alias("n")).unionAll(links.select(F.col("b").alias("node"), F.lit(0).alias("n")))
+        ends = ends.groupBy("node").agg(F.sum("n").alias("out"), F.min("n").alias("least"))
+        if ends.filter("out > 2 OR out = 2 AND least = 0").isEmpty():
             break
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(
         links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.bytewords import mix, texts_in_chunks
 from planloom.llm.common import map_batches, stored, text_of
-from planloom.llm.components import components
+from planloom.llm.components import components, near_labels
 
 #: Bands of so many registers each. A pair at similarity 0.8 shares no band with probability
 #: (1 - 0.8**6)**40 = 5e-6.
@@ -80,21 +80,20 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Probability that registers of sets of these sizes agree without a shingle in common: equal
-    leading zeros, and equal bits after them."""
-    zeros = np.arange(40.0)[:, None]
+def zero_law(n: np.ndarray) -> np.ndarray:
+    """(sizes, zeros): how likely a register of a set of each size has so many leading zeros."""
+    at_least = 1 - (1 - 2.0 ** -np.arange(41.0)[None, :]) ** np.maximum(np.asarray(n, float)[:, None] / REGISTERS, 1)
+    return at_least[:, :-1] - at_least[:, 1:]
 
-    def law(n):
-        at_least = 1 - (1 - 2.0**-zeros) ** np.maximum(np.asarray(n, float)[None, :] / REGISTERS, 1)
-        return at_least - np.concatenate([at_least[1:], np.zeros((1, at_least.shape[1]))])
 
-    return (law(a) * law(b)).sum(axis=0) * 2.0**-MANTISSA
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Probability that registers of sets with these laws agree without a shingle in common: equal
+    leading zeros, and equal bits after them."""
+    return (a * b).sum(axis=1) * 2.0**-MANTISSA
 
 
-def estimate(equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def estimate(equal: np.ndarray, by_chance: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the share of equal registers, less what agrees by chance."""
-    by_chance = chance(a, b)
     return (equal - by_chance) / (1 - by_chance)
 
 
@@ -143,7 +142,7 @@ def _similar(frame: DataFrame, percent: int) -> DataFrame:
             if len(batch):
                 ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (3, 5))
                 na, nb = (batch.column(k).to_numpy() for k in (2, 4))
-                good = estimate((ra == rb).mean(axis=1), na, nb) >= least
+                good = estimate((ra == rb).mean(axis=1), chance(zero_law(na), zero_law(nb))) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
         return step
@@ -151,13 +150,22 @@ def _similar(frame: DataFrame, percent: int) -> DataFrame:
     return map_batches(frame.select("a", "b", "na", "ra", "nb", "rb"), build, "a bigint, b bigint")
 
 
-def _forest(numbers: np.ndarray, group: np.ndarray, meets: np.ndarray, close, same) -> list[tuple[int, int]]:
-    """Links that join what is apart: every member that `meets` the rest is compared with those in
-    other groups for which close(i) allows it, until same(i, j) has joined them."""
+def _close(regs: np.ndarray, n: np.ndarray, least: float):
+    """close(i): which sets the estimate lets be as similar to set i as wanted."""
+    law = zero_law(n)
+    return lambda i: estimate((regs == regs[i]).mean(axis=1), law @ law[i] * 2.0**-MANTISSA) >= least
+
+
+def _forest(numbers: np.ndarray, group: np.ndarray, meets: np.ndarray, here: np.ndarray, close, same) -> list[tuple[int, int]]:
+    """Links that join what is apart: every member that `meets` the block is compared with those that
+    are at home in it and in other groups, if close(i) allows it, until same(i, j) has joined them."""
     out = []
     group = group.copy()
     for i in np.flatnonzero(meets).tolist():
-        for j in np.flatnonzero(close(i) & (group != group[i])).tolist():
+        apart = here & (group != group[i])
+        if not apart.any():
+            continue
+        for j in np.flatnonzero(apart & close(i)).tolist():
             if group[j] != group[i] and same(i, j):
                 out.append((int(numbers[i]), int(numbers[j])))
                 group[group == group[j]] = group[i]
@@ -175,7 +183,7 @@ def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("home", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     blocks = F.when(F.col("out"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
-    return rows.withColumn("block", F.explode(blocks)).drop("parts")
+    return rows.withColumn("block", F.explode(blocks)).withColumn("here", F.col("block") == F.col("home")).drop("parts", "home")
 
 
 def families(classes: DataFrame, percent: int) -> DataFrame:
@@ -188,8 +196,8 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     near = stored(_similar(pairs.join(left, "a").join(right, "b"), percent))
-    first = components(near)
-    # A class apart from its bucket's pivot meets the whole bucket.
+    # A class that is not known to hang together with its bucket's pivot meets the whole bucket.
+    first = stored(near_labels(near))
     node = first.select(F.col("node").alias("c"), F.col("label").alias("g"))
     rows = (
         shared.join(node, "c", "left").withColumn("g", F.coalesce("g", "c"))
@@ -202,14 +210,14 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     ).filter("any")
     buckets = buckets.groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key")
     rows = _in_blocks(stored(rows.join(buckets, "key", "left_semi").select("key", "c", "g", "out", "size")), "key", BLOCK)
-    rows = rows.join(classes.select("c", "n", "regs"), "c").select("key", "block", "c", "g", "out", "n", "regs")
+    rows = rows.join(classes.select("c", "n", "regs"), "c").select("key", "block", "c", "g", "out", "here", "n", "regs")
     least = least_estimate(percent)
 
     def compare(table: pa.Table) -> pa.Table:
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        n = table["n"].to_numpy()
-        close = lambda i: estimate((regs == regs[i]).mean(axis=1), n, np.full(len(n), n[i])) >= least
-        return _links_batch(_forest(table["c"].to_numpy(), table["g"].to_numpy(), table["out"].to_numpy(zero_copy_only=False), close, lambda i, j: True))
+        out, here = (table[k].to_numpy(zero_copy_only=False) for k in ("out", "here"))
+        close = _close(regs, table["n"].to_numpy(), least)
+        return _links_batch(_forest(table["c"].to_numpy(), table["g"].to_numpy(), out, here, close, lambda i, j: True))
 
     more = rows.groupBy("key", "block").applyInArrow(compare, "a bigint, b bigint")
     return components(near.unionAll(more)).select(F.col("node").alias("c"), F.col("label").alias("family"))
@@ -227,16 +235,18 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(numbers, kind="stable")  # the pivot, the least of its family, comes first
         sets = [np.frombuffer(table["set"][k].as_py(), np.uint64) for k in order.tolist()]
         regs, n = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
-        close = lambda i: estimate((regs == regs[i]).mean(axis=1), n, np.full(len(n), n[i])) >= least
-        out = table["out"].to_numpy(zero_copy_only=False)[order]
-        return _links_batch(_forest(numbers[order], groups[order], out, close, lambda i, j: linked(sets[i], sets[j], percent)))
+        out, here = (table[k].to_numpy(zero_copy_only=False)[order] for k in ("out", "here"))
+        same = lambda i, j: linked(sets[i], sets[j], percent)
+        return _links_batch(_forest(numbers[order], groups[order], out, here, _close(regs, n, least), same))
 
     # First within blocks, the family's pivot in each of them.
     pivot = F.col("c") == F.col("family")
     rows = _in_blocks(placed.withColumn("out", pivot).withColumn("g", F.col("c")), "family", BLOCK)
-    within = stored(rows.withColumn("out", F.lit(True)).select("family", "block", "c", "g", "out", "set").groupBy("family", "block").applyInArrow(compare, "a bigint, b bigint"))
-    joined = components(within)
-    # Then, in families of several blocks, those apart from the pivot meet all blocks.
+    rows = rows.withColumn("out", F.lit(True)).withColumn("here", F.lit(True)).select("family", "block", "c", "g", "out", "here", "set")
+    within = stored(rows.groupBy("family", "block").applyInArrow(compare, "a bigint, b bigint"))
+    joined = stored(near_labels(within))
+    # Then, in families of several blocks, those not known to hang together with the pivot meet all
+    # blocks.
     large = placed.filter(F.col("size") > BLOCK)
     node = joined.select(F.col("node").alias("c"), F.col("label").alias("g"))
     at_pivot = joined.select(F.col("node").alias("family"), F.col("label").alias("pg"))
@@ -246,7 +256,7 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("out", F.col("g") != F.col("pg"))
     )
     rows = _in_blocks(rows.select("family", "c", "g", "out", "size", "set"), "family", BLOCK)
-    across = rows.select("family", "block", "c", "g", "out", "set").groupBy("family", "block").applyInArrow(compare, "a bigint, b bigint")
+    across = rows.select("family", "block", "c", "g", "out", "here", "set").groupBy("family", "block").applyInArrow(compare, "a bigint, b bigint")
     return within.unionAll(across)
 
 
