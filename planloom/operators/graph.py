@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.session import cut
+from planloom.session import cut, discard, stored
 
 ROUNDS_PER_JOB = 4
 # After so many rounds the largest project's size is looked up: values of an acyclic project
@@ -58,8 +58,8 @@ def _relax(state: DataFrame, links: DataFrame, better) -> DataFrame:
     keys = ["project_id", "fwd", "task_id"]
     own = state.select(*keys, F.col("task_id").alias("to"), F.lit(0).alias("add"), F.lit(True).alias("own"))
     steps = links.withColumn("own", F.lit(False)).unionByName(own)
-    steps = cut(steps)
-    rounds, most = 0, None
+    steps = stored(steps)
+    rounds, most, last = 0, None, None
     while True:
         for _ in range(ROUNDS_PER_JOB):
             state = (
@@ -71,9 +71,12 @@ def _relax(state: DataFrame, links: DataFrame, better) -> DataFrame:
                     F.max(F.when(F.col("own"), F.col("value"))).alias("last"),
                 )
             )
-        state = cut(state)
-        rounds += ROUNDS_PER_JOB
+        state = stored(state)
+        if last is not None:
+            discard(last)
+        last, rounds = state, rounds + ROUNDS_PER_JOB
         if state.filter(F.col("value") != F.col("last")).isEmpty():
+            discard(steps)
             return state.drop("last")
         if rounds >= ROUNDS_BEFORE_DOUBT:
             if most is None:

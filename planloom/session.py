@@ -62,4 +62,14 @@ def stored(df: DataFrame) -> DataFrame:
     recompute it nor depend on the executors that made it."""
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    frame.stored_at = path
+    return frame
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing lazy reads it any more: a loop's last round, after the
+    next one has been written."""
+    spark = frame.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
