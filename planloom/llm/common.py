@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.session import scratch, stored  # noqa: F401  re-exported for the operators
+from planloom.session import discard, scratch, stored  # noqa: F401  re-exported for the operators
 
 #: A word: the longest run of bytes that are neither a space nor one of 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import stored
+from planloom.llm.common import discard, stored
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        links = stored(_small_star(_large_star(links)).filter("a <> b").distinct())
+        last, links = links, stored(_small_star(_large_star(links)).filter("a <> b").distinct())
+        discard(last)
         # Done when every node has one link, to a node that has none itself.
         ends = links.select(F.col("a").alias("node"), F.lit(2).alias("n")).unionAll(links.select(F.col("b").alias("node"), F.lit(0).alias("n")))
         ends = ends.groupBy("node").agg(F.sum("n").alias("out"), F.min("n").alias("least"))
