@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions.citations import chunk_key
 from planloom.functions.text import LINE_BREAK, SPACE, collapse_space, strip
+from planloom.operators import windows
 
 MAX_CHUNK_CHARS = 1200
 MIN_CHUNK_CHARS = 40
@@ -278,3 +279,11 @@ def layout_blocks(lines: DataFrame, tables: DataFrame) -> DataFrame:
         ).alias("text"),
         F.bool_or(table).alias("is_table"),
     )
+
+
+def assign_keys(new: DataFrame, existing: DataFrame, prefix: str = "SOW-") -> DataFrame:
+    """(doc_id, doc_key) for documents without a key: numbers go on from the highest one ever given."""
+    given = F.regexp_extract("doc_key", r"([0-9]+)$", 1)
+    highest = existing.agg(F.max(F.when(given != "", given).cast("bigint"))).first()[0] or 0
+    numbered = windows.row_number(new.select("doc_id"), [], windows.by_width(F.col("doc_id"), 10_000), [F.col("doc_id")], "n")
+    return numbered.select("doc_id", F.format_string(f"{prefix}%03d", F.col("n") + F.lit(highest)).alias("doc_key"))

@@ -32,14 +32,27 @@ def _before(keys: list[str]):
     return W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
 
 
+# Without keys the summary rows themselves are one group: so many of them share a summary in turn.
+WIDE = 10_000
+
+
+def _offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, BUCKET, _offset): rows in the buckets before, of (keys, BUCKET, _size)."""
+    if keys:
+        return sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(_before(keys)), F.lit(0))).drop("_size")
+    sizes = sizes.withColumn("_wide", F.floor(F.col(BUCKET) / WIDE))
+    outer = sizes.groupBy("_wide").agg(F.sum("_size").alias("_sum"))
+    earlier = W.orderBy("_wide").rowsBetween(W.unboundedPreceding, -1)
+    outer = outer.select("_wide", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_outer"))
+    inner = W.partitionBy("_wide").orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    return sizes.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(outer, "_wide").select(
+        BUCKET, (F.col("_outer") + F.col("_inner")).alias("_offset")
+    )
+
+
 def row_number(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     df = df.withColumn(BUCKET, bucket)
-    sizes = (
-        df.groupBy(*keys, BUCKET)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(_before(keys)), F.lit(0)))
-        .drop("_size")
-    )
+    sizes = _offsets(df.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_size")), keys)
     return (
         df.join(sizes, [*keys, BUCKET])
         .withColumn(name, (F.col("_offset") + F.row_number().over(_inside(keys, order))).cast("int"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.operators import evaluate, linking, provenance, views, windows
+from planloom.operators import evaluate, linking, provenance, segment, views
 from planloom.plans.adapters import DUCK, _doc_key
 from planloom.plans.provenance_queries import gap_fields, judged, rates
 from planloom.plans.registry import query
@@ -162,11 +162,16 @@ def _(c):
         .unionByName(sinks.orphans(c.view("v_stories"), known, ["project_id", "task_id"], "story.task_id")))
 
 
-@query("doc_key_assign", "SELECT doc_id, printf('SOW-%03d', row_number() OVER (ORDER BY doc_id) + 7) AS doc_key FROM documents")
+@query("doc_key_assign", """
+WITH have AS (SELECT doc_id, printf('SOW-%03d', doc_id + 7) AS doc_key FROM documents WHERE lang = 'de')
+SELECT doc_id, doc_key FROM have
+UNION ALL SELECT doc_id, printf('SOW-%03d', row_number() OVER (ORDER BY doc_id) + (SELECT max(CAST(substr(doc_key, 5) AS BIGINT)) FROM have)) FROM documents WHERE lang IS DISTINCT FROM 'de'""")
 def _(c):
-    # Seven documents are there already; numbering goes on from the highest key ever given.
-    numbered = windows.row_number(c.table("documents").select("doc_id"), [], windows.by_width(F.col("doc_id"), 10_000), [F.col("doc_id")], "n")
-    return numbered.select("doc_id", F.format_string("SOW-%03d", F.col("n") + 7).alias("doc_key"))
+    # Documents in one language have been taken in before and have their keys.
+    docs = c.table("documents").select("doc_id", "lang")
+    before = F.coalesce(F.col("lang") == "de", F.lit(False))
+    have = docs.filter(before).select("doc_id", F.format_string("SOW-%03d", F.col("doc_id") + 7).alias("doc_key"))
+    return have.unionByName(segment.assign_keys(docs.filter(~before), have))
 
 
 # Views -----------------------------------------------------------------------------------
