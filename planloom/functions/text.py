@@ -55,7 +55,9 @@ def _quote(literal: str) -> str:
 
 
 def quoted(c: Column) -> Column:
-    return F.concat(F.lit("'"), c, F.lit("'"))
+    """In single quotes; in double ones if the text holds a single quote and no double one."""
+    single = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"')), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(single)
 
 
 def percent(c: Column) -> Column:

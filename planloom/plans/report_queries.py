@@ -134,14 +134,18 @@ def _(c):
     return c.spark.read.parquet(path)
 
 
-@query("cascade_delete", """
-SELECT 'tasks' AS table_name, count(*) AS rows_left FROM v_tasks WHERE project_id NOT IN (SELECT project_id FROM v_projects WHERE name = '')
-UNION ALL SELECT 'requirements', count(*) FROM v_requirements WHERE project_id NOT IN (SELECT project_id FROM v_projects WHERE name = '')
-UNION ALL SELECT 'milestones', count(*) FROM v_milestones WHERE project_id NOT IN (SELECT project_id FROM v_projects WHERE name = '')
-UNION ALL SELECT 'claims', count(*) FROM v_claims WHERE project_id NOT IN (SELECT project_id FROM v_projects WHERE name = '')""")
+CHILDREN = [
+    "tasks", "deps", "chunks", "citations", "requirements", "milestones", "details", "findings", "claims", "judgements", "stories", "criteria", "cases",
+    "project_roles",
+]
+
+
+@query("cascade_delete", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS rows_left FROM v_{n} c WHERE NOT EXISTS (SELECT 1 FROM v_projects p WHERE p.name = '' AND p.project_id = c.project_id)"
+    for n in CHILDREN))
 def _(c):
-    tables = {n: c.view(f"v_{n}") for n in ("tasks", "requirements", "milestones", "claims")}
     out = None
+    tables = {n: c.view(f"v_{n}").select("project_id") for n in CHILDREN}
     for name, left in sinks.cascade_delete(tables, c.view("v_projects").filter("name = ''")).items():
         part = left.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(name).alias("table_name"), "rows_left")
         out = part if out is None else out.unionByName(part)
