@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm.common import table
+from planloom.llm.common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,10 @@ def oracle_sql() -> dict[str, str]:
 
 
 def query(build):
-    QUERIES[build.__name__] = build
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return build(importable(spark), folder)
+
+    QUERIES[build.__name__] = run
     return build
 
 
@@ -110,3 +113,33 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+ORACLES["op2_near_dedup"] = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM t
+), n AS (
+    SELECT t.doc_id, count(s.shingle) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY 1
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT n.doc_id, n.n AS n_shingles, m.y AS component_id, n.doc_id = m.y AS kept FROM n JOIN (SELECT x, min(y) AS y FROM reach GROUP BY 1) m ON m.x = n.doc_id
+"""
+
+ORACLES["op5_warc"] = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages)
+SELECT page_id, strlen(h) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST((CAST('0x' || substr(s, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id < max(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+FROM d WINDOW g AS (PARTITION BY h)
+"""
