@@ -254,23 +254,20 @@ for _id, _name in [
     _one_check(_id, _name)
 
 
-@query("pq_empty_pages", """
+@query("pq_empty_pages", f"""
 SELECT doc_key, page_count, coalesce(missing, '') AS empty_pages FROM (SELECT doc_key, CAST(max(page) + doc_key_n % 3 AS INT) AS page_count FROM (
   SELECT *, CAST(substr(doc_key, 5) AS INT) AS doc_key_n FROM v_layout) GROUP BY doc_key, doc_key_n) p
 LEFT JOIN (SELECT doc_key, string_agg(k, ', ' ORDER BY k) AS missing FROM (
-  SELECT doc_key, unnest(range(1, mx + 1 + CAST(substr(doc_key, 5) AS INT) % 3)) AS k FROM (SELECT doc_key, max(page) AS mx FROM v_layout GROUP BY 1)) s
-  WHERE (doc_key, k) NOT IN (SELECT (doc_key, page) FROM v_layout WHERE is_table OR length(text) >= 40) GROUP BY 1) m USING (doc_key)""")
+  SELECT doc_key, unnest(range(1, max(page) + CAST(substr(doc_key, 5) AS INT) % 3 + 1)) AS k FROM v_layout GROUP BY doc_key)
+  WHERE (doc_key, k) NOT IN (SELECT (doc_key, page) FROM v_layout WHERE is_table OR NOT {duck_heading('text')} AND length(text) >= 40) GROUP BY 1) m USING (doc_key)""")
 def _(c):
-    # Documents with pages; some claim more pages than carry text.
-    pages = layout(c).groupBy("doc_key").agg(
-        F.max("page").alias("last_page"),
-        F.collect_set(F.when(F.col("is_table") | (F.length("text") >= 40), F.col("page"))).alias("with_text"),
-    )
+    # Documents with pages; some claim more pages than carry a citable piece.
+    part = F.struct("page", "block_no", "text", "is_table")
     extra = F.substring("doc_key", 5, 20).cast("int") % 3
-    count = F.col("last_page") + extra
-    return pages.select(
-        "doc_key", count.cast("int").alias("page_count"),
-        F.array_join(F.array_except(F.sequence(F.lit(1), count), F.col("with_text")), ", ").alias("empty_pages"))
+    paged = layout(c).groupBy("doc_key").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("page").alias("last_page")).select(
+        F.lit(0).alias("project_id"), "doc_key", (F.col("last_page") + extra).cast("int").alias("page_count"),
+        F.transform("parts", lambda b: F.struct(b["text"].alias("text"), b["page"].alias("page"), b["is_table"].alias("is_table"))).alias("parts"))
+    return quality.measures(segment.with_sections(paged)).select("doc_key", "page_count", F.coalesce("empty_pages", F.lit("")).alias("empty_pages"))
 
 
 @query("pq_status", "SELECT doc_key, parsing_status, failures FROM v_status")
