@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from planloom.llm.common import map_batches, text_of
 
-#: Bounds of the sample the model is fitted on: documents of each language, and words of each of
+#: Bounds of the sample the model is fitted on: languages, documents of each, and words of each of
 #: them (a stretch at a seeded place). Predictions use whole texts.
-SAMPLE_DOCS, SAMPLE_WORDS = 600, 120
+LANGUAGES, SAMPLE_DOCS, SAMPLE_WORDS = 64, 600, 120
 #: Feature weights: a table of fixed size, addressed by hash.
 WEIGHTS = 1 << 17
 LEXICON_COUNT = 3
@@ -200,16 +200,18 @@ class Labeller:
         return out
 
 
-def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
-    """At most docs_each documents of every language, in seeded order, and of each at most words_each
-    words from a seeded place. Rows: (id, lang, text), language not null."""
+def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS, languages: int = LANGUAGES) -> list[tuple[str, list[str]]]:
+    """At most docs_each documents of every language (the most frequent ones, so many at most), in seeded
+    order, and of each at most words_each words from a seeded place. Rows: (id, lang, text), language not null."""
     n = F.xxhash64(F.col("id").cast("string"), F.lit(31))
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    # A threshold on the hash leaves about twice as many of each language as are wanted, so that no
-    # task orders a whole language.
-    share = F.least(F.lit(1.0), F.lit(2.0 * docs_each + 50) / F.col("docs"))
-    limits = sizes.select("lang", (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("limit"))
-    few = docs.withColumn("n", n).join(limits, "lang").filter(F.col("n").cast("double") <= F.col("limit"))
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(languages).collect()
+    # A threshold on the hash leaves about twice as many documents of each language as are wanted, so
+    # that no task orders a whole language; it is part of the scan's filter, so no text is shuffled.
+    wanted = F.lit(False)
+    for r in sizes:
+        share = min(1.0, (2.0 * docs_each + 50) / r.docs)
+        wanted = wanted | (F.col("lang") == r.lang) & (F.col("n") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    few = docs.withColumn("n", n).filter(wanted)
 
     def stretches(batches):
         for batch in batches:
