@@ -39,6 +39,11 @@ _FILL = np.random.default_rng(77).permuted(np.tile(np.arange(REGISTERS), (REGIST
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+def _place(k: int) -> np.uint64:
+    """A number for the k-th word of a shingle."""
+    return np.uint64(int(_ODD[k % 4]) * (k + 1) % 2**64)
+
+
 def shingle_sets(texts: list[bytes], size: int):
     """The distinct shingle hashes of each text, sorted. Fewer words than a shingle has: all of them
     as one; none: empty."""
@@ -47,7 +52,7 @@ def shingle_sets(texts: list[bytes], size: int):
         if n > 0:
             whole = np.zeros(n, np.uint64)
             for k in range(size):
-                whole += mix(hashes[k:n + k] + _ODD[k % 4] * np.uint64(k + 1)) * _ODD[(k + 1) % 4]
+                whole += mix(hashes[k:n + k] + _place(k)) * _ODD[(k + 1) % 4]
             whole = mix(whole)
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             if b - a >= size:
@@ -183,7 +188,9 @@ def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("home", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     blocks = F.when(F.col("out"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
-    return rows.withColumn("block", F.explode(blocks)).withColumn("here", F.col("block") == F.col("home")).drop("parts", "home")
+    rows = rows.withColumn("number", F.explode(blocks)).withColumn("here", F.col("number") == F.col("home"))
+    # One column, so that rows dealt out by group are dealt anew and a group's blocks part ways.
+    return rows.withColumn("block", F.concat_ws(":", F.col(group).cast("string"), F.col("number").cast("string"))).drop("parts", "home", "number")
 
 
 def families(classes: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +217,7 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     ).filter("any")
     buckets = buckets.groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key")
     rows = _in_blocks(stored(rows.join(buckets, "key", "left_semi").select("key", "c", "g", "out", "size")), "key", BLOCK)
-    rows = rows.join(classes.select("c", "n", "regs"), "c").select("key", "block", "c", "g", "out", "here", "n", "regs")
+    rows = rows.join(classes.select("c", "n", "regs"), "c").select("block", "c", "g", "out", "here", "n", "regs")
     least = least_estimate(percent)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -219,7 +226,7 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
         close = _close(regs, table["n"].to_numpy(), least)
         return _links_batch(_forest(table["c"].to_numpy(), table["g"].to_numpy(), out, here, close, lambda i, j: True))
 
-    more = rows.groupBy("key", "block").applyInArrow(compare, "a bigint, b bigint")
+    more = rows.groupBy("block").applyInArrow(compare, "a bigint, b bigint")
     return components(near.unionAll(more)).select(F.col("node").alias("c"), F.col("label").alias("family"))
 
 
@@ -242,8 +249,8 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
     # First within blocks, the family's pivot in each of them.
     pivot = F.col("c") == F.col("family")
     rows = _in_blocks(placed.withColumn("out", pivot).withColumn("g", F.col("c")), "family", BLOCK)
-    rows = rows.withColumn("out", F.lit(True)).withColumn("here", F.lit(True)).select("family", "block", "c", "g", "out", "here", "set")
-    within = stored(rows.groupBy("family", "block").applyInArrow(compare, "a bigint, b bigint"))
+    rows = rows.withColumn("out", F.lit(True)).withColumn("here", F.lit(True)).select("block", "c", "g", "out", "here", "set")
+    within = stored(rows.groupBy("block").applyInArrow(compare, "a bigint, b bigint"))
     joined = stored(near_labels(within))
     # Then, in families of several blocks, those not known to hang together with the pivot meet all
     # blocks.
@@ -256,7 +263,7 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("out", F.col("g") != F.col("pg"))
     )
     rows = _in_blocks(rows.select("family", "c", "g", "out", "size", "set"), "family", BLOCK)
-    across = rows.select("family", "block", "c", "g", "out", "here", "set").groupBy("family", "block").applyInArrow(compare, "a bigint, b bigint")
+    across = rows.select("block", "c", "g", "out", "here", "set").groupBy("block").applyInArrow(compare, "a bigint, b bigint")
     return within.unionAll(across)
 
 
