@@ -115,9 +115,10 @@ def exact_duplicates(
     """
     given = docs.select(F.col(id_col).alias("id"), lower_ascii(text_of(text_col)).alias("text"))
     rows = stored(identities(given, size, fingerprint))
-    groups = rows.groupBy("n_blocks", "name").agg(
+    # Written, so that the join below may split the rows of a large group over tasks.
+    groups = stored(rows.groupBy("n_blocks", "name").agg(
         F.max(F.struct("id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")
-    )
+    ))
     return rows.join(groups, ["n_blocks", "name"]).select(
         F.col("id").alias(id_col), F.col("stays.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"), F.col("sha256").alias("text_sha256"),
