@@ -117,8 +117,9 @@ def sorted_out(items: DataFrame) -> DataFrame:
     `on`. Counts are summed before they are shuffled; hot digits are joined, never gathered."""
     again = stored(items.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core"))
     some = stored(items.join(again, "core").withColumn("h", F.xxhash64("id", "t", "a", "lo")))
-    kinds = some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first"))
-    alone = kinds.filter("n = 1").select("core").distinct().withColumn("meets", F.lit(True))
+    # Both sides are written, so that the join may split a digit with many stretches over tasks.
+    kinds = stored(some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")))
+    alone = stored(kinds.filter("n = 1").select("core").distinct().withColumn("meets", F.lit(True)))
     known = stored(kinds.join(alone, "core", "left").select("core", "whole", "n", "first", F.coalesce("meets", F.lit(False)).alias("meets")))
     return some.join(known, ["core", "whole"]).select(
         "id", "t", "a", "lo", "hi", (F.col("n") > 1).alias("dup"), (F.col("meets") & ((F.col("n") == 1) | (F.col("h") == F.col("first")))).alias("on"),
