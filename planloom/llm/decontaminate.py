@@ -1,21 +1,19 @@
 """Benchmark items that documents contain, with small edits.
 
-The CGK random walk reads a word sequence at a random pace: at step j it notes the word under it and
-moves on or stays, as a random bit of (j, word) says. Two sequences at small edit distance fall
-into step again after each edit, so their walks differ in few places: edit distance becomes
-Hamming distance. Sampling a few places of the walk gives a key that close sequences share with
-good probability; enough repetitions, each with its own walk and places, share one almost surely.
-Windows of an item's size that share a key with it are then compared exactly.
-
-Which windows are walked: an item has n - q + 1 runs of q words, and an edit breaks q of them at
+Stretches of a document that share enough runs of words with an item are compared with it exactly:
+bit-parallel edit distance (Myers) keeps a column of the table of edits in two integers of as many
+bits as the item has words, so a word of the document costs a few operations at any item length.
+No match within the limit is lost. CGK walks with sampled places, which could choose among the
+stretches, cost more than that and lose matches of long items (see README); walks() is kept apart.
+
+Which stretches are compared: an item has n - q + 1 runs of q words, and an edit breaks q of them at
 most, so a stretch within d edits shares n - q + 1 - d * q runs or more, and their places in
-document and item differ by amounts no more than d apart. Only windows where that many shared runs
-come together can match; q is three, or less where short items need it. This loses nothing.
+document and item differ by amounts no more than d apart. Only where that many shared runs come
+together can a match be; q is three, or less where short items need it. This loses nothing.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from itertools import repeat
 
@@ -30,21 +28,12 @@ from planloom.llm.common import map_batches, text_of
 EDITS = 0.2
 #: Items of fewer words are found only in documents that consist of the item.
 LEAST_WORDS = 5
-#: Places of the walk that make a key, and the share of matches that must be found.
-PLACES, RECALL = 3, 0.999
-#: Chance that one place of two close walks differs, taken for the number of repetitions.
-DIFFERENT = 0.45
 #: Items sent to the executors at a time; more items take more passes over the documents.
 ITEMS_AT_A_TIME = 20_000
 
 WORDS = re.compile(r"[^\W_]+").findall
 
 
-def repetitions(places: int = PLACES, recall: float = RECALL, different: float = DIFFERENT) -> int:
-    """So many keys that a match shares one with the wanted probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - different) ** places))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -66,30 +55,46 @@ def walks(words: np.ndarray, seeds: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
-def keys(words: np.ndarray, n_keys: int) -> np.ndarray:
-    """One column for each repetition: a hash of the words at a few places of its walk. Places lie in
-    the first 2n steps, where most walks still are."""
-    steps = 2 * words.shape[1]
-    places = np.stack([np.random.default_rng(r).choice(steps, min(PLACES, steps), replace=False) for r in range(n_keys)])
-    walked = walks(words, np.arange(n_keys), int(places.max()) + 1)
-    out = np.broadcast_to(np.arange(1, n_keys + 1, dtype=np.uint64), (len(words), n_keys))
-    for k in range(places.shape[1]):
-        noted = walked[:, np.arange(n_keys), places[:, k]].astype(np.uint64)
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + noted + np.uint64(1))
+def places_of(item: list[int]) -> dict[int, int]:
+    """Bit k of a word's number says that it is word k of the item."""
+    out: dict[int, int] = {}
+    for k, word in enumerate(item):
+        out[word] = out.get(word, 0) | 1 << k
     return out
 
 
-def best_match(item: list[int], text: list[int]) -> tuple[int, int, int]:
-    """Least edit distance of the item to any stretch of the text: (distance, start, end)."""
-    row = [(0, k) for k in range(len(text) + 1)]  # (edits, start of the stretch)
-    for i, word in enumerate(item, 1):
-        before, row = row, [(i, 0)]
-        for k, other in enumerate(text, 1):
-            row.append(min(
-                (before[k - 1][0] + (word != other), before[k - 1][1]), (before[k][0] + 1, before[k][1]), (row[k - 1][0] + 1, row[k - 1][1]),
-            ))
-    edits, end = min((edits, k) for k, (edits, _) in enumerate(row))
-    return edits, row[end][1], end
+def distances(places: dict[int, int], n: int, text: list[int], anchored: bool):
+    """After each word of the text, the least edits that make the item a stretch ending there; anchored:
+    the stretch that is the whole text so far."""
+    every, last, carry = (1 << n) - 1, 1 << (n - 1), int(anchored)
+    up, down, edits = every, 0, n
+    for word in text:
+        same = places.get(word, 0)
+        x = same | down
+        y = (((same & up) + up) ^ up) | same
+        plus, minus = down | ~(y | up) & every, up & y
+        if plus & last:
+            edits += 1
+        elif minus & last:
+            edits -= 1
+        plus, minus = plus << 1 | carry, minus << 1
+        up, down = (minus | ~(x | plus)) & every, plus & x & every
+        yield edits
+
+
+def best_match(item: list[int], text: list[int], places: dict[int, int] | None = None) -> tuple[int, int, int]:
+    """Least edit distance of the item to any stretch of the text: (distance, start, end). The stretch
+    that ends first, and of those the longest."""
+    n = len(item)
+    best, end = n, 0
+    for k, edits in enumerate(distances(places or places_of(item), n, text, False), 1):
+        if edits < best:
+            best, end = edits, k
+            if not best:
+                return 0, end - n, end
+    back = text[max(0, end - n - best):end][::-1]
+    longest = max((k for k, edits in enumerate(distances(places_of(item[::-1]), n, back, True), 1) if edits == best), default=0)
+    return best, end - longest, end
 
 
 class Finder:
@@ -106,7 +111,6 @@ class Finder:
             elif words:
                 self.whole.setdefault(tuple(words), []).append(item)
         self.most = [int(edits * len(w)) for w in self.items]
-        self.n_keys = repetitions()
         self.base = len(self.numbers) + 1
         runs: dict[int, list[tuple[int, int, int]]] = {1: [], 2: [], 3: []}
         self.least = np.ones(len(self.items), np.int64)
@@ -122,7 +126,7 @@ class Finder:
             size: tuple(np.array(c, np.int64) for c in zip(*sorted(found), strict=True)) for size, found in runs.items() if found
         }
         self.edits = np.array(self.most, np.int64)
-        self.item_keys = [keys(w[None, :], self.n_keys)[0] for w in self.items]
+        self.places: dict[int, dict[int, int]] = {}  # of the items compared so far
 
     def run_key(self, words) -> int:
         key = 0
@@ -131,7 +135,7 @@ class Finder:
         return key
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item, window start) wherever enough shared runs come together."""
+        """(item, start of a stretch) wherever enough shared runs come together."""
         found = []
         for size, (run_keys, items, offsets) in self.runs.items():
             n = len(words) - size + 1
@@ -178,27 +182,21 @@ class Finder:
         return out
 
     def best(self, item: int, starts: np.ndarray, words: np.ndarray) -> tuple[int, int, int] | None:
-        """The closest stretch near the starts whose window shares a key with the item."""
-        want, d = self.items[item], self.most[item]
-        n = len(want)
-        found, done = None, -1
-        for part in np.array_split(starts, -(-len(starts) // 256)):
-            place = np.maximum(part, 0)[:, None] + np.arange(n)[None, :]
-            windows = np.where(place < len(words), words[np.minimum(place, len(words) - 1)], 0)
-            close = part[(keys(windows, self.n_keys) == self.item_keys[item]).any(axis=1)]
-            equal = part[(windows == want).all(axis=1) & (part >= 0)]
-            if len(equal):  # no edit: nothing is closer
-                return 0, int(equal[0]), int(equal[0]) + n
-            for start in close.tolist():
-                # The first diagonal of a match is at most d off its first word, the last as much
-                # beyond its last.
-                low, high = max(0, start - d), min(len(words), start + n + 2 * d)
-                if high <= done:
-                    continue
-                done = high
-                edits, a, b = best_match(want.tolist(), words[low:high].tolist())
-                if edits <= d and (found is None or edits < found[0]):
-                    found = (edits, low + a, low + b)
+        """The closest stretch near the starts, if it is close enough."""
+        want, d = self.items[item].tolist(), self.most[item]
+        if item not in self.places:
+            self.places[item] = places_of(want)
+        # The first diagonal of a match is at most d off its first word, the last as much beyond its
+        # last. Parts that overlap are one.
+        low, high = np.maximum(starts - d, 0), np.minimum(starts + len(want) + 2 * d, len(words))
+        first = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+        found = None
+        for a, b in zip(low[first].tolist(), high[np.append(first[1:], len(starts)) - 1].tolist(), strict=True):
+            edits, start, end = best_match(want, words[a:b].tolist(), self.places[item])
+            if edits <= d and (found is None or edits < found[0]):
+                found = (edits, a + start, a + end)
+                if not edits:
+                    break
         return found
 
 

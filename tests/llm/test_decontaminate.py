@@ -65,6 +65,34 @@ def test_against_brute_force(spark):
     assert dc.contamination(frame.limit(0), bench).count() == dc.contamination(frame, bench.limit(0)).count() == 0
 
 
+def test_long_items_at_the_limit_are_all_found():
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(n))) for k, n in enumerate([100, 200, 400] * 8)]
+    find = dc.Finder(items)
+    for k, text in items:
+        words = text.split()
+        d = int(dc.EDITS * len(words))
+        replaced = list(words)
+        for at in rnd.sample(range(len(words)), d):
+            replaced[at] = "new"
+        for body in (replaced, edited(rnd, words, d)):
+            around = [rnd.choice(vocabulary) for _ in range(60)]
+            got = {i: (e, a, b) for i, e, _, a, b in find(" ".join(around[:30] + body + around[30:]))}
+            assert k in got and got[k][0] <= d
+            e, a, b = got[k]
+            assert distance(words, (around[:30] + body + around[30:])[a:b]) == e
+
+
+def test_best_match_against_all_stretches():
+    rnd = random.Random(5)
+    for _ in range(300):
+        item, text = ([rnd.randrange(4) for _ in range(rnd.randint(1, n))] for n in (9, 14))
+        edits, start, end = dc.best_match(item, text)
+        every = [(distance(item, text[a:b]), b, a) for b in range(len(text) + 1) for a in range(b + 1)]
+        assert (edits, end, start) == min(every)
+
+
 def test_walks_keep_close_sequences_close():
     rnd = random.Random(8)
     words = [rnd.randrange(1, 999) for _ in range(40)]
