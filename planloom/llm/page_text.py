@@ -3,9 +3,10 @@
 Pages of one host come from templates. A token of a page is a tag in its place (the path of tags it
 stands in, with their class, id and role), or a text block in its place. Tokens that occur equally
 often on every page of the host share an occurrence vector and form an equivalence class; a class
-that is large and on enough pages is part of the template. Classes nest by the paths of their
-tokens, which gives the host's template; what stands between template tokens are its slots, and the
-article is what the slots of its content part hold.
+that is large and on enough pages is valid, part of a template of all the host's pages or of some. A
+text of a valid class whose own element belongs to the class too is nested in it: the template says
+it. Other texts fill the template's slots. Within an article or main part all texts are the
+article's: one that is the same on all pages cannot be told from copies of the article.
 
 Occurrence vectors are never collected: a vector's fingerprint is the sum, over pages, of count times
 a number drawn from the page, so partial sums of any split of a host's pages add up.
@@ -25,8 +26,11 @@ from planloom.llm.common import stored, text_of
 
 #: Fingerprints are sums modulo this prime, twice over.
 PRIME = (1 << 31) - 1
-#: A text block outside any article is template text if so large a part of the host's pages, and so
-#: many of them, have it in the same place.
+#: A class is valid if it has so many tokens, on so many pages, and on so large a part of the host's
+#: pages, which bounds what is sent for a host to a hundred pages' worth.
+CLASS_TOKENS, CLASS_PAGES, CLASS_PART = 3, 3, 0.01
+#: Of whatever class, a text block outside any article is template text if so large a part of the
+#: host's pages, and so many of them, have it in the same place.
 TEMPLATE_PART, TEMPLATE_PAGES = 0.6, 5
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -181,41 +185,42 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, content, fixed): of each host's template, the paths of its content part and the
-    template texts outside articles as path and crc.
+    """(host, fixed): the template texts outside articles of each host as path, crc, and the pages of the
+    class they are nested in; null instead of these for texts that are on most pages of the host.
 
-    Classes are tokens of equal fingerprints. A class is valid if it holds several tokens on several
-    pages, or stands on all pages; it is nested in the class of the nearest path above it. The content
-    part is what lies below an article or main element of a valid class; where the template has
-    none, all that is not named as something else.
+    Classes are tokens of equal fingerprints. A text is nested in its class if the tag of its path is
+    of the same class: each time the element stands there, it says this text.
     """
-    tokens = occurrences(pages)
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    tokens = stored(occurrences(pages).filter(F.col("n_pages") >= CLASS_PAGES).join(sizes, "host"))
     classes = tokens.groupBy("host", "f1", "f2").agg(F.count(F.lit(1)).alias("tokens"), F.max("n_pages").alias("support"))
-    placed = tokens.join(classes, ["host", "f1", "f2"]).join(sizes, "host")
-    valid = (F.col("tokens") >= 2) & (F.col("support") >= 2) | (F.col("support") == F.col("host_pages"))
-    is_article = F.col("path").rlike(r"/(article|main)(\[[^/]*)?$") & (F.col("state") == 2) & F.col("text").isNull()
-    fixed = (
-        F.col("text").isNotNull() & (F.col("n_pages") >= TEMPLATE_PAGES) & (F.col("n_pages") >= TEMPLATE_PART * F.col("host_pages"))
-    )
-    return placed.filter(valid & is_article | fixed).groupBy("host").agg(
-        F.collect_set(F.when(is_article & valid, F.col("path"))).alias("content"),
-        F.collect_set(F.when(fixed, F.struct("path", "text"))).alias("fixed"),
+    valid = classes.filter(
+        (F.col("tokens") >= CLASS_TOKENS) & (F.col("support") >= CLASS_PAGES)
+    ).select("host", "f1", "f2", "support")
+    elements = tokens.filter("text is null").select("host", "f1", "f2", "path").distinct()
+    nested = elements.join(valid, ["host", "f1", "f2"])
+    most = (F.col("n_pages") >= TEMPLATE_PAGES) & (F.col("n_pages") >= TEMPLATE_PART * F.col("host_pages"))
+    texts = tokens.filter(F.col("text").isNotNull() & (F.col("n_pages") >= CLASS_PART * F.col("host_pages")))
+    found = texts.join(nested, ["host", "f1", "f2", "path"], "left").withColumn("support", F.when(~most, F.col("support")))
+    return found.filter(most | F.col("support").isNotNull()).groupBy("host").agg(
+        F.collect_set(F.struct("path", "text", "support")).alias("fixed")
     )
 
 
-def page_text(page: str, content: frozenset = frozenset(), fixed: frozenset = frozenset()) -> tuple[str, int]:
-    """The blocks in the template's content slots, joined by newlines, and how many there are. A page
-    without the template's article (cut off, or of another template) is read by its own structure."""
+def page_text(page: str, fixed: dict | None = None) -> tuple[str, int]:
+    """The blocks in the article or main part, or else those that fill the template's slots, joined by
+    newlines, and how many there are. fixed has (path, crc) of template texts with the pages of their
+    class or None. On a page that holds nothing but what its classes hold, those of the class on the
+    fewest pages are its text: it is a copy of other pages."""
     found = blocks(page)
-    within = any(t[0] == "tag" and t[2] == 2 and (t[1] in content or not content) for t in found)
-    if not within:
-        within = any(t[0] == "tag" and t[2] == 2 for t in found)
-    kept = [
-        t[3] for t in found
-        if t[0] == "text" and (t[2] == 2 if within else t[2] == 1 and (t[1], zlib.crc32(t[3].encode())) not in fixed)
-    ]
-    return "\n".join(kept), len(kept)
+    within = any(t[0] == "tag" and t[2] == 2 for t in found)
+    texts = [t for t in found if t[0] == "text" and t[2] == (2 if within else 1)]
+    if not within and fixed:
+        keys = [(t[1], zlib.crc32(t[3].encode())) for t in texts]
+        slots = [t for t, k in zip(texts, keys, strict=True) if k not in fixed]
+        least = min((n for k in keys if (n := fixed.get(k)) is not None), default=None)
+        texts = slots or [t for t, k in zip(texts, keys, strict=True) if least is not None and fixed[k] == least]
+    return "\n".join(t[3] for t in texts), len(texts)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -237,18 +242,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 texts = []
-                for host, page, content, fixed in zip(*(part.column(k) for k in range(2, 6)), strict=True):
+                for host, page, fixed in zip(*(part.column(k) for k in range(2, 5)), strict=True):
                     host = host.as_py()
                     if host not in seen:
                         if len(seen) > 1000:
                             seen.clear()
-                        seen[host] = (frozenset(content.as_py() or ()), frozenset((x["path"], x["text"]) for x in fixed.as_py() or ()))
-                    texts.append(page_text(page.as_py(), *seen[host]))
+                        seen[host] = {(x["path"], x["text"]): x["support"] for x in fixed.as_py() or ()}
+                    texts.append(page_text(page.as_py(), seen[host]))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()),
                     pa.array([n for _, n in texts], pa.int64()), part.column(2),
                 ], names=["id", "url", "text", "n_chars", "n_blocks", "host"])
 
-    joined = given.join(known, "host", "left").select("id", "url", "host", "page", "content", "fixed")
+    joined = given.join(known, "host", "left").select("id", "url", "host", "page", "fixed")
     schema = f"id {kind}, url string, text string, n_chars bigint, n_blocks bigint, host string"
     return joined.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "url": url_col})

@@ -28,6 +28,22 @@ def test_hosts_with_and_without_articles(spark):
     assert main_text(frame.limit(0)).count() == 0
 
 
+def test_classes_tell_template_texts_on_hosts_without_articles(spark):
+    """A third of the host's pages are of a second template, and a host has four pages only; three pages
+    are copies of one story."""
+    story = "<html><body><div class='top'>Our site</div><div class='story'>{body}</div>{more}</body></html>"
+    sport = "<div class='box'><h2>Sports desk</h2><span>Scores by phone</span></div><div class='tip'>Send a tip</div>"
+    body = lambda k: f"<p>First {k}</p><p>Second {k}</p>" + "<p>More</p>" * (k % 3 // 2)
+    rows = [(k, f"http://a.com/{k}", story.format(body=body(k), more=sport if k < 10 else "")) for k in range(30)]
+    rows += [(40 + k, f"http://b.com/{k}", story.format(body=body(k), more="<div class='legal'>All rights reserved</div>")) for k in range(4)]
+    rows += [(50 + k, f"http://c.com/{k}", story.format(body=body(5), more=f"<i>{k}</i>")) for k in range(3)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = lambda k: "\n".join([f"First {k}", f"Second {k}", *["More"] * (k % 3 // 2)])
+    assert all(got[k] == want(k) for k in range(30))
+    assert all(got[40 + k] == want(k) for k in range(4))
+    assert all(got[50 + k] == f"{want(5)}\n{k}" for k in range(3))
+
+
 def test_broken_markup():
     assert page_text("<p>a<p>b</div>c<script>never closed <p>x") == ("a\nb\nc", 3)
     assert page_text("<script>if (a</b) x</scripty></script >z<p") == ("z", 1)
