@@ -43,13 +43,16 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split()
 )
 NOT_CONTENT = frozenset("head nav header footer aside form menu button select dialog".split()) | RAW
-#: Words in class, id and role of elements that are not the article.
+#: Words in class, id and role of elements that may not be the article. They are a hint only: an element
+#: that holds most of its pages' text on the host is content, whatever its name.
 NOT_CONTENT_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
     footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion reply
     related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
 CONTENT = frozenset({"article", "main"})
+#: Elements whose names hint at nothing: they hold the page.
+WHOLE = CONTENT | {"html", "body"}
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*)>|<[A-Za-z/!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""",
@@ -60,20 +63,21 @@ BLANKS = re.compile(r"\s+")
 
 
 def blocks(page: str):
-    """The page as tokens in order: ("tag", path, in_content) for start tags that make structure, and
-    ("text", path, in_content, text) for text blocks. in_content is 2 within an article or main
-    part, 1 outside one, 0 in what is no content. Character references are decoded and white space is
-    one space; empty blocks are left out."""
+    """The page as tokens in order: ("tag", path, in_content, hints) for start tags that make structure, and
+    ("text", path, in_content, hints, text) for text blocks. in_content is 2 within an article or main
+    part, 1 outside one, 0 in what is no content. hints are the paths of the elements around it, itself included, that are
+    named as something else. Character references are decoded and white space is one space; empty blocks
+    are left out."""
     out = []
-    stack: list[tuple[str, str, int, bool]] = []  # name, path, in_content, inline
-    path, state = "", 1
+    stack: list[tuple[str, str, int, tuple, bool]] = []  # name, path, in_content, hints, inline
+    path, state, hints = "", 1, ()
     parts: list[str] = []
 
     def flush():
         if parts:
             text = BLANKS.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(("text", path, state, text))
+                out.append(("text", path, state, hints, text))
             parts.clear()
 
     at, end = 0, len(page)
@@ -95,23 +99,23 @@ def blocks(page: str):
             if any(e[0] == name for e in stack):
                 while stack.pop()[0] != name:
                     pass
-                _, path, state, _ = stack[-1] if stack else ("", "", 1, False)
+                _, path, state, hints, _ = stack[-1] if stack else ("", "", 1, (), False)
             continue
         if name == "br":
             parts.append("\n")
             continue
         if name in INLINE:
             if name not in VOID:
-                stack.append((name, path, state, True))
+                stack.append((name, path, state, hints, True))
             continue
         flush()
         if name in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     del stack[k:]
-                    _, path, state, _ = stack[-1] if stack else ("", "", 1, False)
+                    _, path, state, hints, _ = stack[-1] if stack else ("", "", 1, (), False)
                     break
-                if not stack[k][3]:
+                if not stack[k][4]:
                     break
         if name in VOID:
             continue
@@ -125,26 +129,42 @@ def blocks(page: str):
             value = (a or b or c).lower()
             words += re.split(r"[^a-z]+", value)
             label += f"[{key.lower()}={re.sub(r'[0-9]+', '#', value)}]"
-        if not state or name in NOT_CONTENT and not (name == "header" and state == 2) or not NOT_CONTENT_WORDS.isdisjoint(words):
+        path = f"{path}/{label}"
+        if not state or name in NOT_CONTENT and not (name == "header" and state == 2):
             state = 0
         elif name in CONTENT:
             state = 2
-        path = f"{path}/{label}"
-        stack.append((name, path, state, False))
-        out.append(("tag", path, state))
+        elif not NOT_CONTENT_WORDS.isdisjoint(words):
+            hints = (*hints, path)
+        stack.append((name, path, state, hints, False))
+        out.append(("tag", path, state, hints))
     flush()
     return out
 
 
+def held(found: list) -> dict[str, tuple[int, int]]:
+    """Of each path of an element named as something else: the characters of the page's text in it, and
+    all. That is the text of the page's articles, if they have any outside such elements."""
+    texts = [t for t in found if t[0] == "text" and t[2]]
+    if any(t[2] == 2 and not t[3] for t in texts):
+        texts = [t for t in texts if t[2] == 2]
+    inside = {path: 0 for t in found for path in t[3]}
+    for t in texts:
+        for path in set(t[3]):
+            inside[path] += len(t[4])
+    total = sum(len(t[4]) for t in texts)
+    return {path: (n, total) for path, n in inside.items()}
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, path, text, state, f1, f2, n_pages, n): for every token of a host the fingerprint of its
-    occurrence vector, the pages that have it and how often it occurs. text is the crc of a text
-    block, null for tags. Blocks within an article are slots' contents and not tokens; so are those
-    in what is no content."""
+    """(host, path, text, state, f1, f2, n_pages, n, inside, total): for every token of a host the fingerprint of
+    its occurrence vector, the pages that have it and how often it occurs; for tags named as something
+    else also the sums of held(). text is the crc of a text block, null for tags. Blocks within an
+    article are slots' contents and not tokens; so are those in what is no content."""
 
     def run(batches):
         found: dict[tuple, list[int]] = {}
@@ -152,41 +172,47 @@ def occurrences(pages: DataFrame) -> DataFrame:
         def taken():
             rows = [(*k, *v) for k, v in found.items()]
             found.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "text", "state", "f1", "f2", "n_pages", "n"])
+            cols = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "text", "state", "f1", "f2", "n_pages", "n", "inside", "total"])
 
         for batch in batches:
             for host, page in zip(batch.column(0), batch.column(1), strict=True):
                 host, page = host.as_py(), page.as_py()
                 drawn = zlib.crc32(page.encode()) * 2_654_435_761 + len(page)
                 counts: dict[tuple, int] = {}
-                for token in blocks(page):
+                tokens = blocks(page)
+                named = held(tokens)
+                for token in tokens:
                     if token[0] == "tag":
                         key = (host, token[1], None, token[2])
                     elif token[2] == 1:
-                        key = (host, token[1], zlib.crc32(token[3].encode()), 1)
+                        key = (host, token[1], zlib.crc32(token[4].encode()), 1)
                     else:
                         continue
                     counts[key] = counts.get(key, 0) + 1
                 for key, n in counts.items():
-                    sums = found.setdefault(key, [0, 0, 0, 0])
+                    sums = found.setdefault(key, [0] * 6)
                     sums[0] = (sums[0] + drawn % PRIME * n) % PRIME
                     sums[1] = (sums[1] + (drawn >> 13) % PRIME * n) % PRIME
                     sums[2] += 1
                     sums[3] += n
+                    if key[2] is None and key[1] in named:
+                        sums[4] += named[key[1]][0]
+                        sums[5] += named[key[1]][1]
                 if len(found) > 200_000:
                     yield taken()
         yield taken()
 
-    rows = pages.select("host", "page").mapInArrow(run, "host string, path string, text bigint, state int, f1 bigint, f2 bigint, n_pages bigint, n bigint")
+    rows = pages.select("host", "page").mapInArrow(run, "host string, path string, text bigint, state int, f1 bigint, f2 bigint, n_pages bigint, n bigint, inside bigint, total bigint")
     mod = lambda c: F.pmod(F.sum(c), F.lit(PRIME)).alias(c)
-    return rows.groupBy("host", "path", "text", "state").agg(mod("f1"), mod("f2"), F.sum("n_pages").alias("n_pages"), F.sum("n").alias("n"))
+    return rows.groupBy("host", "path", "text", "state").agg(mod("f1"), mod("f2"), F.sum("n_pages").alias("n_pages"), *(F.sum(c).alias(c) for c in ("n", "inside", "total")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the template texts outside articles of each host as path, crc, and the pages of the
-    class they are nested in; null instead of these for texts that are on most pages of the host.
+    """(host, fixed, named): the template texts outside articles of each host as path, crc, and the pages of the
+    class they are nested in; null instead of these for texts that are on most pages of the host. named has the paths of elements named as something
+    else, where so many pages have them that these can tell, and whether they hold most of the text.
 
     Classes are tokens of equal fingerprints. A text is nested in its class if the tag of its path is
     of the same class: each time the element stands there, it says this text.
@@ -202,25 +228,30 @@ def templates(pages: DataFrame) -> DataFrame:
     most = (F.col("n_pages") >= TEMPLATE_PAGES) & (F.col("n_pages") >= TEMPLATE_PART * F.col("host_pages"))
     texts = tokens.filter(F.col("text").isNotNull() & (F.col("n_pages") >= CLASS_PART * F.col("host_pages")))
     found = texts.join(nested, ["host", "f1", "f2", "path"], "left").withColumn("support", F.when(~most, F.col("support")))
-    return found.filter(most | F.col("support").isNotNull()).groupBy("host").agg(
-        F.collect_set(F.struct("path", "text", "support")).alias("fixed")
-    )
+    fixed = found.filter(most | F.col("support").isNotNull()).select("host", F.struct("path", "text", "support").alias("fixed"), F.lit(None).alias("named"))
+    named = tokens.filter(F.col("text").isNull() & (F.col("total") > 0) & (F.col("n_pages") >= CLASS_PART * F.col("host_pages")))
+    named = named.groupBy("host", "path").agg((2 * F.sum("inside") > F.sum("total")).alias("content"))  # of either state
+    rows = fixed.unionByName(named.select("host", F.lit(None).alias("fixed"), F.struct("path", "content").alias("named")))
+    return rows.groupBy("host").agg(F.collect_set("fixed").alias("fixed"), F.collect_set("named").alias("named"))
 
 
-def page_text(page: str, fixed: dict | None = None) -> tuple[str, int]:
+def page_text(page: str, fixed: dict | None = None, named: dict | None = None) -> tuple[str, int]:
     """The blocks in the article or main part, or else those that fill the template's slots, joined by
     newlines, and how many there are. fixed has (path, crc) of template texts with the pages of their
-    class or None. On a page that holds nothing but what its classes hold, those of the class on the
+    class or None. named tells of paths of elements named as something else whether they are content
+    after all; of others the page itself tells. On a page that holds nothing but what its classes hold, those of the class on the
     fewest pages are its text: it is a copy of other pages."""
     found = blocks(page)
+    content = {path: 2 * n > total for path, (n, total) in held(found).items()} | (named or {})
+    found = [t for t in found if all(content[path] for path in t[3])]
     within = any(t[0] == "tag" and t[2] == 2 for t in found)
     texts = [t for t in found if t[0] == "text" and t[2] == (2 if within else 1)]
     if not within and fixed:
-        keys = [(t[1], zlib.crc32(t[3].encode())) for t in texts]
+        keys = [(t[1], zlib.crc32(t[4].encode())) for t in texts]
         slots = [t for t, k in zip(texts, keys, strict=True) if k not in fixed]
         least = min((n for k in keys if (n := fixed.get(k)) is not None), default=None)
         texts = slots or [t for t, k in zip(texts, keys, strict=True) if least is not None and fixed[k] == least]
-    return "\n".join(t[3] for t in texts), len(texts)
+    return "\n".join(t[4] for t in texts), len(texts)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -242,18 +273,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 texts = []
-                for host, page, fixed in zip(*(part.column(k) for k in range(2, 5)), strict=True):
+                for host, page, fixed, named in zip(*(part.column(k) for k in range(2, 6)), strict=True):
                     host = host.as_py()
                     if host not in seen:
                         if len(seen) > 1000:
                             seen.clear()
-                        seen[host] = {(x["path"], x["text"]): x["support"] for x in fixed.as_py() or ()}
-                    texts.append(page_text(page.as_py(), seen[host]))
+                        seen[host] = (
+                            {(x["path"], x["text"]): x["support"] for x in fixed.as_py() or ()}, {x["path"]: x["content"] for x in named.as_py() or ()},
+                        )
+                    texts.append(page_text(page.as_py(), *seen[host]))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()),
                     pa.array([n for _, n in texts], pa.int64()), part.column(2),
                 ], names=["id", "url", "text", "n_chars", "n_blocks", "host"])
 
-    joined = given.join(known, "host", "left").select("id", "url", "host", "page", "fixed")
+    joined = given.join(known, "host", "left").select("id", "url", "host", "page", "fixed", "named")
     schema = f"id {kind}, url string, text string, n_chars bigint, n_blocks bigint, host string"
     return joined.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "url": url_col})

@@ -44,6 +44,24 @@ def test_classes_tell_template_texts_on_hosts_without_articles(spark):
     assert all(got[50 + k] == f"{want(5)}\n{k}" for k in range(3))
 
 
+def test_names_are_a_hint_that_the_text_confirms(spark):
+    side = "<div class='sidebar'>Links</div>"
+    for page in (
+        f"<html class='no-js social'><body class='has-sidebar'><p>One two three</p>{side}</body></html>",
+        f"<body><article class='post comments-open'><p>One two three</p></article>{side}",
+        f"<main id='share-prices'><p>One two three</p>{side}</main>",
+        f"<body><div class='has-sidebar'><div><p>One two three</p></div>{side}</div></body>",
+        f"<body><div class='with-banner'><article><p>One two three</p><div class='share'>Send</div></article></div>{side}</body>",
+        "<body><p>One two three</p><div id='comments'><article>First!</article></div></body>",
+    ):
+        assert page_text(page) == ("One two three", 1)
+    # On one page the comments are longer than the story; the host's other pages tell what they are.
+    page = "<body><div class='has-sidebar'><p>Story {k} of many words</p><div id='comments'>{said}</div></div></body>"
+    rows = [(k, "http://a.com/", page.format(k=k, said="Long talk. " * 9 if k == 3 else "First!")) for k in range(30)]
+    got = main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert all(r.text == f"Story {r.page_id} of many words" for r in got) and len(got) == 30
+
+
 def test_broken_markup():
     assert page_text("<p>a<p>b</div>c<script>never closed <p>x") == ("a\nb\nc", 3)
     assert page_text("<script>if (a</b) x</scripty></script >z<p") == ("z", 1)
