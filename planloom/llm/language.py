@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from planloom.llm.common import map_batches, text_of
 
-#: Bounds of the sample the model is fitted on: languages, documents of each, and words of each of
-#: them (a stretch at a seeded place). Predictions use whole texts.
-LANGUAGES, SAMPLE_DOCS, SAMPLE_WORDS = 64, 600, 120
+#: Bounds of the sample the model is fitted on: documents of each language, and words of each of them (a
+#: stretch at a seeded place). Every language is a label. Predictions use whole texts.
+SAMPLE_DOCS, SAMPLE_WORDS = 600, 120
+#: Posteriors that fitting holds at a time: words of the sample times labels. Where there are many
+#: languages, fewer documents of each are taken, LEAST_DOCS at least.
+POSTERIORS, LEAST_DOCS = 1 << 26, 12
 #: Feature weights: a table of fixed size, addressed by hash.
 WEIGHTS = 1 << 17
 LEXICON_COUNT = 3
@@ -200,11 +203,12 @@ class Labeller:
         return out
 
 
-def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS, languages: int = LANGUAGES) -> list[tuple[str, list[str]]]:
-    """At most docs_each documents of every language (the most frequent ones, so many at most), in seeded
-    order, and of each at most words_each words from a seeded place. Rows: (id, lang, text), language not null."""
+def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
+    """At most docs_each documents of every language, in seeded order, and of each at most words_each words
+    from a seeded place. Rows: (id, lang, text), language not null."""
     n = F.xxhash64(F.col("id").cast("string"), F.lit(31))
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(languages).collect()
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy("lang").collect()
+    docs_each = min(docs_each, max(LEAST_DOCS, POSTERIORS // (words_each * max(1, len(sizes)) ** 2)))
     # A threshold on the hash leaves about twice as many documents of each language as are wanted, so
     # that no task orders a whole language; it is part of the scan's filter, so no text is shuffled.
     wanted = F.lit(False)
@@ -287,8 +291,8 @@ def identify(docs: DataFrame, fold: int = 5, id_col: str = "doc_id") -> DataFram
     return found.select(id_col, held_out(id_col, fold).alias("held_out"), "lang_pred", "score", "n_words", "switches")
 
 
-def with_language(docs: DataFrame, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose language is known well enough, with all their columns; `und` goes. Rows
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that predict() gives a language, with all their columns; `und` goes. Rows
     pass through one map: no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, id_col=id_col, text_col=text_col))
     place = docs.columns.index(text_col)
@@ -300,6 +304,6 @@ def with_language(docs: DataFrame, least_score: float = 0.3, id_col: str = "doc_
                 part = batch.slice(at, 1000)
                 texts = [letters((t.as_py() or "").lower()) for t in part.column(place)]
                 found = label.posteriors(texts) if label else [()] * len(texts)
-                yield part.filter(pa.array([len(p) > 0 and float(p.mean(axis=0).max()) >= least_score for p in found], pa.bool_()))
+                yield part.filter(pa.array([len(p) > 0 for p in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

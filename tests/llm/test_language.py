@@ -60,6 +60,17 @@ def test_predictions_edges_and_code_switching(spark):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_every_language_is_a_label_and_only_und_goes(spark):
+    """70 languages of an own letter each; the last texts hold words of four of them in equal parts."""
+    docs = [(k, " ".join([chr(0x4E00 + k % 70) * n for n in (2, 3, 4)] * 4), f"l{k % 70:02d}") for k in range(70 * 8)]
+    docs += [(900, " ".join(chr(0x4E00 + k) * 3 for k in range(4) for _ in range(12)), None), (901, "12", None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    by = {r.doc_id: r for r in lg.identify(frame).collect()}
+    assert len({by[d].lang_pred for d, _, lang in docs if lang}) == 70
+    assert all(by[d].lang_pred == lang for d, _, lang in docs if lang) and by[900].score < 0.3
+    assert lg.with_language(frame).count() == len(docs) - 1
+
+
 def test_accuracy_on_held_out_documents(spark):
     from planloom.llm.queries import QUERIES
 
