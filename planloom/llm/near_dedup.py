@@ -279,6 +279,15 @@ def near_duplicates(
     null id counts only where no other is in the component. An empty table gives an empty result.
     Other columns are not read. Shingles are told apart by 64-bit hashes, sets by 128-bit digests.
     """
+    found = labelled(docs, size, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn(
+        "kept", F.col(id_col).eqNullSafe(F.col("component_id"))
+    )
+
+
+def labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, n, component, label), one row per document row: the hash of its text, the size of its set, the
+    least id of its component, and the component's number, null without a set."""
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     drawn = stored(sketches(given, size))
     # Documents of equal sets are one class, with the row that stands for it.
@@ -303,16 +312,25 @@ def near_duplicates(
     label = components(verified_links(members, percent))
     named = classes.select("c", "s", "least").join(label.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_set = named.join(least, "label").select("s", "component")
-    return drawn.select("id", "n", F.when(F.col("n") > 0, F.col("s")).alias("s")).join(by_set, "s", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    by_set = named.join(least, "label").select("s", "component", "label")
+    return drawn.select("id", "t", "n", F.when(F.col("n") > 0, F.col("s")).alias("s")).join(by_set, "s", "left").select(
+        "id", "t", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "label",
+    )
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that near_duplicates() keeps, with all their columns; of rows repeated with the
-    same id and text one stays."""
-    found = near_duplicates(docs, size, percent, id_col, text_col)
-    keep = found.filter("kept").select(F.col(id_col).alias("_i")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_i"]), "left_semi")
+    """Of each component of near_duplicates() one document, with all its columns: one that has the least id. Texts
+    without a set all stay; of rows repeated with the same id and text one stays."""
+    spare = "_text_hash"
+    while spare in docs.columns:
+        spare += "_"
+    found = stored(labelled(docs, size, percent, id_col, text_col))
+    least = found.filter((F.col("n") > 0) & F.col("id").eqNullSafe(F.col("component"))).groupBy("label").agg(
+        F.first("id").alias("_i"), F.min("t").alias("_t")
+    )
+    keep = least.select("_i", "_t").unionAll(found.filter("n = 0").select("id", "t"))
+    marked = docs.withColumn(spare, F.xxhash64(text_of(text_col)))
+    kept = marked.join(keep, marked[id_col].eqNullSafe(keep["_i"]) & (marked[spare] == keep["_t"]), "left_semi")
+    if not found.groupBy("id", "t").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, spare])
+    return kept.drop(spare)

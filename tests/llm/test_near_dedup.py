@@ -83,6 +83,16 @@ def test_edges(spark):
     assert nd.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "1 2 3 4 5 6 7 8"
+    rows = [(1, a), (1, a), (1, a.upper()), (2, a), (2, b), (3, b), (2, c), (0, c), (None, a), (None, "x y z u v w"), (7, None), (7, None), (7, " ")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, _text_hash int")
+    kept = nd.without_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in kept.collect())
+    assert got == [("0", c), ("1", a), ("2", b), ("7", ""), ("7", " "), ("None", "x y z u v w")]
+
+
 def test_registers_agree_as_sets_do():
     rng = np.random.default_rng(5)
     for n, common in ((600, 500), (30, 20), (5, 4)):
