@@ -108,6 +108,27 @@ def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(table(spark, folder, "documents")).drop("spans")
 
 
+@query
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from planloom.llm.line_dedup import common_lines
+
+    return common_lines(table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
@@ -143,3 +164,82 @@ SELECT page_id, strlen(h) AS payload_bytes,
     CASE WHEN page_id < max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
 FROM d WINDOW g AS (PARTITION BY h)
 """
+
+ORACLES["op13_line_dedup"] = r"""
+WITH d AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+    SELECT doc_id, i, lines[i] AS line,
+        translate(trim(lines[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), f AS (
+    SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3
+), m AS (
+    SELECT l.*, coalesce(f.keeper <> l.doc_id, false) AS gone FROM l LEFT JOIN f ON f.k = l.k
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY 1
+"""
+
+
+def _means_sql() -> str:
+    """Integer k-means, every round spelled out; exact in doubles while sums stay below 2^53."""
+    floor_mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    ctes = ["""v AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            """c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 40))"""]
+    for k in range(6):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+    SELECT vec_id, vq AS q, c, d FROM (
+        SELECT vec_id, v.q AS vq, c, list_inner_product(v.q::DOUBLE[], v.q::DOUBLE[]) - 2 * list_inner_product(v.q::DOUBLE[], m.q::DOUBLE[])
+            + list_inner_product(m.q::DOUBLE[], m.q::DOUBLE[]) AS d FROM v, c{k} m)
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if k < 5:
+            ctes.append(f"""c{k + 1} AS MATERIALIZED (
+    SELECT o.c, coalesce(m.q, o.q) AS q FROM c{k} o LEFT JOIN (
+        SELECT c, list({floor_mean} ORDER BY i) AS q FROM (
+            SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{k}) GROUP BY 1, 2) GROUP BY 1) m USING (c))""")
+    return "WITH " + ",\n".join(ctes) + """
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+    CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a5 a JOIN c5 m USING (c)
+"""
+
+
+ORACLES["op11_centroids"] = _means_sql()
+
+
+def _codes_sql() -> str:
+    """Product codes by plain integer k-means of every part; exact in doubles while sums stay below 2^53."""
+    ctes = ["""v AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            """s AS MATERIALIZED (
+    SELECT vec_id, label, p, q[p * (len(q) // 4) + 1:(p + 1) * (len(q) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS p))""",
+            """c0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS m FROM s WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))"""]
+    for k in range(5):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+    SELECT vec_id, label, p, x, e, d FROM (
+        SELECT vec_id, label, s.p, x, e, list_inner_product(x::DOUBLE[], x::DOUBLE[]) - 2 * list_inner_product(x::DOUBLE[], m::DOUBLE[])
+            + list_inner_product(m::DOUBLE[], m::DOUBLE[]) AS d FROM s JOIN c{k} c ON s.p = c.p)
+    QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)""")
+        if k < 4:
+            ctes.append(f"""c{k + 1} AS MATERIALIZED (
+    SELECT o.p, o.e, coalesce(n.m, o.m) AS m FROM c{k} o LEFT JOIN (
+        SELECT p, e, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+            SELECT p, e, i, sum(y) AS t, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k}) GROUP BY 1, 2, 3) GROUP BY 1, 2) n
+        ON n.p = o.p AND n.e = o.e)""")
+    return "WITH " + ",\n".join(ctes) + """,
+w AS (
+    SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY 1, 2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) FROM c4) AS codebooks_sha256 FROM w
+"""
+
+
+ORACLES["op12_codes"] = _codes_sql()
