@@ -3,22 +3,25 @@
 tasks(project_id, task_id, ord, ...); deps(project_id, task_id, depends_on_id, edge_ord).
 Work flows from `src` (the dependency) to `dst` (the dependent).
 
-The fixed points run as rounds of joins over every project together. Several rounds are
-planned in one job, and between jobs the state is written to the checkpoint folder, so
+Schedules peel the graph from its roots (see peel()): a task is final once, and an edge carries one
+value once. Cycles are looked for by rounds of joins over the stretches that can hold one; several
+rounds are planned in one job, and between jobs the state is written to the checkpoint folder, so
 neither the lineage nor the number of jobs grows with each round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from planloom.session import cut, discard, stored
+from planloom.session import cut, discard, drop_bucketed, scratch, stored, stored_bucketed
 
 ROUNDS_PER_JOB = 4
-# After so many rounds the largest project's size is looked up: values of an acyclic project
-# are final after as many rounds as it has tasks, so more mean a cycle.
-ROUNDS_BEFORE_DOUBT = 32
+# Links of a hub task travel in shares of about so many.
+LINKS_A_SHARE = 10_000
 
 
 def self_references(deps: DataFrame) -> DataFrame:
@@ -45,57 +48,111 @@ def usable_edges(deps: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def _relax(state: DataFrame, links: DataFrame, better) -> DataFrame:
-    """Spread values along links until nothing changes.
-
-    state(project_id, fwd, task_id, value); links(project_id, fwd, task_id, to, add). Every
-    task gets a link to itself, so a round is one join and one aggregation with map-side
-    combine, and refers to the state once: rounds can be chained in a plan of linear size. Joins
-    are left to adaptive execution, which splits the links of a hub task.
+def _spread(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Spread the least value along links, with how many links it has come, until nothing changes.
 
-    Raises ValueError where values never settle, as the longest paths of a cycle do not.
+    state(project_id, fwd, task_id, value); links(project_id, fwd, task_id, to). Returns the state with
+    `least`, a pair of value and distance. Every task gets a link to itself, so a round is one join and
+    one aggregation with map-side combine, and refers to the state once: rounds can be chained in a
+    plan of linear size. Joins are left to adaptive execution, which splits the links of a hub task.
     """
     keys = ["project_id", "fwd", "task_id"]
-    own = state.select(*keys, F.col("task_id").alias("to"), F.lit(0).alias("add"), F.lit(True).alias("own"))
-    steps = links.withColumn("own", F.lit(False)).unionByName(own)
-    steps = stored(steps)
-    rounds, most, last = 0, None, None
-    while True:
+    own = state.select(*keys, F.col("task_id").alias("to"), F.lit(0).alias("add"))
+    steps = stored(links.withColumn("add", F.lit(1)).unionByName(own))
+    state = state.select(*keys, F.struct("value", F.lit(0).alias("far")).alias("least"))
+    last, changed = None, 1
+    while changed:
         for _ in range(ROUNDS_PER_JOB):
+            come = F.struct(F.col("least.value").alias("value"), (F.col("least.far") + F.col("add")).alias("far"))
             state = (
-                state.select(*keys, "value")
-                .join(steps, keys)
+                state.select(*keys, "least").join(steps, keys)
                 .groupBy("project_id", "fwd", F.col("to").alias("task_id"))
-                .agg(
-                    better(F.col("value") + F.col("add")).alias("value"),
-                    F.max(F.when(F.col("own"), F.col("value"))).alias("last"),
-                )
+                .agg(F.min(come).alias("least"), F.max(F.when(F.col("add") == 0, F.col("least"))).alias("last"))
             )
-        state = stored(state)
+        seen = Observation()
+        state = stored(state.observe(seen, F.count_if(F.col("least") != F.col("last")).alias("n")))
+        changed = seen.get["n"]
         if last is not None:
             discard(last)
-        last, rounds = state, rounds + ROUNDS_PER_JOB
-        if state.filter(F.col("value") != F.col("last")).isEmpty():
-            discard(steps)
-            return state.drop("last")
-        if rounds >= ROUNDS_BEFORE_DOUBT:
-            if most is None:
-                most = state.groupBy("project_id", "fwd").count().agg(F.max("count")).first()[0]
-            if rounds > most + ROUNDS_PER_JOB:
-                raise ValueError("the links hold a cycle: values still change after more rounds than a project has tasks")
-
-
-def _both_ways(edges: DataFrame, add_forward, add_backward) -> DataFrame:
-    """Edges as links, and reversed as the links of a second, separate graph."""
-    return edges.select(
-        "project_id", F.lit(True).alias("fwd"), F.col("src").alias("task_id"), F.col("dst").alias("to"),
-        add_forward.alias("add"),
-    ).union(
-        edges.select(
-            "project_id", F.lit(False).alias("fwd"), F.col("dst").alias("task_id"), F.col("src").alias("to"),
-            add_backward.alias("add"),
+        last = state
+    discard(steps)
+    return state.drop("last")
+
+
+def _shares(links: Column) -> Column:
+    return F.greatest(F.ceil(links / LINKS_A_SHARE), F.lit(1)).cast("int")
+
+
+def _share_of(end: Column, links: Column) -> Column:
+    return F.pmod(F.xxhash64(end), _shares(links)).cast("int")
+
+
+def peel(nodes: DataFrame, edges: DataFrame, told: list | None = None) -> DataFrame:
+    """(project_id, fwd, task_id, value): the heaviest work before each task (fwd) and after it (not fwd),
+    in rounds from the tasks without links upwards.
+
+    nodes(project_id, task_id, weight), edges(project_id, src, dst). A round joins only the tasks that
+    became final in the last one with their links; a task is final when all links into it have spoken.
+    Links are bucketed once by the task they leave, a hub's in shares, so that rounds do not shuffle
+    them: what moves in all rounds together is one value per link, summed per task before it moves, and a
+    row per round for tasks that wait for others. Rounds are as many as the longest chain has tasks.
+
+    told: gets (tasks final, tasks waiting) of every round. Raises ValueError where the edges hold a cycle.
+    """
+    spark = nodes.sparkSession
+    ends = edges.select("project_id", F.col("dst").alias("task_id"), F.lit(1).alias("ins"), F.lit(0).alias("outs")).union(
+        edges.select("project_id", F.col("src").alias("task_id"), F.lit(0).alias("ins"), F.lit(1).alias("outs")))
+    degrees = ends.groupBy("project_id", "task_id").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"))
+    known = stored(nodes.select("project_id", "task_id", "weight").join(degrees, ["project_id", "task_id"], "left").na.fill(0, ["ins", "outs"]))
+
+    def of(end: str) -> DataFrame:
+        return known.select("project_id", F.col("task_id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("weight", "ins", "outs")))
+
+    full = edges.select("project_id", "src", "dst").join(of("src"), ["project_id", "src"]).join(of("dst"), ["project_id", "dst"])
+
+    def link(fwd: bool, a: str, b: str, into: str, out: str) -> DataFrame:
+        return full.select(
+            "project_id", F.lit(fwd).alias("fwd"), F.col(a).alias("task_id"), _share_of(F.col(b), F.col(f"{a}_{out}")).alias("share"),
+            F.col(b).alias("to"), F.col(f"{a}_weight").alias("add"), F.col(f"{b}_{into}").alias("need"), _shares(F.col(f"{b}_{out}")).alias("shares"),
         )
+
+    keys = ["project_id", "fwd", "task_id", "share"]
+    links = stored_bucketed(link(True, "src", "dst", "ins", "outs").union(link(False, "dst", "src", "outs", "ins")), keys)
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, number: int) -> tuple[DataFrame, int, int]:
+        seen = Observation()
+        final = F.col("heard") == F.col("need")
+        path = f"{folder}/round={number}"
+        rows.observe(seen, F.count_if(final).alias("final"), F.count_if(~final).alias("waiting")).write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), seen.get["final"], seen.get["waiting"]
+
+    both = known.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"))
+    roots = both.filter(F.when(F.col("fwd"), F.col("ins")).otherwise(F.col("outs")) == 0).select(
+        "project_id", "fwd", "task_id", F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("heard"),
+        F.lit(0).cast("long").alias("need"), _shares(F.when(F.col("fwd"), F.col("outs")).otherwise(F.col("ins"))).alias("shares"),
     )
+    state, final, waiting = kept(roots, 0)
+    schema, settled, rounds = state.schema, final, 0
+    while final:
+        if told is not None:
+            told.append((final, waiting))
+        front = state.filter("heard = need").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        said = front.select(*keys, "value").join(links, keys).select(
+            "project_id", "fwd", F.col("to").alias("task_id"), (F.col("value") + F.col("add")).alias("value"),
+            F.lit(1).cast("long").alias("heard"), F.col("need").cast("long").alias("need"), "shares")
+        # Waiting rows are a task each already; only what is new is summed before it moves.
+        heard = said.union(state.filter("heard < need")).groupBy("project_id", "fwd", "task_id").agg(
+            F.max("value").alias("value"), F.sum("heard").alias("heard"), F.max("need").alias("need"), F.max("shares").alias("shares"))
+        rounds += 1
+        state, final, waiting = kept(heard.select(*schema.names), rounds)
+        settled += final
+    drop_bucketed(links)
+    if settled != 2 * known.count():
+        raise ValueError("the edges hold a cycle: some tasks wait for each other")
+    discard(known)
+    return spark.read.schema(schema).parquet(*(f"{folder}/round={k}" for k in range(rounds + 1))).filter("heard = need").select(
+        "project_id", "fwd", "task_id", "value")
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
@@ -107,6 +164,13 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     both, so edges between tasks that differ are set aside. A task that is its own lowest,
     entered from a task it reaches, closes a cycle. The rest is searched again.
     """
+    return cycles(edges)[0]
+
+
+def cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cycle_edges(), and the loop that each of them closes, as rows (project_id, src, dst, step, loop_src,
+    loop_dst): steps 0, 1, ... lead from the edge's end back to its start by the fewest edges of what is left
+    in that search, over the earlier task where two are as near; the last step is the edge itself."""
     back = edges.filter(F.col("src_ord") >= F.col("dst_ord"))
     span = back.groupBy("project_id").agg(
         F.min("dst_ord").alias("_lo"), F.max("src_ord").alias("_hi")
@@ -118,33 +182,69 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
         .select("project_id", "src", "dst", "src_ord", "dst_ord")
     )
     core = cut(core)
-    removed = core.select("project_id", "src", "dst").limit(0)
+    columns = core.columns
+    parts, closings = [], []
     while not core.isEmpty():
+        turn = F.lit(len(parts)).alias("turn")
         marked = cut(_marked(core))
         agree = (F.col("src_from") == F.col("dst_from")) & (F.col("src_to") == F.col("dst_to"))
         into_root = F.col("dst_from") == F.col("dst_ord")
         out_of_root = F.col("src_from") == F.col("src_ord")
-        closing = into_root & (F.col("src_from") == F.col("dst_ord"))
-        removed = removed.unionByName(marked.filter(closing).select("project_id", "src", "dst"))
-        core = marked.filter(agree & ~into_root & ~out_of_root).select(*core.columns)
-    return removed
+        closings.append(marked.filter(into_root & (F.col("src_from") == F.col("dst_ord"))).select("project_id", "src", "dst", "src_far", turn))
+        parts.append(marked.filter(agree).select("project_id", "src", "dst", "src_ord", "src_far", "dst_far", turn))
+        core = marked.filter(agree & ~into_root & ~out_of_root).select(*columns)
+    if not parts:
+        removed = core.select("project_id", "src", "dst")
+        return removed, removed.select("*", F.lit(0).alias("step"), F.col("src").alias("loop_src"), F.col("dst").alias("loop_dst"))
+    closing = stored(reduce(DataFrame.unionByName, closings))
+    return closing.select("project_id", "src", "dst"), _loops(reduce(DataFrame.unionByName, parts), closing)
+
+
+def _loops(edges: DataFrame, closing: DataFrame) -> DataFrame:
+    """The loops of the closing edges, of all turns of the search together.
+
+    The lowest order of a part comes from its root, so a task's distance is that from the root, and the
+    task before it on a shortest way is the earliest one that is one edge nearer. From the start of a
+    closing edge tasks 1, 2, 4, ... steps back are reached by jumps that double in length, so a loop of n
+    tasks is complete after log n joins.
+    """
+    place = ["project_id", "turn", "at"]
+    back = stored(edges.filter(F.col("src_far") == F.col("dst_far") - 1).groupBy("project_id", "turn", F.col("dst").alias("at")).agg(
+        F.min_by("src", "src_ord").alias("before")))
+    # Jumps of tasks nearer to the root than a jump is long lead nowhere and end.
+    walks = stored(closing.select("project_id", "turn", "src", "dst", F.col("src").alias("at"), F.col("src_far").alias("step")))
+    jumps, length = back, 1
+    most = closing.agg(F.max("src_far")).first()[0]
+    while length <= most:
+        on = walks.join(jumps, place).select("project_id", "turn", "src", "dst", F.col("before").alias("at"), (F.col("step") - length).alias("step"))
+        walks = stored(walks.unionByName(on))
+        length *= 2
+        if length <= most:
+            further = jumps.select("project_id", "turn", F.col("at").alias("_at"), F.col("before").alias("at")).join(jumps, place)
+            jumps = stored(further.select("project_id", "turn", F.col("_at").alias("at"), "before"))
+    # Every task of a walk but the root with the edge that leads to it, and the closing edge.
+    into = walks.filter("step > 0").join(back, place).select(
+        "project_id", "src", "dst", (F.col("step") - 1).alias("step"), F.col("before").alias("loop_src"), F.col("at").alias("loop_dst"))
+    return into.unionByName(closing.select("project_id", "src", "dst", F.col("src_far").alias("step"), F.col("src").alias("loop_src"), F.col("dst").alias("loop_dst")))
 
 
 def _marked(core: DataFrame) -> DataFrame:
-    """Edges with, for either end, the lowest order that reaches it and that it reaches."""
+    """Edges with, for either end, the lowest order that reaches it (`from`, over so many edges: `far`) and
+    that it reaches (`to`)."""
     ends = core.select("project_id", F.col("src").alias("task_id"), F.col("src_ord").alias("value")).union(
         core.select("project_id", F.col("dst").alias("task_id"), F.col("dst_ord").alias("value"))
     ).distinct()
     state = ends.select("project_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"), "task_id", "value")
-    zero = F.lit(0)
-    lowest = _relax(state, _both_ways(core, zero, zero), F.min).groupBy("project_id", "task_id").agg(
-        F.max(F.when(F.col("fwd"), F.col("value"))).alias("reached_from"),
-        F.max(F.when(~F.col("fwd"), F.col("value"))).alias("reaches_to"),
-    )
+    links = core.select("project_id", F.lit(True).alias("fwd"), F.col("src").alias("task_id"), F.col("dst").alias("to")).union(
+        core.select("project_id", F.lit(False).alias("fwd"), F.col("dst").alias("task_id"), F.col("src").alias("to")))
+    lowest = stored(_spread(state, links).groupBy("project_id", "task_id").agg(
+        F.max(F.when(F.col("fwd"), F.col("least"))).alias("reached"),
+        F.max(F.when(~F.col("fwd"), F.col("least.value"))).alias("reaches_to"),
+    ))
 
     def at(end: str) -> DataFrame:
-        return lowest.select("project_id", F.col("task_id").alias(end), F.col("reached_from").alias(f"{end}_from"),
-                             F.col("reaches_to").alias(f"{end}_to"))
+        return lowest.select("project_id", F.col("task_id").alias(end), F.col("reached.value").alias(f"{end}_from"),
+                             F.col("reached.far").alias(f"{end}_far"), F.col("reaches_to").alias(f"{end}_to"))
 
     return core.join(at("src"), ["project_id", "src"]).join(at("dst"), ["project_id", "dst"])
 
@@ -157,8 +257,9 @@ def clean_edges(deps: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame
     return kept.select("project_id", "src", "dst"), removed
 
 
-def issues(deps: DataFrame, tasks: DataFrame, removed: DataFrame) -> DataFrame:
-    """(project_id, kind, src, dst, detail) of everything that was dropped."""
+def issues(deps: DataFrame, tasks: DataFrame, removed: DataFrame, steps: DataFrame) -> DataFrame:
+    """(project_id, kind, src, dst, detail) of everything that was dropped. The detail of a cycle names the
+    removed edge and how many tasks are on its loop; the loop itself is rows of cycles()."""
     own = self_references(deps).select(
         "project_id", F.lit("self_reference").alias("kind"),
         F.col("depends_on_id").alias("src"), F.col("task_id").alias("dst"),
@@ -172,30 +273,23 @@ def issues(deps: DataFrame, tasks: DataFrame, removed: DataFrame) -> DataFrame:
             F.col("depends_on_id").cast("string"),
         ).alias("detail"),
     )
-    loop = removed.select(
+    sizes = steps.groupBy("project_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    loop = removed.join(sizes, ["project_id", "src", "dst"]).select(
         "project_id", F.lit("cycle").alias("kind"), "src", "dst",
         F.concat(
-            F.lit("circular dependency; removed "), F.col("src").cast("string"), F.lit(" -> "),
+            F.lit("circular dependency of "), F.col("n").cast("string"), F.lit(" tasks; removed "), F.col("src").cast("string"), F.lit(" -> "),
             F.col("dst").cast("string"),
         ).alias("detail"),
     )
     return own.unionByName(ghost).unionByName(loop)
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def longest_paths(nodes: DataFrame, edges: DataFrame, told: list | None = None) -> DataFrame:
     """For each task, the heaviest work `before` it and `after` it, both in one loop.
 
-    nodes(project_id, task_id, weight), edges(project_id, src, dst), acyclic.
+    nodes(project_id, task_id, weight), edges(project_id, src, dst), acyclic and each once.
     """
-    def weight_of(end: str) -> DataFrame:
-        return nodes.select("project_id", F.col("task_id").alias(end), F.col("weight").alias(f"{end}_weight"))
-
-    weighed = edges.join(weight_of("src"), ["project_id", "src"]).join(weight_of("dst"), ["project_id", "dst"])
-    state = nodes.select(
-        "project_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"), "task_id", F.lit(0).alias("value")
-    )
-    heaviest = _relax(state, _both_ways(weighed, F.col("src_weight"), F.col("dst_weight")), F.max)
-    return heaviest.groupBy("project_id", "task_id").agg(
-        F.max(F.when(F.col("fwd"), F.col("value"))).alias("before"),
-        F.max(F.when(~F.col("fwd"), F.col("value"))).alias("after"),
+    return peel(nodes, edges, told).groupBy("project_id", "task_id").agg(
+        F.max(F.when(F.col("fwd"), F.col("value"))).cast("int").alias("before"),
+        F.max(F.when(~F.col("fwd"), F.col("value"))).cast("int").alias("after"),
     )

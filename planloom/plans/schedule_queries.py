@@ -73,8 +73,19 @@ SELECT p.project_id, CASE WHEN m.project_days IS NULL THEN p.start_date ELSE {du
 FROM v_projects p LEFT JOIN (SELECT project_id, max(project_days) AS project_days FROM v_sched GROUP BY 1) m USING (project_id)"""
 
 
+def cycles_of(c: Catalog, deps: str = "v_deps", tasks: str = "v_tasks"):
+    """(removed edges, steps of their loops), searched once for both."""
+    def search(c):
+        removed, steps = graph.cycles(graph.usable_edges(c.view(deps), c.view(tasks)))
+        # One table for both: a removed edge is the last step of its own loop.
+        return steps.unionByName(removed.select("*", F.lit(-1).alias("step"), F.col("src").alias("loop_src"), F.col("dst").alias("loop_dst")))
+
+    both = c.stage(f"cycles of {deps}", search)
+    return both.filter("step < 0").select("project_id", "src", "dst"), both.filter("step >= 0")
+
+
 def removed_edges(c: Catalog):
-    return c.stage("removed_edges", lambda c: graph.cycle_edges(graph.usable_edges(c.view("v_deps"), c.view("v_tasks"))))
+    return cycles_of(c)[0]
 
 
 def acyclic_edges(c: Catalog):
@@ -114,11 +125,6 @@ SELECT d.project_id, d.depends_on_id AS src, d.task_id AS dst
 FROM v_deps d JOIN v_tasks t ON t.task_id = d.depends_on_id WHERE d.depends_on_id > d.task_id"""
 
 
-@query("dep_cycles", "SELECT project_id, src, dst FROM v_removed")
-def _(c):
-    return removed_edges(c).select("project_id", "src", "dst")
-
-
 DUCK["v_levels"] = """
 SELECT project_id, 0 AS k, -1 AS f1, -1 AS f2, -1 AS f3 FROM (SELECT DISTINCT project_id FROM v_sized)
 UNION ALL

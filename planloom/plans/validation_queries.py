@@ -10,7 +10,7 @@ from planloom.plans.adapters import DUCK
 from planloom.plans.people_queries import delivery, owned
 from planloom.plans.provenance_queries import judged, norm
 from planloom.plans.registry import query
-from planloom.plans.schedule_queries import dated, milestone_checks, removed_edges
+from planloom.plans.schedule_queries import cycles_of, dated, milestone_checks
 
 
 def details(c):
@@ -163,10 +163,12 @@ WHERE c + t + o = 1 AND team <> CASE WHEN c = 1 THEN 'commercial' WHEN t = 1 THE
 DUCK["v_issues"] = """
 SELECT project_id, 'self_reference' AS kind, depends_on_id AS src, task_id AS dst, task_id || ' depends on itself' AS detail FROM v_deps WHERE task_id = depends_on_id
 UNION ALL SELECT project_id, 'unknown_task', depends_on_id, task_id, task_id || ' depends on unknown task ' || depends_on_id FROM v_deps WHERE task_id <> depends_on_id AND depends_on_id NOT IN (SELECT task_id FROM v_tasks)
-UNION ALL SELECT project_id, 'cycle', src, dst, 'circular dependency; removed ' || src || ' -> ' || dst FROM v_removed"""
+UNION ALL SELECT project_id, 'cycle', src, dst, 'circular dependency of ' || count(*) || ' tasks; removed ' || src || ' -> ' || dst FROM v_loop_steps GROUP BY 1, 3, 4"""
+DUCK["v_issue_projects"] = """
+SELECT project_id FROM v_deps WHERE task_id = depends_on_id OR depends_on_id NOT IN (SELECT task_id FROM v_tasks) UNION SELECT project_id FROM v_removed"""
 DUCK["v_off_deps"] = """
 SELECT DISTINCT project_id, 'dependencies' AS stage, CAST(task_id AS STRING) AS item FROM v_tasks t
-WHERE project_id IN (SELECT project_id FROM v_issues) OR task_id IN (SELECT task_id FROM v_demoted WHERE source_status = 'explicit' AND good_key = '' AND depends_on_id IN (SELECT task_id FROM v_tasks))"""
+WHERE project_id IN (SELECT project_id FROM v_issue_projects) OR task_id IN (SELECT task_id FROM v_demoted WHERE source_status = 'explicit' AND good_key = '' AND depends_on_id IN (SELECT task_id FROM v_tasks))"""
 DUCK["v_off_timeline"] = "SELECT d.project_id, 'timeline' AS stage, CAST(task_id AS STRING) AS item FROM v_dated d JOIN v_projects p USING (project_id) WHERE d.due_date > p.go_live_date"
 DUCK["v_off_ms"] = "SELECT project_id, 'milestones' AS stage, CAST(milestone_id AS STRING) AS item FROM v_ms WHERE status = 'late'"
 # Overlaps against the latest-ending earlier task, by joining each task with those before it.
@@ -218,7 +220,7 @@ def val_business_rules(c):
 
 
 def graph_issues(c):
-    return graph.issues(c.view("v_deps"), c.view("v_tasks"), removed_edges(c))
+    return graph.issues(c.view("v_deps"), c.view("v_tasks"), *cycles_of(c))
 
 
 @query("dep_issues", "SELECT * FROM v_issues")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -20,7 +21,18 @@ SQL_SETTINGS = {
 }
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, whatever folder they were
+    started in. Where executors cannot see that folder, ship the package with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    importable(spark)
     for key, value in SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -73,3 +85,19 @@ def discard(frame: DataFrame) -> None:
     spark = frame.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Like stored(), dealt out and sorted by the keys for good: joins by them do not shuffle this side."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"planloom_{uuid.uuid4().hex}", f"{scratch(spark)}/{uuid.uuid4().hex}"
+    df.repartition(parts, *keys).write.format("parquet").bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    frame = spark.table(name)
+    frame.stored_at, frame.stored_as = path, name
+    return frame
+
+
+def drop_bucketed(frame: DataFrame) -> None:
+    frame.sparkSession.sql(f"DROP TABLE IF EXISTS {frame.stored_as}")
+    discard(frame)

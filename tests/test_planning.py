@@ -202,3 +202,51 @@ def test_longest_paths_of_a_cycle_end_with_an_error(spark):
     ring = spark.createDataFrame([(1, "A", "B"), (1, "B", "C"), (1, "C", "A")], "project_id int, src string, dst string")
     with pytest.raises(ValueError):
         graph.longest_paths(nodes, ring)
+
+
+def test_loops_are_named_step_by_step(spark):
+    tasks, edges = plan(spark, {n: 8 for n in "ABCDEF"}, [("B", "A"), ("C", "B"), ("D", "C"), ("A", "D"), ("D", "B"), ("F", "E"), ("E", "F")])
+    gone, steps = graph.cycles(graph.usable_edges(edges, tasks))
+    assert {(r.src, r.dst) for r in gone.collect()} == {("D", "A"), ("F", "E")}
+    rows = sorted((r.src, r.dst, r.step, r.loop_src, r.loop_dst) for r in steps.collect())
+    # From A back to A over the short cut B -> D.
+    assert rows == [("D", "A", 0, "A", "B"), ("D", "A", 1, "B", "D"), ("D", "A", 2, "D", "A"), ("F", "E", 0, "E", "F"), ("F", "E", 1, "F", "E")]
+    details = {r.detail for r in graph.issues(edges, tasks, gone, steps).filter("kind = 'cycle'").collect()}
+    assert "circular dependency of 3 tasks; removed D -> A" in details
+    none = graph.cycles(graph.usable_edges(edges.filter("task_id = 'B'"), tasks))
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_loops_of_random_graphs_are_loops(spark):
+    import random
+
+    rng = random.Random(9)
+    names = [f"N{i:02d}" for i in range(16)]
+    deps = list({(rng.choice(names), rng.choice(names)) for _ in range(40)})
+    tasks, edges = plan(spark, {n: 8 for n in names}, deps)
+    gone, steps = graph.cycles(graph.usable_edges(edges, tasks))
+    loops = {}
+    for r in steps.collect():
+        loops.setdefault((r.src, r.dst), {})[r.step] = (r.loop_src, r.loop_dst)
+    assert set(loops) == {(r.src, r.dst) for r in gone.collect()} and loops
+    for edge, walk in loops.items():
+        walk = [walk[k] for k in range(len(walk))]
+        assert walk[-1] == edge and walk[0][0] == edge[1]
+        assert all((b, a) in deps for a, b in walk)
+        assert all(x[1] == y[0] for x, y in zip(walk, walk[1:], strict=False))
+
+
+def test_peeling_moves_each_task_once_and_splits_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_A_SHARE", 7)
+    nodes = spark.createDataFrame([(1, k, 1 + k % 3) for k in range(120)], "project_id int, task_id int, weight int")
+    pairs = [(0, k) for k in range(1, 120)] + [(k, k + 1) for k in range(1, 30)] + [(k, 119) for k in range(40, 100)]
+    edges = spark.createDataFrame([(1, a, b) for a, b in pairs], "project_id int, src int, dst int")
+    told = []
+    found = {r.task_id: (r.before, r.after) for r in graph.longest_paths(nodes, edges, told).collect()}
+    before, after = {}, {}
+    for t in range(120):
+        before[t] = max((before[a] + 1 + a % 3 for a, b in pairs if b == t), default=0)
+    for t in reversed(range(120)):
+        after[t] = max((after[b] + 1 + b % 3 for a, b in pairs if a == t), default=0)
+    assert found == {t: (before[t], after[t]) for t in range(120)}
+    assert sum(final for final, _ in told) == 240 and len(told) == 31
