@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planloom import vocab
@@ -227,18 +228,20 @@ def snapshot(cards: DataFrame, lists: DataFrame) -> DataFrame:
     return cards.join(lists, "list_id", "left").withColumn("list_name", F.coalesce("list_name", F.lit("")))
 
 
-def detect(planned: DataFrame, cards: DataFrame) -> DataFrame:
-    """Differences (project_id, task_id, kind, detail) between the plan and boards that could be read.
+def detect(planned: DataFrame, cards: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Differences (project_id, task_id, kind, detail) between the plan and boards that could be read; with
+    `by`, columns of cards that tell several readings of a board apart, for each of them, and with the board.
 
     planned(project_id, board_id, task_id, title, team, external_ref, account_id, owner,
     board_fingerprint); cards(board_id, card_id, list_name, title, body, archived, members). A
     board without a single card was not read: nothing is said about it.
     """
-    readable = cards.select("board_id").distinct()
+    readable = cards.select("board_id", *by).distinct()
     seen = cards.select(
-        "board_id", F.col("card_id").alias("external_ref"), "list_name", F.col("title").alias("card_title"),
+        "board_id", *by, F.col("card_id").alias("external_ref"), "list_name", F.col("title").alias("card_title"),
         fingerprint(F.col("title"), F.col("body")).alias("card_print"), "archived", "members")
-    joined = planned.filter("external_ref <> ''").join(readable, "board_id", "left_semi").join(seen, ["board_id", "external_ref"], "left")
+    placed = planned.filter("external_ref <> ''").join(readable, "board_id", "inner" if by else "left_semi")
+    joined = placed.join(seen, ["board_id", "external_ref", *by], "left")
     title, due_list = quoted(F.col("title")), location(F.col("team"))
     owner = F.when(F.col("owner") != "", F.col("owner")).otherwise("the planned owner")
 
@@ -261,8 +264,8 @@ def detect(planned: DataFrame, cards: DataFrame) -> DataFrame:
                    title, " was edited on the board. The card now reads ", quoted(F.col("card_title")),
                    ". Pushing the task again will replace it."),
     )
-    return joined.select("project_id", "task_id", F.explode(F.filter(found, lambda d: d.isNotNull())).alias("d")).select(
-        "project_id", "task_id", "d.*")
+    keys = ["project_id", "task_id", *(["board_id", *by] if by else [])]
+    return joined.select(*keys, F.explode(F.filter(found, lambda d: d.isNotNull())).alias("d")).select(*keys, "d.*")
 
 
 def reconcile(state: DataFrame, found: DataFrame, checked: DataFrame, now: Column) -> DataFrame:
@@ -286,6 +289,34 @@ def reconcile(state: DataFrame, found: DataFrame, checked: DataFrame, now: Colum
     return closed.select(*current.columns).unionByName(current)
 
 
+def replay(state: DataFrame, planned: DataFrame, cards: DataFrame) -> DataFrame:
+    """Open differences brought in line with any number of checks at once, as if reconciled one by one.
+
+    state(project_id, task_id, kind, detail, first_seen_at, notified_at, resolved_at) of open rows;
+    cards(check_no, ...) as for detect(). A difference lasts over consecutive readings of its board: each
+    run of readings that see it is a row. A run from the first reading on carries on the open row; a run
+    that ends is settled by the next reading of the board. A window spans a board's or a
+    difference's readings in these checks, a few, never its cards.
+    """
+    keys = ["project_id", "task_id", "kind"]
+    in_order = W.partitionBy("board_id").orderBy("check_no")
+    reads = cards.select("board_id", "check_no").distinct().select(
+        "board_id", "check_no", F.row_number().over(in_order).alias("_n"), F.lead("check_no").over(in_order).alias("_next"))
+    found = detect(planned, cards, ("check_no",)).join(reads, ["board_id", "check_no"])
+    ordered = W.partitionBy(*keys).orderBy("check_no")
+    runs = found.withColumn("_run", F.col("_n") - F.row_number().over(ordered)).groupBy(*keys, "_run").agg(
+        F.min("check_no").alias("_first"), F.min("_n").alias("_n"), F.max_by("detail", "check_no").alias("_detail"),
+        F.max_by("_next", "check_no").alias("_ended"))
+    first = reads.filter("_n = 1").select("board_id", F.col("check_no").alias("_looked_at"))
+    looked = planned.filter("external_ref <> ''").join(first, "board_id").select("project_id", "task_id", "_looked_at").distinct()
+    known = state.select(*keys, "detail", "first_seen_at", "notified_at", F.lit(1).alias("_n"), F.lit(True).alias("_open"))
+    merged = known.join(runs, [*keys, "_n"], "full").join(looked, ["project_id", "task_id"], "left")
+    seen, fresh = F.col("_run").isNotNull(), F.col("_open").isNull()
+    return merged.select(
+        *keys, F.coalesce("_detail", "detail").alias("detail"), F.coalesce("first_seen_at", "_first").alias("first_seen_at"), "notified_at",
+        F.when(seen, F.col("_ended")).otherwise(F.col("_looked_at")).alias("resolved_at"), fresh.alias("fresh"))
+
+
 def open_drift(state: DataFrame) -> DataFrame:
     return state.filter("resolved_at IS NULL").orderBy("first_seen_at")
 

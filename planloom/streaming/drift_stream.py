@@ -1,10 +1,13 @@
 """Board checks as a stream of snapshots: report a difference once, settle it, report it again.
 
-Three tables in the cluster's shared folder hold the state, one version per micro-batch: open
+Three tables in the cluster's shared folder hold the state, one version per micro-batch, of which two are kept: open
 differences, the differences a batch settled (appended once, never rewritten), and when each board
 was last read. A batch reads the versions before it and writes its own. A batch that is run again
 after a failure overwrites its own versions with the same rows, so the state is exact whatever is
-lost on the way, and however checks are dealt to batches: those of one batch are replayed in order.
+lost on the way, and however checks are dealt to batches: those of one batch are replayed at once.
+
+The state is a table and not Spark's keyed state, which from Python means a call for each board and
+batch, and a board's cards in one task: joins take all boards at once and split a large one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from planloom.operators import board
-from planloom.session import stored
+from planloom.session import discard, stored
 
 STATE_SCHEMA = (
     "project_id bigint, task_id bigint, kind string, detail string, first_seen_at bigint, notified_at bigint, "
@@ -93,24 +96,15 @@ class DriftWatch:
         fresh_cards = stored(
             snapshots.join(seen, "board_id", "left").filter(F.col("check_no") > F.coalesce("board_checked_at", F.lit(-1))).drop("board_checked_at")
         )
-        # The numbers of the checks that came since the last batch, not of their cards.
-        numbers = sorted(r[0] for r in fresh_cards.select("check_no").distinct().collect())
-        placed = self.planned.filter("external_ref <> ''")
-        columns = [f.name for f in self.state(-1).schema]
-        current, settled = self.open(batch_id - 1), []
-        for number in numbers:
-            cards = fresh_cards.filter(F.col("check_no") == number)
-            checked = placed.join(cards.select("board_id").distinct(), "board_id").select("project_id", "task_id")
-            merged = board.reconcile(current.drop("fresh"), board.detect(self.planned, cards), checked, F.lit(number).cast("bigint"))
-            merged = stored(merged.withColumn("fresh", F.col("first_seen_at") >= numbers[0]).select(*columns))
-            settled.append(merged.filter("resolved_at IS NOT NULL"))
-            current = merged.filter("resolved_at IS NULL")
-        if not numbers:
-            current = current.withColumn("fresh", F.lit(False))
-        done = self.state(-1)
-        for part in settled:
-            done = done.unionByName(part)
+        merged = stored(board.replay(self.open(batch_id - 1), self.planned, fresh_cards).select(*[f.name for f in self.state(-1).schema]))
         newest = fresh_cards.groupBy("board_id").agg(F.max("check_no").alias("board_checked_at"))
         boards = seen.unionByName(newest).groupBy("board_id").agg(F.max("board_checked_at").alias("board_checked_at"))
-        for table, rows in (("open", current), ("settled", done), ("boards", boards)):
+        tables = {"open": merged.filter("resolved_at IS NULL"), "settled": merged.filter("resolved_at IS NOT NULL"), "boards": boards}
+        for table, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{self.home}/{table}/batch={batch_id}")
+        discard(merged)
+        discard(fresh_cards)
+        # A batch that is run again reads the versions before its own; older ones are done with.
+        for table in ("open", "boards"):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{table}/batch={batch_id - 2}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

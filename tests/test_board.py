@@ -1,6 +1,7 @@
 """Grounding policy, drift sequences, retrieval and sinks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from planloom.operators import board, grounding
@@ -88,29 +89,27 @@ def test_fingerprint(spark):
     assert df.select(board.fingerprint(F.col("t"), F.col("b"))).first()[0] == hashlib.sha256("Títle\x00body".encode()).hexdigest()[:32]
 
 
-def test_replacing_sink(spark, tmp_path):
+def test_replacing_sink(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "rows")
     sinks.create(spark.createDataFrame([(p, f"old{p}") for p in range(6)], "project_id int, v string"), path, "project_id", 4)
     new = spark.createDataFrame([(1, "new1"), (1, "new1b")], "project_id int, v string")
     gone = spark.createDataFrame([(1,), (2,)], "project_id int")
-    # A write that breaks off before its manifest leaves the table as it was.
-    publish, sinks._publish = sinks._publish, None
-    try:
-        sinks.replace(new, path, ["project_id"], gone)
-    except TypeError:
-        pass
-    finally:
-        sinks._publish = publish
-    assert sinks.read(spark, path).count() == 6
+    # A write that breaks off, here in the middle of its own job, leaves the table as it was.
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "stored", lambda df: df)
+        broken = new.withColumn("v", F.when(F.col("v") == "new1b", F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+        with pytest.raises(Exception, match="lost"):
+            sinks.replace(broken, path, ["project_id"], gone)
+    assert sorted(tuple(r) for r in sinks.read(spark, path).collect()) == [(p, f"old{p}") for p in range(6)]
     for _ in range(2):  # a second run replaces, it does not add
         sinks.replace(new, path, ["project_id"], gone)
     want = [(0, "old0"), (1, "new1"), (1, "new1b"), (3, "old3"), (4, "old4"), (5, "old5")]
     assert sorted(tuple(r) for r in sinks.read(spark, path).collect()) == want
-    sinks.vacuum(spark, path)
-    assert sorted(tuple(r) for r in sinks.read(spark, path).collect()) == want
     everything = spark.createDataFrame([(p,) for p in range(6)], "project_id int")
     sinks.replace(new.limit(0), path, ["project_id"], everything)
     assert sinks.read(spark, path).count() == 0
+    sinks.replace(new, path, ["project_id"], gone)
+    assert sorted(tuple(r) for r in sinks.read(spark, path).collect()) == [(1, "new1"), (1, "new1b")]
 
 
 def test_long_cards_go_out_in_parts_and_lose_nothing(spark):
