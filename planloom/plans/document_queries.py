@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planloom.functions.text import strip
 from planloom.operators import quality, segment
 from planloom.plans.adapters import DUCK, SPARK_ONLY, _doc_key
 from planloom.plans.registry import query
@@ -81,17 +80,6 @@ def _(c):
     return c.view("v_docs").select("doc_key", b).filter("i IS NOT NULL").select("doc_key", (F.col("i") + 1).alias("block_no"), "text")
 
 
-@query("doc_headings", f"""
-SELECT doc_key, block_no, text FROM v_runs WHERE heading
-UNION ALL SELECT page_id || '', CAST(0 AS INT), t FROM (SELECT page_id, {duck_strip('url')} AS t FROM pages) WHERE {duck_heading('t')}""")
-def _(c):
-    b = F.posexplode_outer(segment.blocks(F.col("text"))).alias("i", "text")
-    in_docs = c.view("v_docs").select("doc_key", b).filter("i IS NOT NULL").select("doc_key", (F.col("i") + 1).alias("block_no"), "text")
-    in_pages = c.table("pages").select(
-        F.col("page_id").cast("string").alias("doc_key"), F.lit(0).alias("block_no"), strip(F.col("url")).alias("text"))
-    return in_docs.unionByName(in_pages).filter(segment.is_heading(F.col("text")))
-
-
 @query("doc_sections", "SELECT doc_key, section_index, section_title, CAST(count(*) AS INT) AS chunk_count FROM v_doc_chunks GROUP BY ALL")
 def _(c):
     return segment.section_rows(segmented(c)).select("doc_key", "section_index", "section_title", "chunk_count")
@@ -120,12 +108,6 @@ def _(c):
     return segment.chunk_rows(segmented(c)).select("doc_key", "section_index", "chunk_index", "chunk_key")
 
 
-@query("doc_table_count", "SELECT doc_key, CAST(count(*) AS BIGINT) AS table_count FROM v_layout_tables WHERE true GROUP BY 1")
-def _(c):
-    filled = c.view("v_layout_tables").filter(segment.flatten_rows(F.col("rows")) != "")
-    return filled.groupBy("doc_key").agg(F.count(F.lit(1)).alias("table_count"))
-
-
 @query("doc_full_text", """
 SELECT doc_key, coalesce(string_agg(c.text, chr(10) ORDER BY section_index, chunk_index), '') AS full_text FROM v_docs d LEFT JOIN (SELECT doc_key, text, section_index, chunk_index FROM v_doc_chunks) c USING (doc_key) GROUP BY 1""")
 def _(c):
@@ -163,13 +145,6 @@ def _layout_tables(c):
 SPARK_ONLY["v_layout_tables"] = _layout_tables
 
 
-@query("doc_flatten_cell", """
-SELECT doc_key, 'Lang | ' || lang || ' | ' || chr(10) || 'Source of text | ' || source || ' | ' || n_chars AS text
-FROM (SELECT """ + _doc_key("doc_id") + """ AS doc_key, lang, source, n_chars FROM documents)""")
-def _(c):
-    return c.view("v_layout_tables").select("doc_key", segment.flatten_rows(F.col("rows")).alias("text"))
-
-
 @query("doc_lines_in_tables", "SELECT doc_key, line_no, page FROM v_lines WHERE NOT (page = 1 AND top BETWEEN 48 AND 68)")
 def _(c):
     return segment.lines_outside_tables(c.view("v_lines"), c.view("v_layout_tables")).select("doc_key", "line_no", "page")
