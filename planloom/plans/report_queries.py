@@ -7,85 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.operators import evaluate, linking, provenance, segment, views
-from planloom.plans.adapters import DUCK, _doc_key
+from planloom.operators import evaluate, gaps, linking, provenance, segment, views
+from planloom.plans.adapters import DUCK
 from planloom.plans.provenance_queries import gap_fields, judged, rates
 from planloom.plans.registry import query
 from planloom.plans.validation_queries import all_stories, cases, client_stories
-from planloom.operators import gaps
 from planloom.session import scratch
-from planloom.sources import readers, sinks
+from planloom.sources import sinks
 
 # Sources ---------------------------------------------------------------------------------
 
-DUCK["v_files"] = "SELECT doc_id, 'doc' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' WHEN 2 THEN '.rtf' ELSE '.docx' END AS filename, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.pdf' WHEN 2 THEN '.rtf' ELSE '.docx' END AS suffix FROM documents"
-
-
-def files(c):
-    i = F.col("doc_id") % 4
-    ending = F.when(i == 0, ".txt").when(i == 1, ".PDF").when(i == 2, ".rtf").otherwise(".docx")
-    return c.table("documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), ending).alias("filename"))
-
-
-@query("src_text_docs", "SELECT filename, CASE WHEN suffix IN ('.pdf', '.docx', '.txt') THEN 'accepted' ELSE 'Unsupported format ''' || suffix || '''' END AS outcome FROM v_files")
-def _(c):
-    named = files(c).withColumn("file_type", readers.suffix(F.col("filename")))
-    good = F.col("file_type").isin(readers.UPLOADABLE)
-    return named.filter(good).select("filename", F.lit("accepted").alias("outcome")).unionByName(
-        readers.rejected_files(named.filter(~good)).withColumnRenamed("reason", "outcome"))
-
-
-def answers(c):
-    """Model answers as JSON text, one per project; an unreadable one for every 71st."""
-    t = c.view("v_tasks")
-    bare = F.when(F.col("ord") > 1, (F.col("task_id") - 1).cast("string"))
-    full = F.when(F.col("ord") > 3, F.to_json(F.struct(
-        F.concat(F.lit(" "), (F.col("task_id") - 3).cast("string")).alias("depends_on_id"), F.lit("explicit").alias("source_status"),
-        F.array(F.lit("K")).alias("source_chunk_keys"), F.lit("order stated").alias("rationale"))))
-    task = F.struct(
-        F.col("ord"), F.col("task_id").cast("string").alias("task_id"), "title", "team", "estimated_hours", "source_status",
-        F.filter(F.array(bare, full), lambda x: x.isNotNull()).alias("depends_on"))
-    # One answer is one document: a bounded number of tasks.
-    rows = t.groupBy("project_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
-    text = F.to_json(F.struct("tasks"))
-    return rows.select("project_id", F.when(F.col("project_id") % 71 == 0, F.concat(F.lit("{\"tasks\": ["), text)).otherwise(text).alias("output"))
-
-
-@query("src_structured_answer", "SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY ord) AS INT) AS ord, CAST(task_id AS STRING) AS task_id, title, team, estimated_hours FROM v_tasks WHERE project_id % 71 <> 0")
-def _(c):
-    parsed, _ = readers.parsed_answers(answers(c))
-    return readers.answer_tasks(parsed).select("project_id", "ord", "task_id", "title", "team", "estimated_hours")
-
-
-@query("src_structured_rejects", "SELECT DISTINCT project_id FROM v_tasks WHERE project_id % 71 = 0")
-def _(c):
-    return readers.parsed_answers(answers(c))[1].select("project_id")
-
-
-@query("src_bare_dependency", """
-SELECT project_id, CAST(task_id AS STRING) AS task_id, CAST(1 AS INT) AS slot, CAST(task_id - 1 AS STRING) AS depends_on_id, 'inferred' AS source_status, CAST(0 AS INT) AS citations, '' AS rationale FROM v_tasks WHERE ord > 1 AND project_id % 71 <> 0
-UNION ALL SELECT project_id, CAST(task_id AS STRING), 2, CAST(task_id - 3 AS STRING), 'explicit', 1, 'order stated' FROM v_tasks WHERE ord > 3 AND project_id % 71 <> 0""")
-def _(c):
-    return readers.answer_dependencies(readers.answer_tasks(readers.parsed_answers(answers(c))[0]))
-
-
-@query("src_findings_claims_artifacts", """
-SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos) AS INT) AS pos, field_key, status, value, hint FROM v_findings""")
-def _(c):
-    finding = F.struct(F.col("pos").alias("at"), "field_key", "status", "value", F.array("raw_key").alias("evidence_chunk_keys"), "note", "hint")
-    rows = c.view("v_findings").groupBy("project_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(finding)).alias("findings"))).alias("output"))
-    return readers.parsed_findings(rows).select("project_id", "pos", "field_key", "status", "value", "hint")
-
-
-@query("src_gold", """
-SELECT project_id, requirement_id AS section, team, title FROM v_requirements""")
-def _(c):
-    item = F.struct("ord", "team", "title", F.col("requirement_id").alias("section"))
-    rows = c.view("v_requirements").groupBy("project_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("requirements"))).alias("output"))
-    parsed = rows.select("project_id", F.from_json("output", readers.GOLD_SCHEMA).alias("g"))
-    return parsed.select("project_id", F.explode("g.requirements").alias("r")).select("project_id", "r.section", "r.team", "r.title")
-
-
 @query("scan_filter", """
 SELECT project_id, task_id, title FROM v_tasks WHERE review_status <> 'rejected' AND due_date IS NOT NULL AND board_dirty AND team IN ('technical', 'operations') AND external_ref <> ''""")
 def _(c):
@@ -181,15 +112,11 @@ def _(c):
 # Views -----------------------------------------------------------------------------------
 
 
-def gap_assumptions(c):
-    return gaps.assumptions(gap_fields(c))
-
-
 @query("view_projects", """
 SELECT p.*, coalesce(t, 0) AS task_count, coalesce(a, 0) AS assumption_count FROM v_projects p LEFT JOIN (SELECT project_id, count(*) AS t FROM v_tasks GROUP BY 1) USING (project_id)
 LEFT JOIN (SELECT project_id, count(*) AS a FROM v_assumptions GROUP BY 1) USING (project_id)""")
 def _(c):
-    return views.projects_overview(c.view("v_projects"), c.view("v_tasks"), gap_assumptions(c))
+    return views.projects_overview(c.view("v_projects"), c.view("v_tasks"), gaps.assumptions(gap_fields(c)))
 
 
 @query("view_tasks", """
@@ -292,17 +219,6 @@ def _(c):
     return evaluate.coverage(c.view("v_projects"), areas(c))
 
 
-@query("ev_hallucinated", """
-SELECT DISTINCT project_id, gap FROM (
-  SELECT project_id, 'offer_count' AS gap FROM v_tasks WHERE source_status = 'explicit' AND (contains(lower(title || ' ' || description), '20 offers') OR contains(lower(title || ' ' || description), '12 offers') OR contains(lower(title || ' ' || description), '15 offers'))
-  UNION ALL SELECT project_id, 'training_duration' FROM v_tasks WHERE source_status = 'explicit' AND (contains(lower(title || ' ' || description), '2 days') OR contains(lower(title || ' ' || description), '3 days') OR contains(lower(title || ' ' || description), 'two days')))
-WHERE project_id % 2 = 0 OR gap = 'training_duration'""")
-def _(c):
-    gaps_of = c.view("v_projects").select("project_id", F.explode(F.array(
-        F.when(F.col("project_id") % 2 == 0, "offer_count"), F.lit("training_duration"))).alias("gap")).filter("gap IS NOT NULL")
-    return evaluate.hallucinated(c.view("v_tasks"), gaps_of)
-
-
 DUCK["v_ev_grounding"] = """
 SELECT project_id, CAST(count(*) FILTER (WHERE verdict = 'supported') AS DOUBLE) / count(*) AS grounding_score,
        CASE WHEN count(*) FILTER (WHERE is_quantitative) > 0 THEN CAST(count(*) FILTER (WHERE verdict = 'supported' AND is_quantitative) AS DOUBLE) / count(*) FILTER (WHERE is_quantitative) END AS quantitative_grounding FROM v_judged GROUP BY 1"""
@@ -318,20 +234,6 @@ def _(c):
     return evaluate.grounding_rates(judged(c)).select("project_id", "quantitative_grounding")
 
 
-@query("ev_assumption_recall", """
-SELECT p.project_id, coalesce(r, 1.0) AS assumption_recall FROM v_gap_projects p LEFT JOIN (
-  SELECT project_id, CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) AS r FROM (
-    SELECT e.project_id, e.category, bool_and(contains(h.t, e.part)) AS ok FROM (SELECT project_id, category, unnest(string_split(lower(category), '_')) AS part FROM (
-       SELECT project_id, 'OFFER_COUNT' AS category FROM v_gap_projects WHERE project_id % 3 <> 0 UNION ALL SELECT project_id, 'EARN_RATE' FROM v_gap_projects WHERE project_id % 3 = 1
-       UNION ALL SELECT project_id, 'RISK_REGISTER' FROM v_gap_projects WHERE project_id % 3 = 2)) e
-    JOIN (SELECT project_id, string_agg(lower(category || ' ' || value || ' ' || reason), ' ') AS t FROM v_assumptions GROUP BY 1) h USING (project_id) GROUP BY 1, 2) GROUP BY 1) x USING (project_id)""")
-def _(c):
-    i = F.col("project_id") % 3
-    expected = c.view("v_gap_projects").select("project_id", F.explode(F.array(
-        F.when(i != 0, "OFFER_COUNT"), F.when(i == 1, "EARN_RATE"), F.when(i == 2, "RISK_REGISTER"))).alias("category")).filter("category IS NOT NULL")
-    return evaluate.assumption_recall(c.view("v_gap_projects"), expected, gap_assumptions(c))
-
-
 @query("ev_provenance_mix", "SELECT project_id, source_status, count(*) AS tasks FROM v_tasks GROUP BY 1, 2")
 def _(c):
     return c.view("v_tasks").groupBy("project_id", "source_status").agg(F.count(F.lit(1)).alias("tasks"))
