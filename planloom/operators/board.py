@@ -321,14 +321,14 @@ def open_drift(state: DataFrame) -> DataFrame:
     return state.filter("resolved_at IS NULL").orderBy("first_seen_at")
 
 
-def notify_batch(fresh: DataFrame, projects: DataFrame, bucket: Column, per_message: int = 20) -> DataFrame:
+def notify_batch(fresh: DataFrame, projects: DataFrame, per_message: int = 20) -> DataFrame:
     """Messages per project, grouped: numbered parts of up to `per_message` lines, none left out.
 
-    `bucket` cuts a project along task_id, in its order (see operators/windows.py).
+    task_id is a number; projects are cut along it (see operators/windows.py).
     """
     part = F.floor((F.col("n") - 1) / per_message).cast("int")
     numbered = windows.row_number(
-        fresh, ["project_id"], bucket, [F.col("task_id"), F.col("kind")], "n")
+        windows.by_depth(fresh, ["project_id"], F.col("task_id"), "_part"), ["project_id"], F.col("_part"), [F.col("task_id"), F.col("kind")], "n")
     total = fresh.groupBy("project_id").agg(F.count(F.lit(1)).alias("total"))
     names = projects.select("project_id", "name")
     lines = numbered.withColumn("part", part).join(names, "project_id").groupBy("project_id", "part").agg(

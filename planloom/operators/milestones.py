@@ -78,7 +78,7 @@ def segments(checks: DataFrame, starts: DataFrame) -> DataFrame:
     """Working days allowed and planned between consecutive milestones, the first from the start."""
     usable = checks.filter(F.col("target_date").isNotNull() & F.col("projected_date").isNotNull())
     stepped = windows.lag(
-        usable, ["project_id"], windows.by_month(F.col("target_date")), [F.col("target_date"), F.col("pos")],
+        windows.by_depth(usable, ["project_id"], F.unix_date("target_date"), "_part"), ["project_id"], F.col("_part"), [F.col("target_date"), F.col("pos")],
         F.struct("target_date", "projected_date", "name"), "prev",
     ).join(starts.select("project_id", F.col("start_date").alias("kickoff")), "project_id")
     allowed = working_days_between(F.coalesce("prev.target_date", "kickoff"), F.col("target_date"))

@@ -76,10 +76,12 @@ def evidence_for_one(chunks: DataFrame, chunk_key: str) -> DataFrame:
     return chunks.filter(F.col("chunk_key") == chunk_key).select("project_id", "chunk_key", "text", "page", "section_title")
 
 
-def task_evidence(valid_citations: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cited chunks, then the other chunks of the task's section, each once."""
-    cited = valid_citations.select("project_id", "task_id", "chunk_key", F.lit(1).alias("priority"))
-    around = sections.select("project_id", "task_id", "section_index").join(
+def task_evidence(requested: DataFrame, valid_citations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Of the requested tasks (project_id, task_id): cited chunks, then the other chunks of the section of
+    the first one, each once. Only citations of those tasks, and so only their sections, are looked at."""
+    asked = valid_citations.join(requested.select("project_id", "task_id").distinct(), ["project_id", "task_id"], "left_semi")
+    cited = asked.select("project_id", "task_id", "chunk_key", F.lit(1).alias("priority"))
+    around = first_section(asked, chunks, "task_id").select("project_id", "task_id", "section_index").join(
         chunks.select("project_id", "section_index", "chunk_key"), ["project_id", "section_index"]
     ).select("project_id", "task_id", "chunk_key", F.lit(2).alias("priority"))
     return cited.union(around).groupBy("project_id", "task_id", "chunk_key").agg(F.min("priority").alias("priority"))

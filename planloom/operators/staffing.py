@@ -126,8 +126,9 @@ def overlaps(owned: DataFrame) -> DataFrame:
     running = F.struct(
         F.col("due_date").alias("due"), (-F.unix_date("start_date")).alias("early"), (-F.col("ord")).alias("neg_ord"),
         F.col("task_id").alias("id"), F.col("title").alias("title"))
+    keys = ["project_id", "owner"]
     carried = windows.running_max_before(
-        ready, ["project_id", "owner"], windows.by_month(F.col("start_date")), [F.col("start_date"), F.col("ord")], running, "with")
+        windows.by_depth(ready, keys, F.unix_date("start_date"), "_part"), keys, F.col("_part"), [F.col("start_date"), F.col("ord")], running, "with")
     return carried.filter(F.col("start_date") <= F.col("with.due")).select(
         "project_id", "owner", F.col("with.id").alias("first_task_id"), F.col("task_id").alias("second_task_id"),
         (F.datediff("with.due", "start_date") + 1).alias("overlap_days"),

@@ -1,7 +1,8 @@
 """Ordered per-group computations that survive one group holding a third of all rows.
 
 A plain window ships a whole group to one task. Here the group is first cut along its
-order column into buckets of fixed width. Each bucket is its own window partition, and
+order column into buckets: of fixed width (by_width) or, by splitters from a quantile sketch, of about
+as many rows each (by_depth). Each bucket is its own window partition, and
 what crosses a bucket border (a count, a maximum, the last row) is carried by a summary
 of one row per bucket. Small groups fall into one bucket and cost one extra small join.
 """
@@ -20,8 +21,30 @@ def by_width(order: Column, width: int) -> Column:
     return F.floor(order / width).cast("bigint")
 
 
-def by_month(day: Column) -> Column:
-    return (F.year(day) * 12 + F.month(day)).cast("bigint")
+#: Rows of a bucket cut by depth, about; and buckets of a group at most.
+DEPTH, MOST_CUTS = 50_000, 1_000
+
+
+def by_depth(df: DataFrame, keys: list[str], order: Column, name: str, rows: int = DEPTH, most: int = MOST_CUTS) -> DataFrame:
+    """df with `name`, a bucket of about `rows` rows of its group along a numeric order.
+
+    Groups of more rows are cut at quantiles of their order, estimated by a sketch that is merged like
+    any aggregate; smaller ones are one bucket. The cuts, a row for each large group, go to the rows by
+    a join that adaptive execution broadcasts or splits. Rows of one order share a bucket; rows
+    without an order are in the first.
+    """
+    named = df.withColumn("_order", order.cast("double"))
+    shares = [k / most for k in range(1, most)]
+    sketch = F.percentile_approx("_order", F.array(*[F.lit(x) for x in shares]), 10 * most)
+    # As many of the quantiles, evenly spread, as the group has buckets to be cut into.
+    parts = F.least(F.ceil(F.col("_n") / rows), F.lit(most)).cast("int")
+    pick = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: F.get("_sketch", F.floor(k * most / F.col("_parts")).cast("int") - 1))
+    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).withColumn("_parts", parts)
+    large = named.join(sizes.select(*keys), keys, "left_semi").groupBy(*keys).agg(sketch.alias("_sketch"))
+    cuts = sizes.join(large, keys).select(*keys, F.array_distinct(pick).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_order")))
+    return named.join(cuts, keys, "left").withColumn(
+        name, F.when(F.col("_cuts").isNull() | F.col("_order").isNull(), F.lit(0)).otherwise(below).cast("bigint")).drop("_order", "_cuts")
 
 
 def _inside(keys: list[str], order: list[Column]):

@@ -118,6 +118,9 @@ FROM (SELECT l_orderkey, l_linenumber, SUM(l_quantity) AS qty, MIN(l_partkey) AS
              MIN(l_returnflag) AS rf, MIN(l_shipdate) AS sd, MIN(o_orderstatus) AS os
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber) g"""
 
+# What is left of the tasks after some were deleted.
+ADAPTERS["v_kept_tasks"] = "SELECT * FROM v_tasks WHERE part_id % 43 <> 0"
+
 ADAPTERS["v_deps"] = f"""
 SELECT project_id, task_id, slot, depends_on_id, ord * 10 + slot AS edge_ord,
        CASE WHEN slot = 1 AND supplier_id % 2 = 0 THEN 'explicit' WHEN slot = 2 THEN 'assumed'

@@ -351,7 +351,7 @@ SELECT project_id, CAST(part AS INT) AS part, '**The board no longer matches the
 FROM (SELECT *, floor((n - 1) / 20) AS part FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY task_id, kind) AS n, count(*) OVER (PARTITION BY project_id) AS total FROM v_reconciled WHERE fresh)) r
 JOIN v_projects p USING (project_id) GROUP BY project_id, part, total""")
 def _(c):
-    return board.notify_batch(reconciled(c).filter("fresh"), c.view("v_projects"), windows.by_width(F.col("task_id"), 1_000_000))
+    return board.notify_batch(reconciled(c).filter("fresh"), c.view("v_projects"))
 
 
 @query("drift_mark_notified", """

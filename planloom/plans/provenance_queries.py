@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from planloom import vocab
 from planloom.functions.citations import normalize
 from planloom.functions.text import percent
-from planloom.operators import gaps, grounding, linking, provenance
+from planloom.operators import gaps, grounding, linking, provenance, segment
 from planloom.plans.adapters import DUCK
 from planloom.plans.registry import query
 
@@ -92,10 +92,12 @@ def _(c):
 SELECT project_id, task_id, chunk_key, min(priority) AS priority FROM (
   SELECT project_id, task_id, chunk_key, CAST(1 AS INT) AS priority FROM v_valid
   UNION ALL SELECT f.project_id, f.task_id, k.chunk_key, 2 FROM v_first f JOIN v_chunks k ON k.project_id = f.project_id AND k.section_index = f.section_index)
-GROUP BY 1, 2, 3""")
+WHERE task_id IN (SELECT task_id FROM v_tasks WHERE review_status = 'rejected') GROUP BY 1, 2, 3""")
 def _(c):
+    # Evidence is asked for where a task is to be written again: where its review rejected it.
+    requested = c.view("v_tasks").filter("review_status = 'rejected'")
     good, chunks = valid_citations(c), c.view("v_chunks")
-    return provenance.task_evidence(good, provenance.first_section(good, chunks, "task_id"), chunks)
+    return provenance.task_evidence(requested, good, chunks)
 
 
 DUCK["v_rates"] = """
@@ -162,7 +164,7 @@ def _(c):
         "project_id", "task_id", "depends_on_id", "slot", linking.clean_rationale(F.col("rationale")).alias("rationale"))
 
 
-_cats = " ".join(f"WHEN category IN ({', '.join(repr(x) for x in cats)}) THEN '{team}'" for team, cats in vocab.DETAIL_CATEGORIES.items())
+_cats = " ".join(f"WHEN category = '{category}' THEN '{team}'" for category, team in vocab.CATEGORY_TEAMS.items())
 DUCK["v_teamed"] = f"SELECT *, CASE {_cats} END AS team FROM v_details"
 
 
@@ -172,11 +174,13 @@ def _(c):
 
 
 @query("empty_extraction", """
-SELECT p.project_id, CASE WHEN n > 0 THEN n END AS chunk_count, 'tasks' AS missing FROM v_projects p JOIN (SELECT doc_id AS project_id, n_chars AS n FROM documents) d USING (project_id)
-WHERE n > 0 AND p.project_id NOT IN (SELECT project_id FROM v_tasks)""")
+SELECT d.project_id, count(*) AS chunk_count, 'tasks' AS missing FROM v_docs d JOIN v_doc_chunks k USING (doc_key)
+WHERE d.project_id IN (SELECT project_id FROM v_requirements) AND d.project_id NOT IN (SELECT project_id FROM v_tasks) GROUP BY 1
+UNION ALL SELECT d.project_id, count(*), 'requirements, tasks' FROM v_docs d JOIN v_doc_chunks k USING (doc_key)
+WHERE d.project_id NOT IN (SELECT project_id FROM v_requirements) AND d.project_id NOT IN (SELECT project_id FROM v_tasks) GROUP BY 1""")
 def _(c):
-    docs = c.table("documents").select(F.col("doc_id").alias("project_id"), F.col("doc_id").cast("string").alias("doc_key"), F.col("n_chars").alias("chunk_count"))
-    docs = docs.join(c.view("v_projects").select("project_id"), "project_id", "left_semi")
+    chunks = segment.chunk_rows(segment.segment(c.view("v_docs").select("project_id", "doc_key", "text")))
+    docs = chunks.groupBy("project_id", "doc_key").agg(F.count(F.lit(1)).alias("chunk_count"))
     return linking.empty_extractions(docs, c.view("v_tasks"), c.view("v_requirements")).select("project_id", "chunk_count", "missing")
 
 
@@ -336,15 +340,23 @@ def _(c):
     return retrieved(c, 3).withColumn("distance", F.col("distance") + 0.0)
 
 
+DUCK["v_retrieved"] = """
+SELECT project_id, query_id, chunk_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, query_id ORDER BY distance, chunk_id) AS rank FROM (
+    SELECT a.project_id, a.vec_id AS query_id, b.vec_id AS chunk_id,
+           round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS distance
+    FROM v_embeddings a JOIN v_embeddings b ON a.project_id = b.project_id)) WHERE rank <= 6"""
+
+
 @query("gr_evidence_union", """
 SELECT project_id, task_id, chunk_key, min(priority) AS priority FROM (
-  SELECT project_id, task_id, chunk_key, CAST(1 AS INT) AS priority FROM v_valid UNION ALL
-  SELECT c.project_id, c.task_id, k.chunk_key, 2 FROM v_claims c JOIN v_chunks k ON k.project_id = c.project_id AND k.chunk_index = c.part_id % 8) GROUP BY 1, 2, 3""")
+  SELECT project_id, vec_id AS task_id, CAST(vec_id AS STRING) AS chunk_key, CAST(1 AS INT) AS priority FROM v_embeddings
+  UNION ALL SELECT project_id, query_id, CAST(chunk_id AS STRING), 2 FROM v_retrieved) GROUP BY 1, 2, 3""")
 def _(c):
-    # Any frame (project_id, task_id, chunk_key) can stand in for the retriever.
-    hits = c.view("v_claims").withColumn("chunk_index", F.col("part_id") % 8).join(
-        c.view("v_chunks").select("project_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_key"), ["project_id", "chunk_index"])
-    return grounding.evidence_union(valid_citations(c), hits)
+    # Every vector is a claim that cites its own chunk; the retriever adds the nearest ones of its project.
+    cited = c.view("v_embeddings").select("project_id", F.col("vec_id").alias("task_id"), F.col("vec_id").cast("string").alias("chunk_key"))
+    hits = retrieved(c, 6).select("project_id", F.col("query_id").alias("task_id"), F.col("chunk_id").cast("string").alias("chunk_key"))
+    return grounding.evidence_union(cited, hits)
 
 
 DUCK["v_judged"] = f"""
@@ -392,10 +404,10 @@ def _(c):
 
 @query("gr_by_team", """
 SELECT j.project_id, coalesce(t.team, 'unknown') AS team, CAST(count(*) FILTER (WHERE verdict = 'supported') AS DOUBLE) / count(*) AS score, count(*) AS claims
-FROM v_judged j LEFT JOIN (SELECT * FROM v_tasks WHERE part_id % 43 <> 0) t USING (task_id) GROUP BY 1, 2""")
+FROM v_judged j LEFT JOIN v_kept_tasks t USING (task_id) GROUP BY 1, 2""")
 def _(c):
-    # Some tasks were deleted after grading: their claims belong to no team.
-    return grounding.by_team(judged(c), c.view("v_tasks").filter("part_id % 43 <> 0"))
+    # Claims of tasks deleted after grading belong to no team.
+    return grounding.by_team(judged(c), c.view("v_kept_tasks"))
 
 
 @query("gr_status_counts", """

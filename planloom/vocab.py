@@ -107,19 +107,29 @@ TEAMS = ["commercial", "technical", "operations"]
 SCOPES = ["merchant", "offer", "project"]
 
 # The team that owns each category of enumerated detail.
-DETAIL_CATEGORIES = {
-    "commercial": [
-        "merchant", "offer", "contract", "pricing_term", "sla", "legal_requirement", "approval",
-        "commercial_milestone",
-    ],
-    "technical": [
-        "api", "integration", "authentication", "data_requirement", "security_requirement",
-        "performance_requirement", "infrastructure_requirement",
-    ],
-    "operations": [
-        "system_operation", "system_configuration", "onboarding_step", "training_topic",
-        "merchant_trade", "go_live_support", "post_go_live_support",
-    ],
+CATEGORY_TEAMS = {
+    "merchant": "commercial",
+    "offer": "commercial",
+    "contract": "commercial",
+    "pricing_term": "commercial",
+    "sla": "commercial",
+    "legal_requirement": "commercial",
+    "approval": "commercial",
+    "commercial_milestone": "commercial",
+    "api": "technical",
+    "integration": "technical",
+    "authentication": "technical",
+    "data_requirement": "technical",
+    "security_requirement": "technical",
+    "performance_requirement": "technical",
+    "infrastructure_requirement": "technical",
+    "system_operation": "operations",
+    "system_configuration": "operations",
+    "onboarding_step": "operations",
+    "training_topic": "operations",
+    "merchant_trade": "operations",
+    "go_live_support": "operations",
+    "post_go_live_support": "operations",
 }
 
 # Whole words that signal a team.
@@ -188,5 +198,5 @@ def roster(spark: SparkSession) -> DataFrame:
 
 
 def detail_categories(spark: SparkSession) -> DataFrame:
-    rows = [(c, team) for team, cats in DETAIL_CATEGORIES.items() for c in cats]
+    rows = list(CATEGORY_TEAMS.items())
     return spark.createDataFrame(rows, "category string, team string")

@@ -250,3 +250,21 @@ def test_peeling_moves_each_task_once_and_splits_a_hub(spark, monkeypatch):
         after[t] = max((after[b] + 1 + b % 3 for a, b in pairs if a == t), default=0)
     assert found == {t: (before[t], after[t]) for t in range(120)}
     assert sum(final for final, _ in told) == 240 and len(told) == 31
+
+
+def test_buckets_of_even_depth(spark):
+    """One owner, project and month hold a third of the rows: no bucket holds twice the median of the others."""
+    rows = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500 + 2).alias("project_id"),
+        F.when(F.col("id") % 3 == 0, (F.col("id") * 7919) % 2_592_000).otherwise(F.col("id") * 1000).alias("o"), "id")
+    cut = windows.by_depth(rows, ["project_id"], F.col("o"), "part", rows=300, most=100)
+    sizes = cut.groupBy("project_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("a"), F.max("o").alias("b"))
+    hot = sorted((r.part, r.n, r.a, r.b) for r in sizes.filter("project_id = 1").collect())
+    assert len(hot) == 10 and max(n for _, n, _, _ in hot) < 2 * sorted(n for _, n, _, _ in hot)[5]
+    assert all(x[3] < y[2] for x, y in zip(hot, hot[1:], strict=False))
+    assert sizes.filter("project_id <> 1 AND part <> 0").count() == 0
+    got = windows.row_number(cut, ["project_id"], F.col("part"), [F.col("o"), F.col("id")], "n")
+    from pyspark.sql import Window as W
+
+    want = rows.withColumn("n", F.row_number().over(W.partitionBy("project_id").orderBy("o", "id")))
+    assert got.select("id", "n").exceptAll(want.select("id", "n")).count() == 0
