@@ -55,9 +55,14 @@ def dependencies(issues: DataFrame, tasks: DataFrame, unsourced: DataFrame) -> D
     return offending(broken.select("project_id", "task_id").union(unsourced.select("project_id", "task_id")), "dependencies", "task_id")
 
 
+def late(dated: DataFrame, deadlines: DataFrame) -> DataFrame:
+    """Tasks that end after their project's deadline."""
+    due = dated.select("project_id", "task_id", "due_date").join(deadlines.select("project_id", "deadline"), "project_id")
+    return due.filter(F.col("due_date") > F.col("deadline"))
+
+
 def timeline(dated: DataFrame, deadlines: DataFrame) -> DataFrame:
-    late = dated.select("project_id", "task_id", "due_date").join(deadlines.select("project_id", "deadline"), "project_id")
-    return offending(late.filter(F.col("due_date") > F.col("deadline")), "timeline", "task_id")
+    return offending(late(dated, deadlines), "timeline", "task_id")
 
 
 def milestones(checks: DataFrame) -> DataFrame:
@@ -77,33 +82,67 @@ def derived(stories: DataFrame, criteria: DataFrame, cases: DataFrame, tasks: Da
     cases(story_key, case_key, expected_result, assumed_fields). '' and NULL links are no links.
     """
     keys = ["project_id", "story_key"]
-    engineer, client = stories.filter("kind = 'engineer'"), stories.filter("kind <> 'engineer'")
     no_link = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-
-    def rule(df: DataFrame, name: str, item: str) -> DataFrame:
-        return df.select("project_id", F.lit(name).alias("rule"), F.col(item).alias("item"))
-
-    with_criteria = criteria.select(*keys).distinct()
-    has_source = stories.filter(~no_link("source_key")).select(*keys)
-    unexplained = cases.filter(has_digit(F.col("expected_result")) & (F.col("assumed_fields") == "")).join(
-        has_source, keys, "left_anti")
-    rejected = tasks.filter(F.col("validation_status").isin("reject", "unsupported")).select("project_id", "task_id")
-    parts = [
-        rule(client.filter(no_link("requirement_id")), "story_without_requirement", "story_key"),
-        rule(engineer.filter(no_link("task_id")), "engineer_story_without_task", "story_key"),
-        rule(cases.filter(no_link("story_key")), "case_without_story", "case_key"),
-        rule(stories.join(with_criteria, keys, "left_anti"), "story_without_criteria", "story_key"),
-        rule(client.filter("delivery_side"), "story_from_delivery_side", "story_key"),
-        rule(criteria.filter((F.col("measure") != "") & no_link("source_key")), "threshold_uncited", "criterion_key"),
-        rule(stories.filter((F.col("technical_notes") != "") & no_link("notes_keys")), "notes_uncited", "story_key"),
-        rule(unexplained, "number_unexplained", "case_key"),
-        rule(engineer.join(rejected, ["project_id", "task_id"], "left_semi").join(with_criteria, keys, "left_semi"),
-             "criteria_of_rejected_task", "story_key"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    has = lambda flag: F.coalesce(F.col(flag), F.lit(False))
+
+    def broken(df: DataFrame, item: str, rules: dict[str, Column]) -> DataFrame:
+        """Every row's broken rules, from one pass over the rows."""
+        names = F.filter(F.array(*[F.when(when, name) for name, when in rules.items()]), lambda name: name.isNotNull())
+        return df.select("project_id", F.explode(names).alias("rule"), F.col(item).alias("item"))
+
+    with_criteria = criteria.select(*keys, F.lit(True).alias("_criteria")).distinct()
+    sourced = stories.filter(~no_link("source_key")).select(*keys, F.lit(True).alias("_sourced")).distinct()
+    rejected = tasks.filter(F.col("validation_status").isin("reject", "unsupported")).select(
+        "project_id", "task_id", F.lit(True).alias("_rejected")).distinct()
+    engineer = F.col("kind") == "engineer"
+    of_stories = broken(stories.join(with_criteria, keys, "left").join(rejected, ["project_id", "task_id"], "left"), "story_key", {
+        "story_without_requirement": ~engineer & no_link("requirement_id"),
+        "engineer_story_without_task": engineer & no_link("task_id"),
+        "story_without_criteria": ~has("_criteria"),
+        "story_from_delivery_side": ~engineer & F.col("delivery_side"),
+        "notes_uncited": (F.col("technical_notes") != "") & no_link("notes_keys"),
+        "criteria_of_rejected_task": engineer & has("_rejected") & has("_criteria"),
+    })
+    of_criteria = broken(criteria, "criterion_key", {"threshold_uncited": (F.col("measure") != "") & no_link("source_key")})
+    of_cases = broken(cases.join(sourced, keys, "left"), "case_key", {
+        "case_without_story": no_link("story_key"),
+        "number_unexplained": has_digit(F.col("expected_result")) & (F.col("assumed_fields") == "") & ~has("_sourced"),
+    })
+    return of_stories.unionByName(of_criteria).unionByName(of_cases)
+
+
+#: Stages whose offenders are tasks: the bits of a task's marks.
+MARKED = ["schema", "grounding", "evidence", "business_rules", "dependencies", "timeline", "staffing"]
+
+
+def _bit(stage: str) -> int:
+    return 1 << MARKED.index(stage)
+
+
+def marks(tasks: DataFrame, found: dict[str, DataFrame], broken_projects: DataFrame) -> DataFrame:
+    """(project_id, task_id, marks): for every task a bit for each stage it offends, in one aggregation.
+
+    What a task's own row tells is marked in one pass over the tasks; found holds, by stage, the tasks
+    (project_id, task_id) that other tables tell of. A fault in a project's graph marks all its tasks.
+    """
+    hits = signalled_teams(F.col("title"), F.col("description"))
+    wrong = (F.size("teams") == 1) & (F.get("teams", F.lit(0)) != F.col("team"))
+    own = tasks.withColumn("teams", hits).select("project_id", "task_id", F.lit(True).alias("known"), (
+        F.when(blank(F.col("title")) | ~F.col("team").isin(vocab.TEAMS), _bit("schema")).otherwise(0)
+        .bitwiseOR(F.when(wrong, _bit("business_rules")).otherwise(0))).alias("marks"))
+    for stage, rows in found.items():
+        own = own.unionByName(rows.select("project_id", "task_id", F.lit(False).alias("known"), F.lit(_bit(stage)).alias("marks")))
+    each = own.groupBy("project_id", "task_id").agg(F.bit_or("marks").alias("marks"), F.bool_or("known").alias("known"))
+    faulty = broken_projects.select("project_id", F.lit(_bit("dependencies")).alias("fault")).distinct()
+    return each.join(faulty, "project_id", "left").select(
+        "project_id", "task_id", F.col("marks").bitwiseOR(F.when(F.col("known"), F.coalesce("fault", F.lit(0))).otherwise(0)).alias("marks"))
+
+
+def opened(marked: DataFrame) -> DataFrame:
+    """Marks as offenders, one for each bit."""
+    stages = F.filter(
+        F.array(*[F.when(F.col("marks").bitwiseAND(_bit(s)) != 0, s) for s in MARKED]), lambda s: s.isNotNull())
+    return marked.filter("marks <> 0").select("project_id", F.explode(stages).alias("stage"), F.col("task_id").cast("string").alias("item"))
 
 
 def report(projects: DataFrame, offenders: DataFrame) -> DataFrame:

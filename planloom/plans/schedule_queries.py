@@ -76,6 +76,7 @@ FROM v_projects p LEFT JOIN (SELECT project_id, max(project_days) AS project_day
 def cycles_of(c: Catalog, deps: str = "v_deps", tasks: str = "v_tasks"):
     """(removed edges, steps of their loops), searched once for both."""
     def search(c):
+        c.store(tasks)
         removed, steps = graph.cycles(graph.usable_edges(c.view(deps), c.view(tasks)))
         # One table for both: a removed edge is the last step of its own loop.
         return steps.unionByName(removed.select("*", F.lit(-1).alias("step"), F.col("src").alias("loop_src"), F.col("dst").alias("loop_dst")))

@@ -228,17 +228,23 @@ def _(c):
     return graph_issues(c)
 
 
+def unsourced(c):
+    return provenance.demote_explicit(c.view("v_deps"), c.view("v_chunks")).filter("demoted").join(
+        c.view("v_tasks").select("project_id", F.col("task_id").alias("depends_on_id")), ["project_id", "depends_on_id"], "left_semi")
+
+
+def deadlines(c):
+    return c.view("v_projects").withColumnRenamed("go_live_date", "deadline")
+
+
 @query("val_dependencies", "SELECT * FROM v_off_deps")
 def val_dependencies(c):
-    tasks = c.view("v_tasks")
-    unsourced = provenance.demote_explicit(c.view("v_deps"), c.view("v_chunks")).filter("demoted").join(
-        tasks.select("project_id", F.col("task_id").alias("depends_on_id")), ["project_id", "depends_on_id"], "left_semi")
-    return validation.dependencies(graph_issues(c), tasks, unsourced)
+    return validation.dependencies(graph_issues(c), c.view("v_tasks"), unsourced(c))
 
 
 @query("val_timeline", "SELECT * FROM v_off_timeline")
 def val_timeline(c):
-    return validation.timeline(dated(c), c.view("v_projects").withColumnRenamed("go_live_date", "deadline"))
+    return validation.timeline(dated(c), deadlines(c))
 
 
 @query("val_milestones", "SELECT * FROM v_off_ms")
@@ -267,9 +273,13 @@ def all_stories(c):
 
 def derived_checks(c):
     c.store("v_tasks", "v_chunks")
-    # Judged on the drafts: what a criterion claims, and whether anything stands behind it.
-    drafts = c.view("v_criteria").join(criteria(c).select("project_id", "criterion_key", "source_key"), ["project_id", "criterion_key"])
-    return validation.derived(all_stories(c), drafts, cases(c), c.view("v_tasks"))
+    # Criteria are judged on the drafts: what they claim, and whether anything stands behind it.
+    def drafts(c):
+        sources = criteria(c).select("project_id", "criterion_key", "source_key")
+        return c.view("v_criteria").join(sources, ["project_id", "criterion_key"])
+
+    # Stories and drafts are each read more than once.
+    return validation.derived(c.stage("all stories", all_stories), c.stage("drafts", drafts), cases(c), c.view("v_tasks"))
 
 
 @query("val_derived", "SELECT * FROM v_derived")
@@ -278,11 +288,18 @@ def _(c):
 
 
 def offenders(c):
+    """All offenders: those that are tasks from one table of marks, opened once."""
     c.store("v_tasks", "v_chunks")
-    out = validation.offending(derived_checks(c), "derived_artifacts", "item")
-    for stage in (val_schema, val_grounding, val_evidence, val_business_rules, val_dependencies, val_timeline, val_milestones, val_staffing):
-        out = out.unionByName(stage(c))
-    return out
+    tasks = c.view("v_tasks")
+    found = {
+        "grounding": grounding.task_scores(tasks, judged(c)).filter("status = 'reject'"),
+        "evidence": provenance.missing_or_blank(c.view("v_citations"), c.view("v_chunks")),
+        "dependencies": unsourced(c), "timeline": validation.late(dated(c), deadlines(c)),
+        "staffing": overlaps(c).select("project_id", F.explode(F.array("first_task_id", "second_task_id")).alias("task_id")),
+    }
+    marked = validation.marks(tasks, found, graph_issues(c))
+    return validation.opened(marked).unionByName(val_milestones(c)).unionByName(
+        validation.offending(derived_checks(c), "derived_artifacts", "item"))
 
 
 DUCK["v_report"] = f"""
