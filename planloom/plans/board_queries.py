@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.operators import artifacts, board, review, windows
+from planloom.operators import artifacts, board, review
 from planloom.plans.adapters import DUCK
 from planloom.plans.people_queries import owned
 from planloom.plans.provenance_queries import norm, valid_citations
