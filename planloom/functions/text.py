@@ -22,6 +22,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+def folded(c: Column) -> Column:
+    """A key under which texts are equal that differ in case only: ß is ss, a ligature its letters, a
+    final sigma a sigma. Upper-casing maps these together and lower-casing undoes the rest. The
+    dotless i alone is not the i it is upper-cased to, so a noncharacter stands for it meanwhile, and
+    the capital sharp s is already upper case, so the small one does. Taking the i back also parts the two calls, of which the optimizer would keep the outer one only."""
+    upper = F.upper(F.translate(c, "\u0131\u1e9e", "\ufdd0\u00df"))
+    return F.lower(F.translate(upper, "\ufdd0", "\u0131"))
+
+
 def collapse_space(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.functions.text import quoted, strip
+from planloom.functions.text import folded, quoted, strip
 from planloom.operators.roles import is_delivery, lead_of
 
 
@@ -37,9 +37,9 @@ def resolved_details(cited: DataFrame, details: DataFrame) -> DataFrame:
     The last detail listed under a name keeps it. `found` says whether the name exists, and
     `detail_key` is what that detail itself cites, if anything.
     """
-    by_name = details.groupBy("project_id", F.lower(strip(F.col("name"))).alias("_name")).agg(
+    by_name = details.groupBy("project_id", folded(strip(F.col("name"))).alias("_name")).agg(
         F.max_by("chunk_key", "ord").alias("detail_key"))
-    return cited.withColumn("_name", F.lower(strip(F.col("name")))).join(
+    return cited.withColumn("_name", folded(strip(F.col("name")))).join(
         by_name.withColumn("found", F.lit(True)), ["project_id", "_name"], "left"
     ).withColumn("found", F.coalesce("found", F.lit(False))).drop("_name")
 

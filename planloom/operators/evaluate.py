@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.functions.text import contains_any, has_digit
+from planloom.functions.text import contains_any, folded, has_digit
 
 
 def _areas_in(text: Column) -> Column:
@@ -73,8 +73,8 @@ def task_rates(tasks: DataFrame) -> DataFrame:
 
 
 def off_roster(tasks: DataFrame, project_roles: DataFrame) -> DataFrame:
-    listed = project_roles.select("project_id", "team", F.lower("role_title").alias("_key")).distinct()
-    used = tasks.filter("assignee_role <> ''").select("project_id", "team", "assignee_role", F.lower("assignee_role").alias("_key")).distinct()
+    listed = project_roles.select("project_id", "team", folded(F.col("role_title")).alias("_key")).distinct()
+    used = tasks.filter("assignee_role <> ''").select("project_id", "team", "assignee_role", folded(F.col("assignee_role")).alias("_key")).distinct()
     return used.join(listed, ["project_id", "team", "_key"], "left_anti").select(
         "project_id", F.concat_ws("/", "team", "assignee_role").alias("role"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.text import or_none, quoted, strip
+from planloom.functions.text import folded, or_none, quoted, strip
 
 
 def link_requirements(tasks: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -25,18 +25,18 @@ def requirement_warnings(linked: DataFrame) -> DataFrame:
 
 def _milestones_by_name(milestones: DataFrame) -> DataFrame:
     """The last milestone listed under a name keeps the name."""
-    return milestones.groupBy("project_id", F.lower("name").alias("_name")).agg(
+    return milestones.groupBy("project_id", folded(F.col("name")).alias("_name")).agg(
         F.max_by("milestone_id", "pos").alias("milestone_id")
     )
 
 
 def milestone_links(tasks: DataFrame, milestones: DataFrame) -> DataFrame:
-    named = tasks.filter(F.col("milestone") != "").select("project_id", "task_id", F.lower("milestone").alias("_name"))
+    named = tasks.filter(F.col("milestone") != "").select("project_id", "task_id", folded(F.col("milestone")).alias("_name"))
     return named.join(_milestones_by_name(milestones), ["project_id", "_name"]).drop("_name")
 
 
 def milestone_warnings(tasks: DataFrame, milestones: DataFrame) -> DataFrame:
-    named = tasks.filter(F.col("milestone") != "").withColumn("_name", F.lower("milestone"))
+    named = tasks.filter(F.col("milestone") != "").withColumn("_name", folded(F.col("milestone")))
     return named.join(_milestones_by_name(milestones), ["project_id", "_name"], "left_anti").select(
         "project_id", "task_id",
         F.concat(quoted(F.col("title")), F.lit(" names milestone "), quoted(F.col("milestone")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.functions.text import quoted
+from planloom.functions.text import folded, quoted
 
 
 def tokens(text: Column) -> Column:
@@ -44,8 +44,8 @@ def lead_of(team: Column) -> Column:
 
 def targets(project_roles: DataFrame) -> DataFrame:
     """Roles the documents named beyond the default ones of the same team."""
-    default = F.array(*[F.struct(F.lit(t.lower()).alias("title"), F.lit(team).alias("team")) for t, team, _, _ in vocab.ROSTER])
-    asked = F.struct(F.lower("role_title").alias("title"), F.col("team").alias("team"))
+    default = F.array(*[F.struct(folded(F.lit(t)).alias("title"), F.lit(team).alias("team")) for t, team, _, _ in vocab.ROSTER])
+    asked = F.struct(folded(F.col("role_title")).alias("title"), F.col("team").alias("team"))
     return project_roles.filter(~F.array_contains(default, asked))
 
 
@@ -111,10 +111,10 @@ def default_roster(projects: DataFrame, project_roles: DataFrame) -> DataFrame:
 
 def close_roster(tasks: DataFrame, project_roles: DataFrame, roster: DataFrame) -> DataFrame:
     """Roles that tasks use and the roster lacks, once each, marked as assumed."""
-    listed = project_roles.select("project_id", "team", F.lower("role_title").alias("_key")).distinct()
+    listed = project_roles.select("project_id", "team", folded(F.col("role_title")).alias("_key")).distinct()
     used = (
         tasks.filter(F.coalesce("assignee_role", F.lit("")) != "")
-        .groupBy("project_id", "team", F.lower("assignee_role").alias("_key"))
+        .groupBy("project_id", "team", folded(F.col("assignee_role")).alias("_key"))
         .agg(F.min_by("assignee_role", "ord").alias("role_title"))
     )
     does = F.broadcast(roster.select("role_title", "team", "responsibility"))

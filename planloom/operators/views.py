@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom import vocab
+from planloom.operators.artifacts import criterion_text, sentence
+
 
 def projects_overview(projects: DataFrame, tasks: DataFrame, assumptions: DataFrame) -> DataFrame:
     n_tasks = tasks.groupBy("project_id").agg(F.count(F.lit(1)).alias("task_count"))
@@ -13,46 +18,92 @@ def projects_overview(projects: DataFrame, tasks: DataFrame, assumptions: DataFr
         0, ["task_count", "assumption_count"]).orderBy(F.col("created_on").desc(), "project_id")
 
 
-def structure(roles: DataFrame, details: DataFrame, requirements: DataFrame, tasks: DataFrame, stories: DataFrame) -> DataFrame:
-    """(project_id, team, node, parent, label, status, other_team): the tree under each team.
+def structure(
+    roles: DataFrame, people: DataFrame, details: DataFrame, requirements: DataFrame, tasks: DataFrame, stories: DataFrame,
+    criteria: DataFrame, cases: DataFrame,
+) -> DataFrame:
+    """The tree under each team, one row per node: (project_id, team, node, parent, label, text, status,
+    detail, other_team).
 
-    tasks carry linked_requirement (NULL when unlinked); stories carry requirement_id or task_id.
+    A node's parent is the label of a node above it: stories stand under their requirement or task,
+    criteria and cases under their story. detail is the chunk a node rests on, of a case the fields it
+    assumes, of a task the role it is given to. tasks carry linked_requirement (NULL when unlinked); stories requirement_id or task_id,
+    actor, capability and benefit. What belongs to no team of the tree is left out: stories of unknown
+    requirements or of tasks without one, and what hangs on them.
     """
-    no = F.lit(False)
+    none = F.lit("")
 
-    def nodes(df, kind, parent, label, status, other=no):
-        return df.select("project_id", "team", F.lit(kind).alias("node"), parent.cast("string").alias("parent"),
-                         label.cast("string").alias("label"), status.alias("status"), other.alias("other_team"))
+    def nodes(df, kind, parent, label, text, status, detail=none, other=F.lit(False)):
+        return df.select(
+            "project_id", "team", F.lit(kind).alias("node"), parent.cast("string").alias("parent"), label.cast("string").alias("label"),
+            text.alias("text"), status.alias("status"), detail.alias("detail"), other.alias("other_team"))
 
+    holders = roles.join(people.select("person_id", F.col("name").alias("person")), "person_id", "left")
     owner = requirements.select("project_id", F.col("requirement_id").alias("linked_requirement"), F.col("team").alias("req_team"))
-    linked = tasks.join(owner, ["project_id", "linked_requirement"])
-    under_requirement = linked.withColumn("delivered_by", F.col("team")).withColumn("team", F.col("req_team"))
-    by_task = stories.filter("kind = 'engineer' AND task_id IS NOT NULL").join(
-        linked.select("project_id", "task_id", F.col("req_team").alias("team")), ["project_id", "task_id"])
-    by_requirement = stories.filter("NOT (kind = 'engineer' AND task_id IS NOT NULL)").join(
-        requirements.select("project_id", "requirement_id", "team"), ["project_id", "requirement_id"])
+    placed = tasks.join(owner, ["project_id", "linked_requirement"], "left")
+    linked = placed.filter(F.col("req_team").isNotNull())
+    delivered = linked.select("*", (F.col("team") != F.col("req_team")).alias("elsewhere")).withColumn("team", F.col("req_team"))
+
+    # Stories look their owner up once, whether it is a requirement or a task.
+    of_task = F.col("kind") == "engineer"
+    owners = requirements.select("project_id", F.lit("user_story").alias("node"), F.col("requirement_id").alias("owner"), "team").unionByName(
+        linked.select("project_id", F.lit("engineer_story").alias("node"), F.col("task_id").cast("string").alias("owner"), F.col("req_team").alias("team")))
+    own = of_task & F.col("task_id").isNotNull()
+    told = stories.withColumn("node", F.when(own, "engineer_story").otherwise("user_story")).withColumn(
+        "owner", F.when(own, F.col("task_id").cast("string")).otherwise(F.col("requirement_id"))).join(owners, ["project_id", "node", "owner"])
+
+    # Both kinds of children look their story up in one join.
+    child = ["project_id", "story_key", "node", "label", "text", "status", "detail"]
+    children = criteria.select(
+        "project_id", "story_key", F.lit("criterion").alias("node"), F.col("criterion_key").alias("label"),
+        criterion_text(F.col("text"), F.col("measure")).alias("text"), none.alias("status"), F.col("source_key").alias("detail"),
+    ).unionByName(cases.select(
+        "project_id", "story_key", F.lit("test_case").alias("node"), F.col("case_key").alias("label"), F.col("title").alias("text"),
+        F.when(F.col("rests_on_assumption"), "assumed").otherwise("").alias("status"), F.col("assumed_fields").alias("detail")))
+    hung = children.select(child).join(told.select("project_id", "story_key", "team"), ["project_id", "story_key"])
+
     parts = [
-        nodes(roles, "role", F.lit(""), F.col("role_title"), F.col("source_status")),
-        nodes(details, "detail", F.col("category"), F.col("name"), F.col("source_status")),
-        nodes(requirements, "requirement", F.lit(""), F.col("requirement_id"), F.col("source_status")),
-        nodes(under_requirement, "task", F.col("linked_requirement"), F.col("task_id"), F.col("validation_status"),
-              F.col("delivered_by") != F.col("req_team")),
-        nodes(by_task, "engineer_story", F.col("task_id"), F.col("story_key"), F.lit("inferred")),
-        nodes(by_requirement, "user_story", F.col("requirement_id"), F.col("story_key"), F.lit("inferred")),
-        nodes(tasks.filter("linked_requirement IS NULL"), "unlinked_task", F.lit(""), F.col("task_id"), F.col("validation_status")),
+        nodes(holders, "role", none, F.col("role_title"), F.coalesce("person", none), F.col("source_status")),
+        nodes(details, "detail", F.col("category"), F.col("name"), F.col("description"), F.col("source_status"), F.col("chunk_key")),
+        nodes(requirements, "requirement", none, F.col("requirement_id"), F.col("title"), F.col("source_status"), F.col("chunk_key")),
+        nodes(delivered, "task", F.col("linked_requirement"), F.col("task_id"), F.col("title"), F.col("validation_status"),
+              F.col("assignee_role"), F.col("elsewhere")),
+        nodes(placed.filter(F.col("req_team").isNull()), "unlinked_task", none, F.col("task_id"), F.col("title"), F.col("validation_status"),
+              F.col("assignee_role")),
+        told.select("project_id", "team", "node", F.col("owner").alias("parent"), F.col("story_key").alias("label"),
+                    sentence(F.col("actor"), F.col("capability"), F.col("benefit")).alias("text"), F.lit("inferred").alias("status"),
+                    none.alias("detail"), F.lit(False).alias("other_team")),
+        hung.select("project_id", "team", "node", F.col("story_key").alias("parent"), "label", "text", "status", "detail",
+                    F.lit(False).alias("other_team")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _counted(**tables: DataFrame) -> DataFrame:
+    """(project_id, team, what): one row for each row counted; tables without teams count for none."""
+    return reduce(DataFrame.unionByName, [
+        t.select("project_id", (F.col("team") if "team" in t.columns else F.lit(None).cast("string")).alias("team"), F.lit(name).alias("what"))
+        for name, t in tables.items()])
 
 
 def totals(projects: DataFrame, **tables: DataFrame) -> DataFrame:
-    """Row counts per project; each table is counted before it is joined, so nothing fans out."""
-    out = projects.select("project_id")
-    for name, table in tables.items():
-        out = out.join(table.groupBy("project_id").agg(F.count(F.lit(1)).alias(name)), "project_id", "left")
-    return out.fillna(0, list(tables))
+    """Row counts per project, a column for each table: all tables counted in one aggregation."""
+    rows = _counted(**tables).join(projects.select("project_id"), "project_id", "left_semi")
+    rows = rows.select("project_id", "what").unionByName(projects.select("project_id", F.lit("").alias("what")))
+    return rows.groupBy("project_id").agg(*[F.count_if(F.col("what") == name).alias(name) for name in tables])
+
+
+def team_totals(projects: DataFrame, **tables: DataFrame) -> DataFrame:
+    """The same counts for each of a project's teams and, with team 'all', for the project; every team
+    is there even when nothing is its own. Rows of other teams, or of none, count for the project only."""
+    teams = F.array(*[F.lit(t) for t in vocab.TEAMS])
+    known = F.when(F.array_contains(teams, F.col("team")), F.col("team")).otherwise("")
+    rows = _counted(**tables).join(projects.select("project_id"), "project_id", "left_semi").select("project_id", known.alias("team"), "what")
+    spine = projects.select("project_id", F.explode(teams).alias("team"), F.lit("").alias("what"))
+    sums = rows.unionByName(spine).groupingSets([["project_id", "team"], ["project_id"]], "project_id", "team").agg(
+        F.grouping("team").alias("whole"), *[F.count_if(F.col("what") == name).alias(name) for name in tables])
+    return sums.filter("whole = 1 OR team <> ''").select(
+        "project_id", F.when(F.col("whole") == 1, "all").otherwise(F.col("team")).alias("team"), *tables)
 
 
 def request_hash() -> "F.Column":

@@ -44,6 +44,13 @@ ROLE_WORDS = [
     "backend developer", "ML Engineer", "QA", "ops manager", "trainer", "lawyer", "Software Engineer",
     "Operations Manager", "", "Account Manager", "Integration Architect",
 ]
+
+
+def fold_sql(text: str) -> str:
+    """Case folding for the SQL side; no other letter of these views folds to more than one."""
+    return f"replace(lower({text}), 'ß', 'ss')"
+
+
 DETAIL_WORDS = [
     "merchant", "offer", "contract", "pricing_term", "sla", "legal_requirement", "approval",
     "commercial_milestone", "api", "integration", "authentication", "data_requirement",
@@ -101,7 +108,7 @@ SELECT l_orderkey AS project_id, l_orderkey * 10 + l_linenumber AS task_id,
        {_pick('sk + pk', ROSTER_TITLES)} AS assignee_role,
        CASE WHEN pk % 6 = 0 THEN '' ELSE 'R-' || CAST(l_linenumber % 5 AS STRING) END AS requirement_id,
        CASE pk % 5 WHEN 0 THEN 'contract' WHEN 1 THEN 'INTEGRATION' WHEN 2 THEN 'Launch'
-            WHEN 3 THEN 'Handover' ELSE '' END AS milestone,
+            WHEN 3 THEN CASE WHEN pk % 2 = 1 THEN 'ABSCHLUSS' ELSE 'Handover' END ELSE '' END AS milestone,
        CASE WHEN pk % 11 = 0 THEN NULL WHEN pk % 13 = 0 THEN 0.0 ELSE qty END AS estimated_hours,
        CASE rf WHEN 'A' THEN 'explicit' WHEN 'N' THEN 'inferred' ELSE 'assumed' END AS source_status,
        CASE sk % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'review' WHEN 2 THEN 'reject' ELSE 'pending' END AS validation_status,
@@ -201,11 +208,13 @@ FROM (
   SELECT project_id, project_id * 10 + 3 AS milestone_id, 'Launch' AS name, 3 AS pos, start_date, 26 + project_id % 11 AS gap FROM v_projects
   UNION ALL
   SELECT project_id, project_id * 10 + 4 AS milestone_id, 'LAUNCH' AS name, 4 AS pos, start_date, 40 + project_id % 3 AS gap FROM v_projects WHERE project_id % 6 = 0
+  UNION ALL
+  SELECT project_id, project_id * 10 + 5 AS milestone_id, 'Abschluß' AS name, 5 AS pos, start_date, 50 + project_id % 7 AS gap FROM v_projects WHERE project_id % 4 = 1
 ) m"""
 
 ADAPTERS["v_details"] = f"""
 SELECT project_id, ord, {_pick('part_id', DETAIL_WORDS)} AS category,
-       'Item ' || CAST(part_id % 7 AS STRING) AS name, 'about part ' || CAST(part_id AS STRING) AS description,
+       CASE WHEN part_id % 7 = 6 THEN 'Maßnahme' ELSE 'Item ' || CAST(part_id % 7 AS STRING) END AS name, 'about part ' || CAST(part_id AS STRING) AS description,
        source_status, {_key('project_id', 'ord')} AS raw_key
 FROM v_tasks"""
 
@@ -256,7 +265,7 @@ SELECT project_id, 'US-' || CAST(task_id AS STRING) AS story_key, task_id * 2 AS
        CASE WHEN supplier_id % 2 = 0 THEN ' to earn points' ELSE 'establish agreements ' END AS capability,
        'work ' || CAST(part_id AS STRING) || ' is done' AS benefit,
        CASE WHEN part_id % 4 = 1 THEN ' use REST ' ELSE '' END AS technical_notes,
-       'Item ' || CAST(supplier_id % 9 AS STRING) AS detail_1, ' ITEM ' || CAST(part_id % 7 AS STRING) AS detail_2, ord
+       'Item ' || CAST(supplier_id % 9 AS STRING) AS detail_1, CASE WHEN part_id % 7 = 6 THEN ' MASSNAHME ' ELSE ' ITEM ' || CAST(part_id % 7 AS STRING) END AS detail_2, ord
 FROM v_tasks"""
 
 ADAPTERS["v_criteria"] = """

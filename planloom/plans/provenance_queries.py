@@ -8,7 +8,7 @@ from planloom import vocab
 from planloom.functions.citations import normalize
 from planloom.functions.text import percent
 from planloom.operators import gaps, grounding, linking, provenance, segment
-from planloom.plans.adapters import DUCK
+from planloom.plans.adapters import DUCK, fold_sql
 from planloom.plans.registry import query
 
 NORM = (
@@ -145,9 +145,9 @@ def _(c):
     )
 
 
-@query("link_milestone_empty", """
+@query("link_milestone_empty", f"""
 SELECT m.project_id, m.milestone_id, 'milestone ''' || m.name || ''' has no task attached, so its date cannot be compared with the schedule' AS message
-FROM v_milestones m WHERE milestone_id IN (SELECT max_by(milestone_id, pos) FROM v_milestones GROUP BY project_id, lower(name)) AND milestone_id NOT IN (SELECT milestone_id FROM v_ms_links)""")
+FROM v_milestones m WHERE milestone_id IN (SELECT max_by(milestone_id, pos) FROM v_milestones GROUP BY project_id, {fold_sql('name')}) AND milestone_id NOT IN (SELECT milestone_id FROM v_ms_links)""")
 def _(c):
     ms = c.view("v_milestones")
     return linking.milestones_without_task(ms, linking.milestone_links(c.view("v_tasks"), ms))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from planloom import vocab
 from planloom.operators import evaluate, gaps, linking, provenance, segment, views
 from planloom.plans.adapters import DUCK
-from planloom.plans.provenance_queries import gap_fields, judged, rates
+from planloom.plans.provenance_queries import gap_fields, judged, norm, rates
 from planloom.plans.registry import query
-from planloom.plans.validation_queries import all_stories, cases, client_stories
+from planloom.plans.validation_queries import all_stories, cases, client_stories, criteria, requirements
+from planloom.plans.validation_queries import details as detail_rows
 from planloom.session import scratch
 from planloom.sources import sinks
 
@@ -149,31 +150,50 @@ DUCK["v_linked_tasks"] = """
 SELECT t.*, r.requirement_id AS linked, r.team AS req_team FROM v_tasks t LEFT JOIN v_requirements r ON r.project_id = t.project_id AND r.requirement_id = t.requirement_id"""
 
 
-@query("view_structure", """
-SELECT project_id, team, 'role' AS node, '' AS parent, role_title AS label, source_status AS status, false AS other_team FROM v_project_roles
-UNION ALL SELECT project_id, team, 'detail', category, name, source_status, false FROM v_teamed
-UNION ALL SELECT project_id, team, 'requirement', '', requirement_id, source_status, false FROM v_requirements
-UNION ALL SELECT project_id, req_team, 'task', linked, task_id || '', validation_status, team <> req_team FROM v_linked_tasks WHERE linked IS NOT NULL
-UNION ALL SELECT s.project_id, t.req_team, 'engineer_story', s.task_id || '', s.story_key, 'inferred', false FROM v_stories s JOIN v_linked_tasks t USING (project_id, task_id) WHERE s.kind = 'engineer' AND t.linked IS NOT NULL
-UNION ALL SELECT s.project_id, r.team, 'user_story', s.requirement_id, s.story_key, 'inferred', false FROM v_stories s JOIN v_requirements r USING (project_id, requirement_id) WHERE NOT (s.kind = 'engineer' AND s.task_id IS NOT NULL)
-UNION ALL SELECT project_id, team, 'unlinked_task', '', task_id || '', validation_status, false FROM v_linked_tasks WHERE linked IS NULL""")
+DUCK["v_placed_stories"] = """
+SELECT s.*, t.req_team AS tree_team, 'engineer_story' AS node, s.task_id || '' AS owner FROM v_stories s JOIN v_linked_tasks t USING (project_id, task_id) WHERE s.kind = 'engineer' AND t.linked IS NOT NULL
+UNION ALL SELECT s.*, r.team, 'user_story', s.requirement_id FROM v_stories s JOIN v_requirements r USING (project_id, requirement_id) WHERE NOT (s.kind = 'engineer' AND s.task_id IS NOT NULL)"""
+
+
+@query("view_structure", f"""
+SELECT project_id, team, 'role' AS node, '' AS parent, role_title AS label, coalesce(p.name, '') AS text, source_status AS status, '' AS detail, false AS other_team FROM v_project_roles LEFT JOIN v_people p USING (person_id)
+UNION ALL SELECT t.project_id, t.team, 'detail', category, name, description, t.source_status, coalesce(k.chunk_key, ''), false FROM v_teamed t LEFT JOIN v_chunks k ON k.project_id = t.project_id AND k.chunk_key = {norm('t.raw_key')}
+UNION ALL SELECT project_id, team, 'requirement', '', requirement_id, title, source_status, chunk_key, false FROM v_reqs
+UNION ALL SELECT project_id, req_team, 'task', linked, task_id || '', title, validation_status, assignee_role, team <> req_team FROM v_linked_tasks WHERE linked IS NOT NULL
+UNION ALL SELECT project_id, team, 'unlinked_task', '', task_id || '', title, validation_status, assignee_role, false FROM v_linked_tasks WHERE linked IS NULL
+UNION ALL SELECT project_id, tree_team, node, owner, story_key, 'As a ' || actor || ', I want ' || CASE WHEN lower(trim(capability)) LIKE 'to %' THEN trim(capability) ELSE 'to ' || trim(capability) END || ' so that ' || benefit, 'inferred', '', false FROM v_placed_stories
+UNION ALL SELECT c.project_id, s.tree_team, 'criterion', c.story_key, c.criterion_key, CASE WHEN c.measure <> '' THEN c.text || ' — ' || c.measure ELSE c.text END, '', c.source_key, false FROM v_crit c JOIN v_placed_stories s ON s.project_id = c.project_id AND s.story_key = c.story_key
+UNION ALL SELECT c.project_id, s.tree_team, 'test_case', c.story_key, c.case_key, c.title, CASE WHEN c.rests_on_assumption THEN 'assumed' ELSE '' END, c.assumed_fields, false FROM v_case_rows c JOIN v_placed_stories s ON s.project_id = c.project_id AND s.story_key = c.story_key""")
 def _(c):
-    details = linking.detail_team(c.view("v_details"), vocab.detail_categories(c.spark))
+    c.store("v_tasks", "v_chunks")
+    details = linking.detail_team(detail_rows(c), vocab.detail_categories(c.spark))
     tasks = linking.link_requirements(c.view("v_tasks"), c.view("v_requirements"))
-    return views.structure(c.view("v_project_roles"), details, c.view("v_requirements"), tasks, c.view("v_stories"))
+    return views.structure(
+        c.view("v_project_roles"), c.view("v_people"), details, requirements(c), tasks, c.view("v_stories"), criteria(c), cases(c))
 
 
 @query("view_structure_totals", """
 SELECT p.project_id, (SELECT count(*) FROM v_tasks x WHERE x.project_id = p.project_id) AS tasks, (SELECT count(*) FROM v_requirements x WHERE x.project_id = p.project_id) AS requirements,
        (SELECT count(*) FROM v_stories x WHERE x.project_id = p.project_id) AS user_stories, (SELECT count(*) FROM v_stories x WHERE x.project_id = p.project_id AND kind = 'engineer') AS engineer_stories,
        (SELECT count(*) FROM v_cases x WHERE x.project_id = p.project_id) AS test_cases, (SELECT count(*) FROM v_case_rows x WHERE x.project_id = p.project_id AND rests_on_assumption) AS cases_on_assumptions,
-       (SELECT count(*) FROM v_details x WHERE x.project_id = p.project_id) AS detail_items FROM v_projects p""")
+       (SELECT count(*) FROM v_details x WHERE x.project_id = p.project_id) AS detail_items, (SELECT count(*) FROM v_questions x WHERE x.project_id = p.project_id) AS open_questions FROM v_projects p""")
 def _(c):
     stories = c.view("v_stories")
     return views.totals(
         c.view("v_projects"), tasks=c.view("v_tasks"), requirements=c.view("v_requirements"), user_stories=stories,
         engineer_stories=stories.filter("kind = 'engineer'"), test_cases=c.view("v_cases"),
-        cases_on_assumptions=cases(c).filter("rests_on_assumption"), detail_items=c.view("v_details"))
+        cases_on_assumptions=cases(c).filter("rests_on_assumption"), detail_items=c.view("v_details"),
+        open_questions=gaps.questions(gap_fields(c)))
+
+
+@query("view_team_totals", """
+WITH counts AS (
+  SELECT project_id, team, 1 AS t, 0 AS r, 0 AS q FROM v_tasks UNION ALL SELECT project_id, team, 0, 1, 0 FROM v_requirements UNION ALL SELECT project_id, team, 0, 0, 1 FROM v_questions)
+SELECT p.project_id, x.team, count(*) FILTER (WHERE t = 1) AS task_count, count(*) FILTER (WHERE r = 1) AS requirements, count(*) FILTER (WHERE q = 1) AS open_questions
+FROM v_projects p CROSS JOIN (VALUES ('commercial'), ('technical'), ('operations'), ('all')) x(team) LEFT JOIN counts n ON n.project_id = p.project_id AND (x.team = 'all' OR x.team = n.team) GROUP BY 1, 2""")
+def _(c):
+    return views.team_totals(
+        c.view("v_projects"), task_count=c.view("v_tasks"), requirements=c.view("v_requirements"), open_questions=gaps.questions(gap_fields(c)))
 
 
 DUCK["v_log"] = "SELECT *, sha256(model || '|' || schema_name || '|' || prompt_text) AS input_hash FROM v_requests"

@@ -8,7 +8,7 @@ from planloom.functions.workdays import (
     add_working_days, next_working_day, parse_date, working_days_between,
 )
 from planloom.operators import graph, linking, milestones, schedule
-from planloom.plans.adapters import DUCK
+from planloom.plans.adapters import DUCK, fold_sql
 from planloom.plans.registry import Catalog, query
 
 
@@ -299,10 +299,10 @@ def _(c):
 
 # Milestones ------------------------------------------------------------------------------
 
-DUCK["v_ms_links"] = """
+DUCK["v_ms_links"] = f"""
 SELECT t.project_id, t.task_id, m.milestone_id FROM v_tasks t JOIN
- (SELECT project_id, lower(name) AS k, max_by(milestone_id, pos) AS milestone_id FROM v_milestones GROUP BY 1, 2) m
- ON m.project_id = t.project_id AND m.k = lower(t.milestone) WHERE t.milestone <> ''"""
+ (SELECT project_id, {fold_sql('name')} AS k, max_by(milestone_id, pos) AS milestone_id FROM v_milestones GROUP BY 1, 2) m
+ ON m.project_id = t.project_id AND m.k = {fold_sql('t.milestone')} WHERE t.milestone <> ''"""
 DUCK["v_ms"] = """
 SELECT m.*, p.projected_date, coalesce(p.n, 0) AS task_count, CAST(p.projected_date - m.target_date AS INT) AS variance_days,
        CASE WHEN p.projected_date - m.target_date IS NULL THEN 'unscheduled' WHEN p.projected_date - m.target_date > 0 THEN 'late'

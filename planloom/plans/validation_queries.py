@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planloom import vocab
 from planloom.operators import artifacts, graph, grounding, provenance, staffing, validation
-from planloom.plans.adapters import DUCK
+from planloom.plans.adapters import DUCK, fold_sql
 from planloom.plans.people_queries import delivery, owned
 from planloom.plans.provenance_queries import judged, norm
 from planloom.plans.registry import query
@@ -27,7 +27,7 @@ def requirements(c):
 
 
 DUCK["v_detail_keys"] = f"""
-SELECT d.project_id, lower(trim(d.name)) AS n, max_by(coalesce(k.chunk_key, ''), d.ord) AS detail_key FROM v_details d
+SELECT d.project_id, {fold_sql('trim(d.name)')} AS n, max_by(coalesce(k.chunk_key, ''), d.ord) AS detail_key FROM v_details d
 LEFT JOIN v_chunks k ON k.project_id = d.project_id AND k.chunk_key = {norm('d.raw_key')} GROUP BY 1, 2"""
 DUCK["v_reqs"] = f"""
 SELECT r.*, coalesce(k.chunk_key, '') AS chunk_key FROM v_requirements r LEFT JOIN v_chunks k ON k.project_id = r.project_id AND k.chunk_key = {norm('r.raw_key')}"""
@@ -52,10 +52,10 @@ def _(c):
     return artifacts.client_story_warnings(c.view("v_stories"), c.view("v_requirements"))
 
 
-DUCK["v_story_details"] = """
+DUCK["v_story_details"] = f"""
 SELECT c.project_id, c.story_key, c.pos, c.name, d.n IS NOT NULL AS found, d.detail_key FROM (
   SELECT project_id, story_key, 1 AS pos, detail_1 AS name FROM v_stories UNION ALL SELECT project_id, story_key, 2, detail_2 FROM v_stories) c
-LEFT JOIN v_detail_keys d ON d.project_id = c.project_id AND d.n = lower(trim(c.name))"""
+LEFT JOIN v_detail_keys d ON d.project_id = c.project_id AND d.n = {fold_sql('trim(c.name)')}"""
 
 
 def story_details(c):
@@ -88,10 +88,10 @@ def _(c):
     return engineer_stories(c)
 
 
-DUCK["v_crit"] = """
+DUCK["v_crit"] = f"""
 SELECT c.project_id, c.story_key, c.criterion_key, c.pos, c.text, CASE WHEN coalesce(d.detail_key, '') <> '' THEN trim(measure) ELSE '' END AS measure,
        CASE WHEN trim(measure) <> '' AND coalesce(d.detail_key, '') <> '' THEN d.detail_key ELSE '' END AS source_key, trim(measure) <> '' AND coalesce(d.detail_key, '') = '' AS dropped
-FROM v_criteria c LEFT JOIN v_detail_keys d ON d.project_id = c.project_id AND d.n = lower(trim(c.detail_1))"""
+FROM v_criteria c LEFT JOIN v_detail_keys d ON d.project_id = c.project_id AND d.n = {fold_sql('trim(c.detail_1)')}"""
 
 
 def criteria(c):
