@@ -367,7 +367,8 @@ def badge(drift_kind: Column, external_ref: Column, dirty: Column) -> Column:
 
 
 def review_ready(summaries: DataFrame) -> DataFrame:
-    """summaries(project_id, name, commercial, technical, operations, critical, assumptions, score, failed_stages)."""
+    """summaries(project_id, name, commercial, technical, operations, critical, assumptions, score,
+    failed_stages): failed_stages is '' where all passed, score null where nothing was grounded."""
     teams = [F.when(F.col(t) > 0, F.concat(F.lit(f"{t} "), F.col(t).cast("string"))) for t in vocab.TEAMS]
     total = sum((F.col(t) for t in vocab.TEAMS[1:]), F.col(vocab.TEAMS[0]))
     mix = F.concat_ws(", ", *teams)

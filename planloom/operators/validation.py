@@ -154,6 +154,13 @@ def report(projects: DataFrame, offenders: DataFrame) -> DataFrame:
         "project_id", "stage", (n == 0).alias("passed"), n.alias("offenders"), F.lit(VERSION).alias("validator_version"))
 
 
+def failed_stages(reported: DataFrame) -> DataFrame:
+    """Per project the stages that failed, in the order they are run, as one line; '' if none did."""
+    failed = reported.groupBy("project_id").agg(F.collect_set(F.when(~F.col("passed"), F.col("stage"))).alias("_failed"))
+    in_order = F.array_intersect(F.array(*[F.lit(s) for s in STAGES]), "_failed")
+    return failed.select("project_id", F.array_join(in_order, ", ").alias("failed_stages"))
+
+
 def verdict(reported: DataFrame) -> DataFrame:
     return reported.groupBy("project_id").agg(
         F.bool_and("passed").alias("passed"),

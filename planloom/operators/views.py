@@ -116,6 +116,24 @@ def cache_lookup(requests: DataFrame, log: DataFrame) -> DataFrame:
     return requests.join(latest, "input_hash", "left").withColumn("hit", F.col("cached_output").isNotNull())
 
 
+def audit_trail(projects: DataFrame, log: DataFrame, reported: DataFrame, scores: DataFrame) -> DataFrame:
+    """(project_id, entry, name, position, passed, amount, score): a project's requests in order, its
+    validation stages with their offenders and the project's grounding score, and how many requests there were.
+    Projects without requests have a total of 0; requests of unknown projects are left out."""
+    known = log.join(projects.select("project_id"), "project_id", "left_semi")
+    no_score = F.lit(None).cast("double").alias("score")
+    requests = known.select(
+        "project_id", F.lit("request").alias("entry"), F.col("graph_node").alias("name"), F.col("created_at").cast("bigint").alias("position"),
+        F.lit(None).cast("boolean").alias("passed"), F.length(F.coalesce("output_text", F.lit(""))).cast("bigint").alias("amount"), no_score)
+    stages = reported.join(scores, "project_id", "left").select(
+        "project_id", F.lit("stage").alias("entry"), F.col("stage").alias("name"), F.lit(None).cast("bigint").alias("position"),
+        "passed", F.col("offenders").cast("bigint").alias("amount"), "score")
+    total = totals(projects, amount=known).select(
+        "project_id", F.lit("total_requests").alias("entry"), F.lit("").alias("name"), F.lit(None).cast("bigint").alias("position"),
+        F.lit(None).cast("boolean").alias("passed"), "amount", no_score)
+    return requests.unionByName(stages).unionByName(total)
+
+
 def audit(log: DataFrame) -> DataFrame:
     return log.select(
         "project_id", "turn", "graph_node", "model", F.substring("input_hash", 1, 12).alias("hash_prefix"), "created_at",

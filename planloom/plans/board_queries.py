@@ -374,15 +374,3 @@ def _(c):
     kinds = board.open_drift(state(c)).groupBy("project_id", "task_id").agg(F.min("kind").alias("kind"))
     return c.view("v_tasks").join(kinds, ["project_id", "task_id"], "left").select(
         "task_id", board.badge(F.col("kind"), F.col("external_ref"), F.col("board_dirty")).alias("badge"))
-
-
-@query("review_ready_message", """
-SELECT p.project_id, '**New project ready for review**' || chr(10) || 'Project: ' || p.name || chr(10) || 'Tasks: ' || (a + b + o) || CASE WHEN a + b + o > 0 THEN ' (' || concat_ws(', ', CASE WHEN a > 0 THEN 'commercial ' || a END,
-   CASE WHEN b > 0 THEN 'technical ' || b END, CASE WHEN o > 0 THEN 'operations ' || o END) || ')' ELSE '' END || chr(10) || 'Critical path: ' || k || ' tasks' || chr(10) || 'Assumptions: 0' || chr(10) || 'Validation: all stages passed' || chr(10) || 'Status: awaiting PM approval' AS message
-FROM v_projects p JOIN (SELECT t.project_id, count(*) FILTER (WHERE t.team = 'commercial') AS a, count(*) FILTER (WHERE t.team = 'technical') AS b, count(*) FILTER (WHERE t.team = 'operations') AS o, count(*) FILTER (WHERE s.slack_days = 0) AS k
-  FROM v_tasks t JOIN v_sched s USING (task_id) GROUP BY 1) USING (project_id)""")
-def _(c):
-    counts = placed(c).groupBy("project_id").agg(
-        *[F.count_if(F.col("team") == t).alias(t) for t in ("commercial", "technical", "operations")], F.count_if("is_critical").alias("critical"))
-    rows = c.view("v_projects").select("project_id", "name").join(counts, "project_id")
-    return board.review_ready(rows.withColumn("assumptions", F.lit(0)).withColumn("score", F.lit(None).cast("double")).withColumn("failed_stages", F.lit("")))

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from planloom import vocab
-from planloom.operators import evaluate, gaps, linking, provenance, segment, views
+from planloom.operators import board, evaluate, gaps, grounding, linking, provenance, segment, validation, views
 from planloom.plans.adapters import DUCK
 from planloom.plans.provenance_queries import gap_fields, judged, norm, rates
 from planloom.plans.registry import query
-from planloom.plans.validation_queries import all_stories, cases, client_stories, criteria, requirements
+from planloom.plans.schedule_queries import placed
+from planloom.plans.validation_queries import all_stories, cases, client_stories, criteria, requirements, val_report
 from planloom.plans.validation_queries import details as detail_rows
 from planloom.session import scratch
 from planloom.sources import sinks
@@ -208,6 +209,48 @@ def _(c):
     return views.audit(log(c))
 
 
+DUCK["v_project_scores"] = """
+SELECT p.project_id, coalesce(s, 1.0) AS score FROM v_projects p LEFT JOIN (SELECT project_id, CAST(count(*) FILTER (WHERE verdict = 'supported') AS DOUBLE) / count(*) AS s FROM v_judged GROUP BY 1) j USING (project_id)"""
+
+
+def project_scores(c):
+    return grounding.project_scores(c.view("v_projects"), judged(c))
+
+
+@query("view_audit_trail", """
+SELECT project_id, 'request' AS entry, graph_node AS name, created_at AS position, CAST(NULL AS BOOLEAN) AS passed, CAST(length(output_text) AS BIGINT) AS amount, CAST(NULL AS DOUBLE) AS score FROM v_log SEMI JOIN v_projects USING (project_id)
+UNION ALL SELECT project_id, 'stage', stage, NULL, passed, offenders, score FROM v_report JOIN v_project_scores USING (project_id)
+UNION ALL SELECT p.project_id, 'total_requests', '', NULL, NULL, count(l.project_id), NULL FROM v_projects p LEFT JOIN v_log l USING (project_id) GROUP BY 1""")
+def _(c):
+    return views.audit_trail(c.view("v_projects"), log(c), stored_report(c), project_scores(c))
+
+
+def stored_report(c):
+    return c.stage("validation_report", val_report)
+
+
+_order = ", ".join(f"('{s}', {i})" for i, s in enumerate(validation.STAGES))
+
+
+@query("review_ready_message", f"""
+SELECT p.project_id, '**New project ready for review**' || chr(10) || 'Project: ' || p.name || chr(10) || 'Tasks: ' || (a + b + o) || CASE WHEN a + b + o > 0 THEN ' (' || concat_ws(', ', CASE WHEN a > 0 THEN 'commercial ' || a END,
+   CASE WHEN b > 0 THEN 'technical ' || b END, CASE WHEN o > 0 THEN 'operations ' || o END) || ')' ELSE '' END || chr(10) || 'Critical path: ' || k || ' tasks' || chr(10) || 'Assumptions: ' || coalesce(m, 0) || chr(10)
+   || 'Grounding score: ' || CAST(round_even(score * 100, 0) AS INT) || '%' || chr(10) || 'Validation: ' || coalesce(failed || ' failed', 'all stages passed') || chr(10) || 'Status: awaiting PM approval' AS message
+FROM v_projects p JOIN (SELECT t.project_id, count(*) FILTER (WHERE t.team = 'commercial') AS a, count(*) FILTER (WHERE t.team = 'technical') AS b, count(*) FILTER (WHERE t.team = 'operations') AS o, count(*) FILTER (WHERE s.slack_days = 0) AS k
+  FROM v_tasks t JOIN v_sched s USING (task_id) GROUP BY 1) USING (project_id)
+JOIN v_project_scores USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS m FROM v_assumptions GROUP BY 1) USING (project_id)
+LEFT JOIN (SELECT project_id, string_agg(stage, ', ' ORDER BY n) AS failed FROM v_report JOIN (VALUES {_order}) x(stage, n) USING (stage) WHERE NOT passed GROUP BY 1) USING (project_id)""")
+def _(c):
+    counts = placed(c).groupBy("project_id").agg(*[F.count_if(F.col("team") == t).alias(t) for t in vocab.TEAMS], F.count_if("is_critical").alias("critical"))
+    assumed = gaps.assumptions(gap_fields(c)).groupBy("project_id").agg(F.count(F.lit(1)).alias("assumptions"))
+    rows = (
+        c.view("v_projects").select("project_id", "name").join(counts, "project_id").join(project_scores(c), "project_id")
+        .join(assumed, "project_id", "left").join(validation.failed_stages(stored_report(c)), "project_id")
+        .fillna(0, ["assumptions"]))
+    return board.review_ready(rows)
+
+
 @query("llm_cache_lookup", """
 SELECT r.project_id, r.turn, l.cached AS cached_output, l.cached IS NOT NULL AS hit FROM v_log r LEFT JOIN (
   SELECT input_hash, max_by(output_text, created_at) AS cached FROM v_log WHERE graph_node = 'user' GROUP BY 1) l USING (input_hash)""")
