@@ -31,6 +31,9 @@ LEAST_WORDS = 5
 #: Items sent to the executors at a time; more items take more passes over the documents.
 ITEMS_AT_A_TIME = 20_000
 
+#: Runs that a part of a text may share with the items, over which the text is cut.
+PAIRS = 1 << 20
+
 WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -126,6 +129,9 @@ class Finder:
             size: tuple(np.array(c, np.int64) for c in zip(*sorted(found), strict=True)) for size, found in runs.items() if found
         }
         self.edits = np.array(self.most, np.int64)
+        self.lengths = np.array([len(w) for w in self.items], np.int64)
+        # A match's runs lie no further apart than its item's words and the edits on both sides.
+        self.reach = {size: int((self.lengths[c[1]] + 2 * self.edits[c[1]]).max()) + 1 for size, c in self.runs.items()}
         self.places: dict[int, dict[int, int]] = {}  # of the items compared so far
 
     def run_key(self, words) -> int:
@@ -134,8 +140,11 @@ class Finder:
             key = (key * self.base + int(w)) % (1 << 61)
         return key
 
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start of a stretch) wherever enough shared runs come together."""
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, low, high): the stretches of the text where enough shared runs come together, those of
+        an item in order and apart. The text is gone through in parts that overlap by more than the
+        longest item can span, each of as many shared runs as PAIRS allows, so that memory follows the
+        block of items and not the length of the text or how often it repeats itself."""
         found = []
         for size, (run_keys, items, offsets) in self.runs.items():
             n = len(words) - size + 1
@@ -155,16 +164,35 @@ class Finder:
             if not len(at):
                 continue
             many = np.searchsorted(run_keys, key, "right") - first
-            place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            item, start = items[place], np.repeat(at, many) - offsets[place]
-            order = np.lexsort((start, item))
-            item, start = item[order], start[order]
-            span = len(words) + (1 << 20)
-            code = item * span + start + (1 << 19)
-            together = np.searchsorted(code, code + self.edits[item], "right") - np.arange(len(code))
-            enough = together >= self.least[item]
-            found += zip(item[enough].tolist(), start[enough].tolist(), strict=True)
-        return found
+            upto = np.cumsum(many)
+            reach = self.reach[size]
+            a = 0
+            while a < len(at):
+                # The places of this part, and beyond them those that its last starts may need.
+                b = max(int(np.searchsorted(upto, upto[a] - many[a] + PAIRS, "right")), int(np.searchsorted(at, at[a] + reach)))
+                c = int(np.searchsorted(at, at[min(b, len(at)) - 1] + reach, "right"))
+                part = slice(a, c)
+                place = np.repeat(first[part] - (upto[part] - many[part] - (upto[a] - many[a])), many[part]) + np.arange(upto[c - 1] - upto[a] + many[a])
+                item, start = items[place], np.repeat(at[part], many[part]) - offsets[place]
+                found.append(self.stretches(item, start, len(words)))
+                a = b
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        item, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+        return merged(item, low, high)
+
+    def stretches(self, item: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of diagonals (item, start) of shared runs, the stretches around those where enough of them lie
+        within the item's edits."""
+        code = np.sort(item * (length + (1 << 20)) + start + (1 << 19))
+        item = code // (length + (1 << 20))
+        start = code % (length + (1 << 20)) - (1 << 19)
+        together = np.searchsorted(code, code + self.edits[item], "right") - np.arange(len(code))
+        enough = together >= self.least[item]
+        item, start = item[enough], start[enough]
+        # The first diagonal of a match is at most its edits off its first word, the last as much beyond its last.
+        d = self.edits[item]
+        return merged(item, np.maximum(start - d, 0), np.minimum(start + self.lengths[item] + 2 * d, length))
 
     def __call__(self, text: str) -> list[tuple]:
         """(item id, edits, item words, start, end) of the best match of each item found; start and
@@ -172,26 +200,22 @@ class Finder:
         words = WORDS(text.lower())
         words = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
         out = [(i, 0, len(words), 0, len(words)) for i in self.whole.get(tuple(words.tolist()), [])] if len(words) < LEAST_WORDS else []
-        by_item: dict[int, list[int]] = {}
-        for item, start in self.candidates(words):
-            by_item.setdefault(item, []).append(start)
-        for item, starts in by_item.items():
-            best = self.best(item, np.unique(starts), words)
+        items, lows, highs = self.candidates(words)
+        ends = np.flatnonzero(np.diff(items, append=-1)) + 1
+        for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True) if len(items) else ():
+            item = int(items[a])
+            best = self.best(item, lows[a:b], highs[a:b], words)
             if best:
                 out.append((self.ids[item], best[0], len(self.items[item]), best[1], best[2]))
         return out
 
-    def best(self, item: int, starts: np.ndarray, words: np.ndarray) -> tuple[int, int, int] | None:
-        """The closest stretch near the starts, if it is close enough."""
+    def best(self, item: int, lows: np.ndarray, highs: np.ndarray, words: np.ndarray) -> tuple[int, int, int] | None:
+        """The closest stretch within the given ones, if it is close enough."""
         want, d = self.items[item].tolist(), self.most[item]
         if item not in self.places:
             self.places[item] = places_of(want)
-        # The first diagonal of a match is at most d off its first word, the last as much beyond its
-        # last. Parts that overlap are one.
-        low, high = np.maximum(starts - d, 0), np.minimum(starts + len(want) + 2 * d, len(words))
-        first = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
         found = None
-        for a, b in zip(low[first].tolist(), high[np.append(first[1:], len(starts)) - 1].tolist(), strict=True):
+        for a, b in zip(lows.tolist(), highs.tolist(), strict=True):
             edits, start, end = best_match(want, words[a:b].tolist(), self.places[item])
             if edits <= d and (found is None or edits < found[0]):
                 found = (edits, a + start, a + end)
@@ -200,6 +224,19 @@ class Finder:
         return found
 
 
+def merged(item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches by item and place, those that touch made one."""
+    order = np.lexsort((low, item))
+    item, low, high = item[order], low[order], high[order]
+    span = int(high.max(initial=0)) + 1
+    reached = np.maximum.accumulate(item * span + high) - item * span
+    first = np.ones(len(item), bool)
+    first[1:] = (item[1:] != item[:-1]) | (low[1:] > reached[:-1])
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(item))[:len(at)] - 1
+    return item[at], low[at], reached[last]
+
+
 def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int):
     """The items in blocks of bounded number; one block is on the driver at a time."""
     block = []

@@ -110,3 +110,32 @@ def test_whole_table_finds_every_verbatim_item(spark, small_folder):
     docs = spark.read.parquet(f"{small_folder}/documents.parquet").collect()
     verbatim = {(d.doc_id, i.item_id) for d in docs for i in items if d.text and i.text in d.text}
     assert verbatim and verbatim <= got
+
+
+def test_parts_of_a_text_change_nothing(monkeypatch):
+    """However small the parts, the matches are those of the text as a whole."""
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 12, int(rng.integers(5, 40))))) for k in range(30)]
+    words = [f"w{x}" for x in rng.integers(0, 12, 1500)]
+    for k in range(0, 30, 3):
+        planted = items[k][1].split()
+        planted[len(planted) // 2] = "other"
+        words[40 * k:40 * k + len(planted)] = planted
+    find, text = dc.Finder(items), " ".join(words)
+    whole = find(text)
+    assert len(whole) >= 10
+    for pairs in (1, 7, 100):
+        monkeypatch.setattr(dc, "PAIRS", pairs)
+        assert sorted(find(text)) == sorted(whole)
+
+
+def test_repetitive_text_stays_small():
+    """Many items that hold the same run, and a long text that is nothing but this run."""
+    import resource
+
+    items = [(k, "yes no " * 20 + f"end{k} of item") for k in range(200)]
+    find = dc.Finder(items)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = find("yes no " * 5_000)
+    assert len(found) == 200 and {f[1] for f in found} == {3}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kB
