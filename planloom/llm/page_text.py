@@ -14,9 +14,11 @@ a number drawn from the page, so partial sums of any split of a host's pages add
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,6 +52,13 @@ NOT_CONTENT_WORDS = frozenset(
     footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion reply
     related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Names that say what an element is, if they are made of nothing but one of these and the filling words:
+#: readers' comments, notices and adverts. Such an element is not content beside any that is.
+APART_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr newsletter notice notices
+    replies respond sponsored subscribe""".split()
+)
+FILLING_WORDS = frozenset("area banner bar block box container content form inner list message post reader section slot thread user wrap wrapper".split())
 CONTENT = frozenset({"article", "main"})
 #: Elements whose names hint at nothing: they hold the page.
 WHOLE = CONTENT | {"html", "body"}
@@ -62,24 +71,58 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 BLANKS = re.compile(r"\s+")
 
 
-def blocks(page: str):
-    """The page as tokens in order: ("tag", path, in_content, hints) for start tags that make structure, and
-    ("text", path, in_content, hints, text) for text blocks. in_content is 2 within an article or main
+def apart(value: str) -> bool:
+    """Whether a class, id or role value names the element as comments, a notice or an advert."""
+    for name in value.split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words & APART_WORDS and words <= APART_WORDS | FILLING_WORDS:
+            return True
+    return False
+
+
+def under(path: str, label: str) -> str:
+    """The path of an element below another, as a digest: deep pages hold many, and long, paths."""
+    return hashlib.blake2b(f"{path}/{label}".encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def blocks(page: str) -> list[tuple]:
+    """The page as read_blocks() gives it. Elements that are set apart by name are left out, unless the
+    page has no other text. Where all that is read lies in what is no content, an article or main part
+    in it is content after all: what it lies in was never closed."""
+    found = read_blocks(page, False)
+    if not any(t[0] == "text" and t[2] for t in found) and any(t[0] == "tag" and t[5] for t in found):
+        found = read_blocks(page, True)
+    if any(t[0] == "text" and t[2] and not t[4] for t in found):
+        found = [t for t in found if not t[4]]
+    return [(*t[:4], t[5]) if t[0] == "text" else t[:4] for t in found]
+
+
+def read_blocks(page: str, unclosed: bool) -> list[tuple]:
+    """The page as tokens in order: ("tag", path, in_content, hints, apart, lost) for start tags that make
+    structure, and ("text", path, in_content, hints, apart, text) for text blocks. apart: within comments,
+    notices or adverts; lost: an article or main part in what is no content. in_content is 2 within an article or main
     part, 1 outside one, 0 in what is no content. hints are the paths of the elements around it, itself included, that are
     named as something else. Character references are decoded and white space is one space; empty blocks
     are left out."""
     out = []
-    stack: list[tuple[str, str, int, tuple, bool]] = []  # name, path, in_content, hints, inline
-    path, state, hints = "", 1, ()
+    stack: list[tuple[str, str, int, tuple, bool, bool]] = []  # name, path, in_content, hints, apart, inline
+    path, state, hints, aside = "", 1, (), False
+    opened: Counter = Counter()  # names on the stack, so that an end tag without its start costs nothing
     parts: list[str] = []
 
     def flush():
         if parts:
             text = BLANKS.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(("text", path, state, hints, text))
+                out.append(("text", path, state, hints, aside, text))
             parts.clear()
 
+    def back_to(size):
+        nonlocal path, state, hints, aside
+        while len(stack) > size:
+            opened[stack.pop()[0]] -= 1
+        _, path, state, hints, aside, _ = stack[-1] if stack else ("", "", 1, (), False, False)
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -96,26 +139,29 @@ def blocks(page: str):
         if m["end"]:
             if name == "br" or name not in INLINE:
                 flush()
-            if any(e[0] == name for e in stack):
-                while stack.pop()[0] != name:
-                    pass
-                _, path, state, hints, _ = stack[-1] if stack else ("", "", 1, (), False)
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                back_to(k)
             continue
         if name == "br":
             parts.append("\n")
             continue
         if name in INLINE:
             if name not in VOID:
-                stack.append((name, path, state, hints, True))
+                if any(apart((a or b or c).lower()) for _, a, b, c in ATTRIBUTE.findall(m["rest"])):
+                    state = 0
+                stack.append((name, path, state, hints, aside, True))
+                opened[name] += 1
             continue
         flush()
         if name in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
-                    _, path, state, hints, _ = stack[-1] if stack else ("", "", 1, (), False)
+                    back_to(k)
                     break
-                if not stack[k][4]:
+                if not stack[k][5]:
                     break
         if name in VOID:
             continue
@@ -129,15 +175,19 @@ def blocks(page: str):
             value = (a or b or c).lower()
             words += re.split(r"[^a-z]+", value)
             label += f"[{key.lower()}={re.sub(r'[0-9]+', '#', value)}]"
-        path = f"{path}/{label}"
-        if not state or name in NOT_CONTENT and not (name == "header" and state == 2):
+            aside = aside or name not in WHOLE and apart(value)
+        path = under(path, label)
+        lost = not state and name in CONTENT
+        if (not state and not (lost and unclosed)) or name in NOT_CONTENT and not (name == "header" and state == 2):
             state = 0
         elif name in CONTENT:
-            state = 2
-        elif not NOT_CONTENT_WORDS.isdisjoint(words):
+            # An article among the comments is a comment.
+            state = state if aside else 2
+        elif name not in WHOLE and not NOT_CONTENT_WORDS.isdisjoint(words):
             hints = (*hints, path)
-        stack.append((name, path, state, hints, False))
-        out.append(("tag", path, state, hints))
+        stack.append((name, path, state, hints, aside, False))
+        opened[name] += 1
+        out.append(("tag", path, state, hints, aside, lost))
     flush()
     return out
 

@@ -78,3 +78,45 @@ def test_whole_table_against_its_own_layout(spark, small_folder):
         body = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
         parts = [html.unescape(re.sub(r"</?b>|<br>", "", p)) for p in re.split(r"</?(?:h1|p)>", body)]
         assert got[r.page_id] == "\n".join(t for p in parts if (t := re.sub(r"\s+", " ", p).strip()))
+
+
+STORY = "<h1>Title {k}</h1><p>Story number {k} has a line of its own.</p>"
+COMMENTS = "".join(f"<p>Reader {i} thinks that story {{k}} is far too short for a site like this.</p>" for i in range(8))
+
+
+def on_host(spark, layout, n=40):
+    rows = [(k, f"https://h.example/{k}", layout.replace("{k}", str(k))) for k in range(n)]
+    return {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_comments_and_notices_longer_than_the_story_go(spark):
+    want = {k: f"Title {k}\nStory number {k} has a line of its own." for k in range(40)}
+    for part in (f'<section class="comments">{COMMENTS}</section>', f'<div id="post-comments"><article><p>{COMMENTS}</p></article></div>',
+                 f'<div class="cookie-banner">{COMMENTS}</div>', f'<div class="newsletter">{COMMENTS}</div>'):
+        assert on_host(spark, f"<body><article>{STORY}{part}</article></body>") == want
+        assert on_host(spark, f"<body><div class='story'>{STORY}</div>{part}</body>") == want
+
+
+def test_names_that_only_hint(spark):
+    """An article whose names say that comments are open, or what shares cost, stays whole; a page that
+    is nothing but comments shows them."""
+    want = {k: f"Title {k}\nStory number {k} has a line of its own." for k in range(40)}
+    assert on_host(spark, f'<body class="has-comments"><div class="post comments-open">{STORY}</div></body>') == want
+    assert on_host(spark, f'<body><article class="comment">{STORY}</article></body>') == want
+    assert on_host(spark, f'<body><div class="comments">{STORY}</div></body>') == want
+
+
+def test_adverts_in_a_line_and_unclosed_menus():
+    assert page_text('<article><p>One <span class="ad">Buy now</span>two</p></article>')[0] == "One two"
+    assert page_text('<article><p>One <span class="added">three</span> two</p></article>')[0] == "One three two"
+    assert page_text("<nav><a href=/>Home</a><article><h1>T</h1><p>Text.</p></article>")[0] == "T\nText."
+    assert page_text("<nav><a href=/>Home</a></nav>")[0] == ""
+
+
+def test_broken_markup_is_read_in_time():
+    import time
+
+    start = time.time()
+    assert page_text("<div>x</span></p>" * 20_000)[1] == 20_000
+    assert page_text("<article>" + "<div>" * 20_000 + "deep")[0] == "deep"
+    assert time.time() - start < 10
