@@ -10,7 +10,6 @@ from planloom.plans.adapters import DUCK
 from planloom.plans.people_queries import owned
 from planloom.plans.provenance_queries import norm, valid_citations
 from planloom.plans.registry import query
-from planloom.plans.schedule_queries import placed
 from planloom.plans.validation_queries import cases, criteria, engineer_stories
 from planloom.operators import linking, provenance
 
