@@ -22,7 +22,8 @@ def non_committal(value: Column) -> Column:
 
 def judged_findings(findings: DataFrame, keys: DataFrame, checklist: DataFrame) -> DataFrame:
     """Known findings with unsupported or undecided ones demoted; `why` says which."""
-    known = keys.select("project_id", F.col("chunk_key"), F.lit(True).alias("_known"))
+    # Keys are built from short columns and held to be small, however many there are.
+    known = keys.select("project_id", F.col("chunk_key"), F.lit(True).alias("_known")).hint("merge")
     fields = F.broadcast(checklist.select("field_key"))
     cited = (
         findings.join(fields, "field_key", "left_semi").withColumn("chunk_key", normalize(F.col("raw_key")))
@@ -44,7 +45,12 @@ def validated(findings: DataFrame, keys: DataFrame, projects: DataFrame, checkli
     """One row per project and checklist field: the last finding, or a gap where none was reported."""
     last = judged_findings(findings, keys, checklist).groupBy("project_id", "field_key").agg(
         F.max_by(F.struct("status", "value", "hint", "note", "evidence_key"), "pos").alias("f"))
-    return spine(projects, checklist).join(last, ["project_id", "field_key"], "left").select(
+    # A project's findings meet it as one map, no longer than the checklist, before it is opened into its fields:
+    # the fields of all projects, many times their rows, are neither shuffled nor taken for a small table.
+    of_project = last.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("field_key", "f"))).alias("_found"))
+    known = projects.select("project_id").join(of_project, "project_id", "left")
+    fields = known.select("project_id", "_found", F.explode(_rows()).alias("x")).select("project_id", "x.*", F.try_element_at("_found", F.col("x.field_key")).alias("f"))
+    return fields.select(
         "project_id", "field_ord", "field_key", "category", "question", "team", "default_value", "scope",
         F.col("f").isNotNull().alias("reported"),
         F.coalesce("f.status", F.lit("assumed")).alias("status"), F.coalesce("f.value", F.lit("")).alias("value"),
@@ -54,15 +60,18 @@ def validated(findings: DataFrame, keys: DataFrame, projects: DataFrame, checkli
     )
 
 
-def spine(projects: DataFrame, checklist: DataFrame) -> DataFrame:
-    """Every project against the fixed checklist, written as an explode of a constant."""
-    rows = F.array(*[
+def _rows() -> Column:
+    return F.array(*[
         F.struct(F.lit(i).alias("field_ord"), F.lit(key).alias("field_key"), F.lit(category).alias("category"),
                  F.lit(question).alias("question"), F.lit(team).alias("team"), F.lit(default).alias("default_value"),
                  F.lit(scope).alias("scope"))
         for i, (key, category, question, team, default, scope) in enumerate(vocab.CHECKLIST, start=1)
     ])
-    return projects.select("project_id", F.explode(rows).alias("x")).select("project_id", "x.*")
+
+
+def spine(projects: DataFrame, checklist: DataFrame) -> DataFrame:
+    """Every project against the fixed checklist, written as an explode of a constant."""
+    return projects.select("project_id", F.explode(_rows()).alias("x")).select("project_id", "x.*")
 
 
 def warnings(findings: DataFrame, keys: DataFrame, projects: DataFrame, checklist: DataFrame) -> DataFrame:

@@ -138,3 +138,20 @@ def test_text_source(spark, tmp_path):
     texts = {r.filename: r.text for r in documents.collect()}
     assert texts["a.txt"] == TEXT and texts["b.MD"] == "bad � byte"
     assert [r.filename for r in rejected.collect()] == ["c.rtf"]
+
+
+def test_checklist_is_opened_after_its_findings_have_met(spark):
+    findings = spark.createDataFrame(
+        [(1, 1, "offer_count", "explicit", "12 offers", "SOW-1-S01-C01", "", ""), (1, 2, "offer_count", "explicit", "15 offers", "SOW-1-S01-C01", "n", ""),
+         (1, 3, "team_size", "explicit", "4", "elsewhere", "", ""), (None, 4, "team_size", "explicit", "4", "SOW-1-S01-C01", "", "")],
+        "project_id int, pos int, field_key string, status string, value string, raw_key string, note string, hint string")
+    keys = spark.createDataFrame([(1, "SOW-1-S01-C01")], "project_id int, chunk_key string")
+    projects = spark.createDataFrame([(1,), (2,), (2,), (None,)], "project_id int")
+    checklist = gaps.spine(projects.limit(1), None).select("field_key")
+    fields = gaps.validated(findings, keys, projects, checklist)
+    assert fields.count() == 4 * checklist.count()
+    told = {(r.project_id, r.field_key): (r.status, r.value, r.note) for r in fields.filter("reported").collect()}
+    assert told == {(1, "offer_count"): ("explicit", "15 offers", "n"), (1, "team_size"): ("assumed", "", "")}
+    # Each project is joined once, not once for each of its fields.
+    plan = gaps.grounded(fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join ")
