@@ -268,3 +268,15 @@ def test_buckets_of_even_depth(spark):
 
     want = rows.withColumn("n", F.row_number().over(W.partitionBy("project_id").orderBy("o", "id")))
     assert got.select("id", "n").exceptAll(want.select("id", "n")).count() == 0
+
+
+def test_only_stretches_of_backward_steps_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STRETCH", 7)
+    n = 200
+    steps = [(k, k + 1) for k in range(n)] + [(12, 10), (11, 9), (100, 96), (90, 150), (160, 160), (190, 185)]
+    edges = spark.createDataFrame([(p, a, b, a, b) for p in (1, 2) for a, b in steps], "project_id int, src int, dst int, src_ord int, dst_ord int")
+    got = {(r.project_id, r.src, r.dst) for r in graph._in_stretches(edges).collect()}
+    inside = [range(9, 13), range(96, 101), range(160, 161), range(185, 191)]
+    assert got == {(p, a, b) for p in (1, 2) for a, b in steps if any(a in s and b in s for s in inside)}
+    cut = {(r.src, r.dst) for r in graph.cycle_edges(edges.filter("project_id = 1 AND src <> dst")).collect()}
+    assert cut == {(11, 9), (12, 10), (100, 96), (190, 185)}
