@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planloom.operators import graph, schedule
 from planloom.plans.adapters import ADAPTERS, DUCK
 from planloom.plans.registry import query
-from planloom.plans.schedule_queries import cycles_of
+from planloom.plans.schedule_queries import cycles_of, edges_of
 
 ADAPTERS["v_net_tasks"] = """
 SELECT project_id, task_id, ord, stride, CAST(floor(task_id / stride) AS BIGINT) AS place, 'Task ' || CAST(task_id AS STRING) AS title,
@@ -91,13 +91,14 @@ def _(c):
 
 
 def net_cycles(c):
-    return cycles_of(c, "v_net_deps", "v_net_tasks")
+    return cycles_of(c.store("v_net_tasks"), "v_net_deps", "v_net_tasks")
 
 
 def net_edges(c):
     def build(c):
-        edges = graph.usable_edges(c.view("v_net_deps"), c.view("v_net_tasks"))
-        return edges.join(net_cycles(c)[0], ["project_id", "src", "dst"], "left_anti").select("project_id", "src", "dst")
+        removed = net_cycles(c)[0]
+        edges = edges_of(c, "v_net_deps", "v_net_tasks")
+        return edges.join(removed, ["project_id", "src", "dst"], "left_anti").select("project_id", "src", "dst")
 
     return c.stage("net_edges", build)
 

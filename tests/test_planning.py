@@ -1,5 +1,6 @@
 """Hand-computed cases for graphs, schedules, calendar and milestones."""
 
+import random
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -280,3 +281,24 @@ def test_only_stretches_of_backward_steps_are_searched(spark, monkeypatch):
     assert got == {(p, a, b) for p in (1, 2) for a, b in steps if any(a in s and b in s for s in inside)}
     cut = {(r.src, r.dst) for r in graph.cycle_edges(edges.filter("project_id = 1 AND src <> dst")).collect()}
     assert cut == {(11, 9), (12, 10), (100, 96), (190, 185)}
+
+
+def test_small_projects_are_solved_whole_and_large_ones_peeled_alike(spark, monkeypatch):
+    rnd = random.Random(5)
+    nodes, edges = [(None, 1, 4), (None, 1, 4), (None, 2, 1)], [(None, 1, 2)]
+    for project in range(60):
+        size = rnd.randrange(1, 40)
+        nodes += [(project, t, rnd.randrange(1, 9)) for t in range(size)]
+        edges += [(project, a, b) for a in range(size) for b in range(a + 1, size) if rnd.random() < 0.1]
+    nodes = spark.createDataFrame(nodes, "project_id bigint, task_id bigint, weight int")
+    edges = spark.createDataFrame(edges, "project_id bigint, src bigint, dst bigint")
+
+    def got(told=None):
+        return sorted(map(tuple, graph.longest_paths(nodes, edges, told).collect()), key=str)
+
+    peeled = got([])
+    monkeypatch.setattr(graph, "peel", None)
+    assert got() == peeled
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "WHOLE", 50)
+    assert got() == peeled

@@ -3,8 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from planloom.plans import source_queries
+from planloom.plans import registry, source_queries
 from planloom.plans.adapters import DUCK
 from planloom.plans.queries import QUERIES
 from planloom.plans.registry import Catalog
@@ -55,3 +56,22 @@ def test_evidence_is_given_for_every_task(spark, folder):
     cited = {(r.project_id, r.task_id) for r in QUERIES["cite_valid"](spark, folder).collect()}
     tasks = {(r.project_id, r.task_id): r.review_status for r in Catalog(spark, folder).view("v_tasks").collect()}
     assert found == cited and {tasks[t] for t in found} >= {"approved", "pending"}
+
+
+def test_artifacts_of_a_project_meet_without_being_dealt_out_again(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c, keys = Catalog(spark, folder), ["project_id", "story_key"]
+        lists = c.view("v_criteria").groupBy(*keys).agg(F.collect_list("criterion_key").alias("criteria"))
+        rows = c.view("v_stories").join(lists, keys, "left").groupBy("project_id").agg(F.count("criteria").alias("n"))
+        # Lines and orders are dealt out for either view, and nothing after that.
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_are_written_once_without_the_tasks(spark, folder):
+    registry.forget_stages()
+    QUERIES["dep_of"](spark, folder).collect()
+    names = {key[2] for key in registry._stages}
+    assert "edges of v_deps" in names and "v_tasks" not in names
