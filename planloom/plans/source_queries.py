@@ -20,6 +20,11 @@ from planloom.session import scratch
 from planloom.sources import readers, sinks
 
 
+# Many small files: tasks move their own to where they belong, not the driver one after the other. A folder
+# is read only after the write that makes it has ended.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def _folder(c, name):
     return f"{scratch(c.spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -245,12 +250,12 @@ def golds(c):
             F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list(text)), ",\n"), F.lit("\n]")).alias("value"))
         whole = files.select("value", F.concat_ws("-", "profile", F.col("_file").cast("string")).alias("name"))
         broken = whole.select(F.expr("substr(value, 1, length(value) - 9)").alias("value"), F.concat("name", F.lit("-cut")).alias("name"))
-        whole.unionByName(broken).write.partitionBy("name").text(path)
+        whole.unionByName(broken).write.options(**BY_TASKS, compression="gzip").partitionBy("name").text(path)
         good, rejected = readers.gold(c.spark, path)
         return good.withColumn("rejected", F.lit(None).cast("string")).unionByName(
             rejected.select(F.regexp_extract("path", "name=([^/]*)", 1).alias("rejected")), allowMissingColumns=True)
 
-    both = c.stage("gold", build)
+    both = c.once("gold", build)  # readers.gold() has written what it parsed
     return both.filter("rejected IS NULL").withColumn("project_id", F.col("doc").cast("bigint")), both.filter("rejected IS NOT NULL").select("rejected")
 
 

@@ -2,6 +2,8 @@
 
 import os
 
+from planloom.plans.queries import QUERIES
+from planloom.session import scratch
 from planloom.sources import readers, sinks
 
 
@@ -22,3 +24,17 @@ def test_no_files(spark, tmp_path):
     path = str(tmp_path / "none")
     sinks.write_files(spark.createDataFrame([], "name string, value string"), path)
     assert readers.text_documents(spark, path)[0].count() == 0
+
+
+def test_gold_is_written_once_and_small(spark, tmp_path):
+    orders = [(k, k % 50, "P", 100.0 + k) for k in range(1, 1001)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    made = lambda: {os.path.join(d, n) for d, _, names in os.walk(scratch(spark).removeprefix("file:")) for n in names if not n.startswith((".", "_"))}
+    before = made()
+    assert QUERIES["src_gold"](spark, str(tmp_path)).count() == 3000
+    assert [r.file for r in QUERIES["src_gold_rejects"](spark, str(tmp_path)).orderBy("file").collect()] == ["account-0-cut", "plan-0-cut", "plan-1-cut"]
+    new = made() - before
+    texts = [n for n in new if "/name=" in n]
+    assert len(texts) == 6 and all(n.endswith(".gz") for n in texts)
+    # One table besides, that of the parsed files.
+    assert len({os.path.dirname(n) for n in new if n.endswith(".parquet")}) == 1
