@@ -73,7 +73,8 @@ def task_rates(tasks: DataFrame) -> DataFrame:
 
 
 def off_roster(tasks: DataFrame, project_roles: DataFrame) -> DataFrame:
-    listed = project_roles.select("project_id", "team", folded(F.col("role_title")).alias("_key")).distinct()
+    # Not made distinct before the join: where rows are read that is a table of nearly all of them.
+    listed = project_roles.select("project_id", "team", folded(F.col("role_title")).alias("_key"))
     used = tasks.filter("assignee_role <> ''").select("project_id", "team", "assignee_role", folded(F.col("assignee_role")).alias("_key")).distinct()
     return used.join(listed, ["project_id", "team", "_key"], "left_anti").select(
         "project_id", F.concat_ws("/", "team", "assignee_role").alias("role"))

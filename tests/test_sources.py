@@ -2,6 +2,7 @@
 
 import os
 
+from planloom.operators import evaluate
 from planloom.plans.queries import QUERIES
 from planloom.session import scratch
 from planloom.sources import readers, sinks
@@ -38,3 +39,13 @@ def test_gold_is_written_once_and_small(spark, tmp_path):
     assert len(texts) == 6 and all(n.endswith(".gz") for n in texts)
     # One table besides, that of the parsed files.
     assert len({os.path.dirname(n) for n in new if n.endswith(".parquet")}) == 1
+
+
+def test_off_roster_lists_roles_once_and_holds_no_table_of_them(spark):
+    tasks = spark.createDataFrame([(1, "technical", "QA"), (1, "technical", "qa"), (1, "operations", "Trainer"), (2, "technical", "QA"), (None, "technical", "QA")],
+                                  "project_id bigint, team string, assignee_role string")
+    listed = spark.createDataFrame([(1, "technical", "Qa"), (1, "technical", "QA")], "project_id bigint, team string, role_title string")
+    rows = evaluate.off_roster(tasks.union(tasks), listed)
+    assert sorted((r.project_id or 0, r.role) for r in rows.collect()) == [(0, "technical/QA"), (1, "operations/Trainer"), (2, "technical/QA")]
+    # The listed roles are not made distinct on their way: one table of groups only, that of the tasks.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
