@@ -1,6 +1,7 @@
 """Nearest neighbours by pivots against all pairs."""
 
 import numpy as np
+import pandas as pd
 
 from planloom.operators import grounding
 
@@ -50,3 +51,17 @@ def test_spread_vectors_ties_zeros_and_small_projects(spark):
     want = brute(vectors, vectors, 5)
     assert got(spark, vectors, asked, 5, block=16) == want
     assert got(spark, vectors, asked, 5) == want
+
+
+def test_large_blocks_are_compared_by_some_rows_at_a_time(monkeypatch):
+    vectors, held, sort = made(1, 1200, 1.0), [], np.argsort
+    monkeypatch.setattr(grounding.np, "argsort", lambda m, **options: held.append(np.shape(m)) or sort(m, **options))
+    unit = [np.array(v) / np.linalg.norm(v) for _, _, v in vectors]
+    far = [np.zeros(1)] * len(unit)
+    rows = {"project_id": 1, "vector": unit, "far": far}
+    best, _ = grounding._closest(3, {"project_id": "int", "query_id": "int", "chunk_id": "int"})
+    got = best(pd.DataFrame({**rows, "query_id": range(1200), "reach": 4.0}), pd.DataFrame({**rows, "chunk_id": range(1200)}))
+    want = [(q, i, d) for _, q, i, d, _ in brute(vectors, vectors, 3)]
+    assert sorted(zip(got["query_id"], got["chunk_id"], got["distance"] + 0.0, strict=True)) == sorted(want)
+    # No matrix of all distances of two blocks, whatever their size.
+    assert max(shape[0] for shape in held if len(shape) == 2) <= grounding.ROWS
