@@ -302,3 +302,23 @@ def test_small_projects_are_solved_whole_and_large_ones_peeled_alike(spark, monk
     monkeypatch.undo()
     monkeypatch.setattr(graph, "WHOLE", 50)
     assert got() == peeled
+
+
+def test_cycles_of_whole_projects_are_those_found_by_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = {(p, rng.randrange(6), rng.randrange(6)) for p in range(30) for _ in range(rng.choice([5, 12]))}
+    # A loop that only a detour through another one closes, and both directions between neighbours.
+    rows |= {(90, a, b) for k in range(3) for a, b in ((k, k + 1), (k + 1, k))} | {(91, 0, 5), (91, 5, 7), (91, 7, 5), (91, 7, 0)}
+    edges = spark.createDataFrame(
+        [(p, a, b, 10 * a, 10 * b) for p, a, b in sorted(rows) if a != b], "project_id long, src long, dst long, src_ord int, dst_ord int")
+    found = []
+    for most, joined in ((100, False), (5, True)):
+        seen = []
+        by_joins = graph._cycles_by_joins
+        monkeypatch.setattr(graph, "WHOLE", most)
+        monkeypatch.setattr(graph, "_cycles_by_joins", lambda e, by_joins=by_joins: (seen.append(1), by_joins(e))[1])
+        gone, steps = graph.cycles(edges)
+        assert bool(seen) is joined
+        found.append((sorted(map(tuple, gone.collect())), sorted(map(tuple, steps.collect()))))
+        monkeypatch.undo()
+    assert found[0][0] and found[0] == found[1]
