@@ -75,3 +75,17 @@ def test_edges_are_written_once_without_the_tasks(spark, folder):
     QUERIES["dep_of"](spark, folder).collect()
     names = {key[2] for key in registry._stages}
     assert "edges of v_deps" in names and "v_tasks" not in names
+
+
+def test_lists_of_orders_are_put_together_where_their_rows_lie(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = Catalog(spark, folder)
+        for name, order in (("v_requirements", "ord"), ("v_milestones", "pos"), ("v_project_roles", "role_id")):
+            got, want = (source_queries._lists(x.view(name), order, [F.col(order).alias("n")], "entries") for x in (source_queries.dealt(c), c))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            # Only the orders are moved, before the lists are made, and no part of a list is made on the way.
+            assert plan.count("Exchange hashpartitioning(o_orderkey") == 1 and plan.count("Exchange") == 1
+            assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
