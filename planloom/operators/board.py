@@ -14,6 +14,8 @@ PUSHABLE = ["approved", "edited"]
 APPROVED_PROJECT = ["approved", "partially_synced", "synced"]
 # The board takes so many characters in one field; longer texts go out in parts.
 FIELD_LIMIT = 16_384
+# Checklists of at most so many lines are compared whole by one task.
+WHOLE = 100_000
 
 
 # Cards -----------------------------------------------------------------------------------
@@ -202,9 +204,54 @@ def checklist_diff(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Per line: keep, add, delete or renumber; a list the plan no longer has goes whole.
 
     wanted(card_id, list_name, item, want_pos), present(card_id, list_name, item, have_pos). A
-    list is renumbered when a line was added or the kept lines changed their order.
+    list is renumbered when a line was added or the kept lines changed their order. Lines of either side are dealt
+    out by list once; lists of more than WHOLE lines, which would be much work for one task, are compared by all tasks
+    together (see _diff_by_joins()). Lines of no card or list are left out.
     """
     keys, names = ["card_id", "list_name"], ["card_id", "list_name", "item"]
+    crowded = windows.crowded(wanted.select(*keys).unionAll(present.select(*keys)), WHOLE)
+    if crowded is None:
+        return _diff_whole(wanted, present)
+    few, many = ([side.join(crowded, keys, how) for side in (wanted, present)] for how in ("left_anti", "left_semi"))
+    return _diff_whole(*few).unionByName(_diff_by_joins(*many))
+
+
+def _diff_whole(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """checklist_diff() of lists that one task can hold."""
+    keys, names = ["card_id", "list_name"], ["card_id", "list_name", "item"]
+    kinds = dict(wanted.dtypes) | dict(present.dtypes)
+    nothing = {name: F.lit(None).cast(kinds[name]).alias(name) for name in ("want_pos", "have_pos")}
+    lines = wanted.select(*names, F.lit(True).alias("_wanted"), "want_pos", nothing["have_pos"]).unionByName(
+        present.select(*names, F.lit(False).alias("_wanted"), nothing["want_pos"], "have_pos")).dropna(subset=keys)
+    # Lines without a text are no line of the other side.
+    side = F.when(F.col("item").isNull(), F.col("_wanted")).alias("_side")
+    met = lines.repartition(*keys).groupBy(*names, side).agg(*[
+        F.collect_list(F.when(when, F.struct(name))).alias(name) for name, when in (("want_pos", F.col("_wanted")), ("have_pos", ~F.col("_wanted")))])
+
+    def some(name: str) -> Column:
+        return F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.struct(nothing[name])))
+
+    pairs = F.flatten(F.transform(some("want_pos"), lambda w: F.transform(some("have_pos"), lambda h: F.struct(
+        w["want_pos"].alias("want_pos"), h["have_pos"].alias("have_pos")))))
+    both = met.select(*names, F.inline(pairs)).withColumn("_kept", F.col("want_pos").isNotNull() & F.col("have_pos").isNotNull())
+    of_list = W.partitionBy(*keys)
+    before = F.lag("have_pos").over(W.partitionBy(*keys, "_kept").orderBy("want_pos"))
+    marked = both.withColumn("_before", F.when(F.col("_kept"), before)).select(
+        *names, "want_pos", "have_pos", F.bool_or(F.col("_before") > F.col("have_pos")).over(of_list).alias("_moved"),
+        F.bool_or(F.col("have_pos").isNull()).over(of_list).alias("_added"), (F.count("want_pos").over(of_list) == 0).alias("_leftover"))
+    return marked.select(*names, "want_pos", _action())
+
+
+def _action() -> Column:
+    renumber = F.col("_added") | F.coalesce("_moved", F.lit(False))
+    return (
+        F.when(F.col("_leftover"), "delete_list").when(F.col("want_pos").isNull(), "delete")
+        .when(F.col("have_pos").isNull(), "add").when(renumber, "renumber").otherwise("keep").alias("action"))
+
+
+def _diff_by_joins(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """checklist_diff() of lists of any length."""
+    keys, names = ["card_id", "list_name"], ["card_id", "list_name", "item"]
     both = wanted.join(present, names, "full")
     kept = both.filter("want_pos IS NOT NULL AND have_pos IS NOT NULL")
     moved = windows.lag(
@@ -212,12 +259,7 @@ def checklist_diff(wanted: DataFrame, present: DataFrame) -> DataFrame:
     ).groupBy(*keys).agg(F.bool_or(F.col("_before") > F.col("have_pos")).alias("_moved"))
     lists = both.groupBy(*keys).agg(
         F.bool_or(F.col("have_pos").isNull()).alias("_added"), (F.count("want_pos") == 0).alias("_leftover"))
-    joined = both.join(lists, keys).join(moved, keys, "left")
-    renumber = F.col("_added") | F.coalesce("_moved", F.lit(False))
-    return joined.select(
-        *names, "want_pos",
-        F.when(F.col("_leftover"), "delete_list").when(F.col("want_pos").isNull(), "delete")
-        .when(F.col("have_pos").isNull(), "add").when(renumber, "renumber").otherwise("keep").alias("action"))
+    return both.join(lists, keys).join(moved, keys, "left").select(*names, "want_pos", _action())
 
 
 # Drift -----------------------------------------------------------------------------------
